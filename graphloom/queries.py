@@ -7,12 +7,55 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import nested
+from .operators import drift, hierarchy, nested
 from .sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every change of a field from a store's preceding dump file."""
+    return drift.changes(table(spark, d, "dump_lines"), table(spark, d, "dump_files"))
+
+
+def p1_entries(spark: SparkSession, d: str) -> DataFrame:
+    """All dumped entries in one table under the union schema."""
+    return drift.unified(table(spark, d, "dump_lines"), table(spark, d, "dump_files"))
+
+
+def _predicate(name: str):
+    """A predicate's name in its one form: lower case, `biolink:` before it, runs of blanks,
+    hyphens and underscores as one underscore; null for the signs of no predicate."""
+    bare = F.regexp_replace(F.lower(F.col(name)), r"(?U)^\s*(biolink:)?\s*|\s+$", "")
+    bare = F.regexp_replace(bare, r"(?U)[\s_-]+", "_")
+    return F.when(bare.isin("", "~") | F.col(name).isNull(), F.lit(None)).otherwise(F.concat(F.lit("biolink:"), bare))
+
+
+def _parents(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "predicate_parents").select("snapshot_id", _predicate("predicate").alias("predicate"), _predicate("parent_predicate").alias("parent"), "loaded_at")
+    return hierarchy.latest(rows, ["snapshot_id", "predicate"], "parent", "loaded_at")
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Root and depth of every predicate, and the predicates on rings of inverses."""
+    tree = hierarchy.hierarchy(_parents(spark, d), "snapshot_id", "predicate", "parent")
+    rows = table(spark, d, "predicate_inverses").select("snapshot_id", _predicate("predicate").alias("predicate"), _predicate("inverse_predicate").alias("inverse"), "loaded_at")
+    ring = hierarchy.rings(hierarchy.latest(rows, ["snapshot_id", "predicate"], "inverse", "loaded_at"), "snapshot_id", "predicate", "inverse")
+    parents = tree.select("snapshot_id", F.lit("parent").alias("link_kind"), F.col("node").alias("predicate"), F.coalesce("root", F.lit("")).alias("root_predicate"), F.col("depth").alias("node_depth"))
+    return parents.unionByName(ring.select("snapshot_id", F.lit("inverse").alias("link_kind"), F.col("node").alias("predicate"), F.lit("").alias("root_predicate"), F.lit(-1).alias("node_depth")))
+
+
+def p3_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Every predicate's full path, depth, root, interval and number of descendants."""
+    return hierarchy.with_paths(hierarchy.hierarchy(_parents(spark, d), "snapshot_id", "predicate", "parent"), "snapshot_id", " > ").drop("ancestors")
+
+
+def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of a predicate and one below it, with the number of links between."""
+    tree = hierarchy.hierarchy(_parents(spark, d), "snapshot_id", "predicate", "parent")
+    return hierarchy.descendants(hierarchy.with_paths(tree, "snapshot_id"), "snapshot_id")
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Every JSON object that is an element of an array in a cache entry's documents."""
     return nested.elements(table(spark, d, "cache_entries"))
@@ -29,5 +72,5 @@ def p5_bindings(spark: SparkSession, d: str) -> DataFrame:
     return nested.flat_table(objects.where(F.col("node_path").rlike("/(node|edge)_bindings/")).withColumn("member", F.lit("binding")), ("binding",), ("id",))
 
 
-QUERIES: dict[str, Query] = {"p5_found": p5_found, "p5_objects": p5_objects, "p5_bindings": p5_bindings}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_entries": p1_entries, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p5_found": p5_found, "p5_objects": p5_objects, "p5_bindings": p5_bindings}
 SQL: dict[str, str] = {}
