@@ -8,11 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import encoding, packing
+from . import encoding, packing, spans
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of lexicon strings that share a run of at least 80 characters."""
+    return spans.SharedSpans(table(spark, d, "lexicon_strings"), "string_id", "string_text").pairs("string_a", "string_b")
+
+
+def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each lexicon string also stands in another one."""
+    return spans.SharedSpans(table(spark, d, "lexicon_strings"), "string_id", "string_text").coverage()
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Every document's token ids by byte_bpe_50k."""
     return encoding.encode(table(spark, d, "documents"))
@@ -31,5 +41,5 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return per.join(caps, "budget_name").withColumn("unused_share", F.round(1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6))
 
 
-QUERIES: dict[str, Query] = {"p6_ids": p6_ids, "p7_pack": p7_pack, "p7_fill": p7_fill}
+QUERIES: dict[str, Query] = {"p4_found": p4_found, "p4_coverage": p4_coverage, "p6_ids": p6_ids, "p7_pack": p7_pack, "p7_fill": p7_fill}
 SQL: dict[str, str] = {}
