@@ -8,11 +8,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import encoding, packing, spans
+from . import encoding, packing, spans, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _stored_texts(spark: SparkSession, d: str) -> DataFrame:
+    def part(name: str, key: str, text: str) -> DataFrame:
+        return table(spark, d, name).select(F.lit(name).alias("record_table"), F.col(key).alias("record_id"), "writer", F.col(text).alias("text"))
+
+    return part("decision_attempt", "attempt_id", "raw_response").unionByName(part("plan_attempt", "attempt_id", "raw_response")).unionByName(part("cache_entries", "entry_id", "error_message"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """The records whose stored text lost its end."""
+    return truncation.Truncation(_stored_texts(spark, d)).cut()
+
+
+def p2_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The share of cut records of each table and writer."""
+    return truncation.Truncation(_stored_texts(spark, d)).shares()
+
+
+def p2_limits(spark: SparkSession, d: str) -> DataFrame:
+    """The hidden storage limits: table, writer, measure and length."""
+    return truncation.Truncation(_stored_texts(spark, d)).limits
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of lexicon strings that share a run of at least 80 characters."""
     return spans.SharedSpans(table(spark, d, "lexicon_strings"), "string_id", "string_text").pairs("string_a", "string_b")
@@ -41,5 +63,5 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return per.join(caps, "budget_name").withColumn("unused_share", F.round(1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6))
 
 
-QUERIES: dict[str, Query] = {"p4_found": p4_found, "p4_coverage": p4_coverage, "p6_ids": p6_ids, "p7_pack": p7_pack, "p7_fill": p7_fill}
+QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_shares": p2_shares, "p2_limits": p2_limits, "p4_found": p4_found, "p4_coverage": p4_coverage, "p6_ids": p6_ids, "p7_pack": p7_pack, "p7_fill": p7_fill}
 SQL: dict[str, str] = {}
