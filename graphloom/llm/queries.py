@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import table
-from . import encoding, packing, spans, truncation
+from . import encoding, packing, sentences, spans, truncation
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -63,5 +63,10 @@ def p7_fill(spark: SparkSession, d: str) -> DataFrame:
     return per.join(caps, "budget_name").withColumn("unused_share", F.round(1 - F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6))
 
 
-QUERIES: dict[str, Query] = {"p2_found": p2_found, "p2_shares": p2_shares, "p2_limits": p2_limits, "p4_found": p4_found, "p4_coverage": p4_coverage, "p6_ids": p6_ids, "p7_pack": p7_pack, "p7_fill": p7_fill}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """The end of every sentence unit of every document."""
+    return sentences.sentence_ends(table(spark, d, "documents"))
+
+
+QUERIES: dict[str, Query] = {"p8_found": p8_found, "p2_found": p2_found, "p2_shares": p2_shares, "p2_limits": p2_limits, "p4_found": p4_found, "p4_coverage": p4_coverage, "p6_ids": p6_ids, "p7_pack": p7_pack, "p7_fill": p7_fill}
 SQL: dict[str, str] = {}
