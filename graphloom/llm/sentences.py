@@ -37,6 +37,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import spill
+
 #: A word is kept in a table from this share of all its script's texts and words at (possible) boundaries.
 KEEP_SHARE = 1e-4
 #: And so many texts must have it.
@@ -363,11 +365,12 @@ def _summed(rows: DataFrame) -> dict[tuple[str, str, str, str], float]:
     most 1 / KEEP_SHARE keys of each come to the driver. What is kept depends on the number
     of texts with the key, so that no name of one long text is kept, and never on whether
     it was seen at a certain boundary."""
-    per = rows.groupBy("kind", "script", "level", "key").agg(F.sum("n").alias("n"))
+    per = spill(rows.groupBy("kind", "script", "level", "key").agg(F.sum("n").alias("n")))
     seen = per.where("kind = 'seen'").select("script", "level", "key", F.col("n").alias("seen"))
     whole = seen.groupBy("script", "level").agg(F.sum("seen").alias("all"))
-    kept = seen.join(whole, ["script", "level"]).where((F.col("level") == "") | ((F.col("seen") >= KEEP_LEAST) & (F.col("seen") >= F.col("all") * KEEP_SHARE))).select("script", "level", "key")
-    return {(r["kind"], r["script"], r["level"], r["key"]): r["n"] for r in per.join(kept, ["script", "level", "key"]).collect()}
+    kept = seen.join(whole, ["script", "level"]).where((F.col("seen") >= KEEP_LEAST) & (F.col("seen") >= F.col("all") * KEEP_SHARE)).select("script", "level", "key")
+    totals = per.where("level = ''")
+    return {(r["kind"], r["script"], r["level"], r["key"]): r["n"] for r in per.join(kept, ["script", "level", "key"]).select(*per.columns).unionByName(totals).collect()}
 
 
 def _share(n_certain: float, ratio: float, n_mid: float, prior: float, weight: float = 2.0) -> float:
