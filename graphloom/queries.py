@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import drift, hierarchy, nested
+from . import queries_graph
+from .operators import closure, drift, hierarchy, nested
 from .sources import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -72,5 +73,63 @@ def p5_bindings(spark: SparkSession, d: str) -> DataFrame:
     return nested.flat_table(objects.where(F.col("node_path").rlike("/(node|edge)_bindings/")).withColumn("member", F.lit("binding")), ("binding",), ("id",))
 
 
+def gr7_ancestors(spark: SparkSession, d: str) -> DataFrame:
+    """Every ancestor of every predicate that has a root, with its distance."""
+    tree = hierarchy.hierarchy(_parents(spark, d), "snapshot_id", "predicate", "parent")
+    return closure.ancestors(hierarchy.with_paths(tree, "snapshot_id"), "snapshot_id")
+
+
+def gr8_nearest_active(spark: SparkSession, d: str) -> DataFrame:
+    """GR8-9: the nearest predicate, itself or above, that is not deprecated."""
+    tree = hierarchy.with_paths(hierarchy.hierarchy(_parents(spark, d), "snapshot_id", "predicate", "parent"), "snapshot_id")
+    rows = table(spark, d, "predicate_parents").select("snapshot_id", _predicate("predicate").alias("node"), F.coalesce("is_deprecated", F.lit(False)).alias("old"), "loaded_at")
+    facts = rows.groupBy("snapshot_id", "node").agg(F.max_by("old", "loaded_at").alias("old")).withColumn("active", F.col("node"))
+    return closure.nearest(tree, facts, "snapshot_id", "active", ~F.col("old"))
+
+
+def gr10_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """The number of leaves under each inner predicate."""
+    tree = hierarchy.hierarchy(_parents(spark, d), "snapshot_id", "predicate", "parent")
+    return closure.leaves_below(hierarchy.with_paths(tree, "snapshot_id"), "snapshot_id")
+
+
+def gr11_inverses(spark: SparkSession, d: str) -> DataFrame:
+    """Inverses given one way, both ways."""
+    rows = table(spark, d, "predicate_inverses").select("snapshot_id", _predicate("predicate").alias("predicate"), _predicate("inverse_predicate").alias("inverse"), "loaded_at")
+    return closure.completed_inverses(hierarchy.latest(rows, ["snapshot_id", "predicate"], "inverse", "loaded_at"), "snapshot_id", "predicate", "inverse")
+
+
+def fil27_scope(spark: SparkSession, d: str) -> DataFrame:
+    """FIL27, JOIN18, GR12: the predicates that fall under one of some given roots, with the root that admits them."""
+    tree = hierarchy.with_paths(hierarchy.hierarchy(_parents(spark, d), "snapshot_id", "predicate", "parent"), "snapshot_id")
+    allowed = tree.where("depth = 0 and n_descendants >= 10").select("snapshot_id", F.col("node").alias("root"))
+    return tree.join(allowed, ["snapshot_id", "root"], "left_semi").select("snapshot_id", F.col("node").alias("predicate"), "root")
+
+
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_entries": p1_entries, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p5_found": p5_found, "p5_objects": p5_objects, "p5_bindings": p5_bindings}
-SQL: dict[str, str] = {}
+QUERIES |= {"gr7_ancestors": gr7_ancestors, "gr8_nearest_active": gr8_nearest_active, "gr10_leaves": gr10_leaves, "gr11_inverses": gr11_inverses, "fil27_scope": fil27_scope, **queries_graph.QUERIES}
+
+_FORM = """CASE WHEN {0} IS NULL THEN NULL WHEN b_{0} IN ('', '~') THEN NULL ELSE concat('biolink:', b_{0}) END"""
+_BARE = """regexp_replace(regexp_replace(lower({0}), '^\\s*(biolink:)?\\s*|\\s+$', '', 'g'), '[\\s_-]+', '_', 'g') AS b_{0}"""
+_TREE = f"""WITH RECURSIVE raw_p AS (SELECT *, {_BARE.format('predicate')}, {_BARE.format('parent_predicate')} FROM predicate_parents),
+par AS (SELECT snapshot_id, node, max_by(coalesce(parent, ''), (loaded_at, coalesce(parent, ''))) AS parent FROM (SELECT snapshot_id, {_FORM.format('predicate')} AS node, {_FORM.format('parent_predicate')} AS parent, loaded_at FROM raw_p) GROUP BY ALL),
+names AS (SELECT snapshot_id, node FROM par UNION SELECT snapshot_id, parent FROM par WHERE parent <> ''),
+up AS (SELECT snapshot_id, node, node AS anc, 0 AS distance FROM names UNION ALL SELECT up.snapshot_id, up.node, par.parent, distance + 1 FROM up JOIN par ON par.snapshot_id = up.snapshot_id AND par.node = up.anc WHERE par.parent <> '' AND distance < 2000),
+tops AS (SELECT u.snapshot_id, u.node, u.anc AS root, u.distance AS depth FROM up u LEFT JOIN par p ON p.snapshot_id = u.snapshot_id AND p.node = u.anc WHERE coalesce(p.parent, '') = '') """
+SQL: dict[str, str] = {
+    **queries_graph.SQL,
+    "p3_found": _TREE.replace("AND distance < 2000", "AND distance < 2000") + f""", raw_i AS (SELECT *, {_BARE.format('predicate')}, {_BARE.format('inverse_predicate')} FROM predicate_inverses),
+inv AS (SELECT snapshot_id, node, max_by(coalesce(other, ''), (loaded_at, coalesce(other, ''))) AS other FROM (SELECT snapshot_id, {_FORM.format('predicate')} AS node, {_FORM.format('inverse_predicate')} AS other, loaded_at FROM raw_i) GROUP BY ALL),
+walk AS (SELECT snapshot_id, node, other AS at, 1 AS n FROM inv WHERE other <> '' UNION ALL SELECT w.snapshot_id, w.node, i.other, n + 1 FROM walk w JOIN inv i ON i.snapshot_id = w.snapshot_id AND i.node = w.at WHERE i.other <> '' AND w.at <> w.node AND n < 200)
+SELECT n.snapshot_id, 'parent' AS link_kind, n.node AS predicate, coalesce(t.root, '') AS root_predicate, CAST(coalesce(t.depth, -1) AS INT) AS node_depth FROM names n LEFT JOIN tops t USING (snapshot_id, node)
+UNION ALL SELECT DISTINCT snapshot_id, 'inverse', node, '', -1 FROM walk WHERE at = node AND n >= 3""",
+    "gr7_ancestors": _TREE + "SELECT up.snapshot_id, up.node, up.anc AS ancestor, CAST(up.distance AS INT) AS distance FROM up JOIN tops USING (snapshot_id, node) WHERE up.distance > 0",
+    "p3_descendants": _TREE + "SELECT up.snapshot_id, up.anc AS node, up.node AS descendant, CAST(up.distance AS INT) AS distance FROM up JOIN tops USING (snapshot_id, node) WHERE up.distance > 0",
+    "gr10_leaves": _TREE + ", inner_n AS (SELECT DISTINCT snapshot_id, parent AS node FROM par WHERE parent <> '') SELECT up.snapshot_id, up.anc AS node, count(*) AS n_leaves FROM up JOIN tops USING (snapshot_id, node) WHERE up.distance > 0 AND (up.snapshot_id, up.node) NOT IN (SELECT (snapshot_id, node) FROM inner_n) GROUP BY ALL",
+    "gr8_nearest_active": _TREE + """, old AS (SELECT snapshot_id, node, max_by(coalesce(is_deprecated, false), loaded_at) AS old FROM (SELECT snapshot_id, {0} AS node, is_deprecated, loaded_at FROM raw_p) GROUP BY ALL)
+SELECT up.snapshot_id, up.node, min_by(up.anc, up.distance) AS active FROM up JOIN old o ON o.snapshot_id = up.snapshot_id AND o.node = up.anc AND NOT o.old WHERE up.distance = 0 OR (up.snapshot_id, up.node) IN (SELECT (snapshot_id, node) FROM tops) GROUP BY ALL""".replace("{0}", _FORM.format("predicate")),
+    "gr11_inverses": f"""WITH raw_i AS (SELECT *, {_BARE.format('predicate')}, {_BARE.format('inverse_predicate')} FROM predicate_inverses),
+inv AS (SELECT snapshot_id, node, max_by(coalesce(other, ''), (loaded_at, coalesce(other, ''))) AS other FROM (SELECT snapshot_id, {_FORM.format('predicate')} AS node, {_FORM.format('inverse_predicate')} AS other, loaded_at FROM raw_i) GROUP BY ALL)
+SELECT snapshot_id, node AS predicate, other AS inverse FROM inv WHERE other <> '' UNION SELECT snapshot_id, other, node FROM inv WHERE other <> ''""",
+    "fil27_scope": _TREE + "SELECT t.snapshot_id, t.node AS predicate, t.root FROM tops t WHERE (t.snapshot_id, t.root) IN (SELECT (snapshot_id, root) FROM tops GROUP BY snapshot_id, root HAVING count(*) >= 11)",
+}
