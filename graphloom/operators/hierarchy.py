@@ -147,10 +147,11 @@ def with_paths(tree: DataFrame, group: str, sep: str = "/") -> DataFrame:
                 out.append(list(stack))
             stack.append(node)
         mine = part[part["own"]]
-        return pd.DataFrame({group: mine[group], "node": mine["node"], "ancestors": out})
+        return pd.DataFrame({group: mine[group], "node": mine["node"], "ancestors": pd.Series(out, mine.index, dtype=object)})
 
     paths = both.groupBy(group, "root", "block").applyInPandas(walk, f"`{group}` {tree.schema[group].dataType.simpleString()}, node string, ancestors array<string>")
-    out = tree.join(paths, [group, "node"], "left")
+    found = paths.select(F.col(group).alias("p_group"), F.col("node").alias("p_node"), "ancestors")
+    out = tree.join(found, tree[group].eqNullSafe(found["p_group"]) & (tree["node"] == found["p_node"]), "left").drop("p_group", "p_node")
     return out.withColumn("path", F.concat_ws(sep, "ancestors", "node")).withColumn("path", F.when(F.col("depth") >= 0, F.col("path"))).withColumn("n_descendants", F.when(F.col("depth") >= 0, ((F.col("exit") - F.col("entry") - 1) / 2).cast("bigint")))
 
 

@@ -1,21 +1,23 @@
 """Simple paths of bounded length between two nodes, and what may be said of them.
 
 The frontier grows by one join per hop and keeps only paths that end at new nodes; both
-directions of an edge may be walked. From the end the reachable nodes are computed first
-(one semi-join per hop), so that a path is extended only where it can still arrive: the
-frontier follows the answer, not the graph."""
+directions of an edge may be walked. The distance to the nearest end is computed first
+(one join per hop, new nodes only), so that a path is extended only where it can still
+arrive: the frontier follows the answer, not the graph."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import spill
+
 MAX_HOPS = 5
 
 
 def both_ways(edges: DataFrame) -> DataFrame:
-    """(a, b, edge_id, predicate) of each edge in both directions."""
-    fwd = edges.select(F.col("subject").alias("a"), F.col("object").alias("b"), "edge_id", "predicate")
+    """(a, b, edge_id, predicate) of each edge in both directions, without loops."""
+    fwd = edges.where("subject != object").select(F.col("subject").alias("a"), F.col("object").alias("b"), "edge_id", "predicate")
     return fwd.unionByName(fwd.select(F.col("b").alias("a"), F.col("a").alias("b"), "edge_id", "predicate"))
 
 
@@ -24,12 +26,15 @@ def simple_paths(edges: DataFrame, starts: list[str], ends: list[str], max_hops:
     if not 1 <= max_hops <= MAX_HOPS:
         raise ValueError(f"max_hops must be 1 to {MAX_HOPS}")
     steps = both_ways(edges)
-    # near[k]: nodes from which an end can be reached in at most k steps
-    near: list[DataFrame] = [steps.where(F.col("b").isin(*ends)).select(F.col("b").alias("id")).distinct()]
-    for _ in range(max_hops - 1):
-        more = steps.join(near[-1].select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id"))
-        near.append(near[-1].union(more).distinct())
-    frontier = steps.where(F.col("a").isin(*starts)).select(F.array("a", "b").alias("nodes"), F.array("edge_id").alias("edges"), F.array("predicate").alias("predicates"), F.col("b").alias("at"))
+    # the least number of steps from each node to an end, for those below max_hops
+    reach = spill(steps.where(F.col("b").isin(*ends)).select(F.col("b").alias("id"), F.lit(0).alias("steps")).distinct())
+    ring = reach
+    for k in range(1, max_hops):
+        new = steps.join(ring.select(F.col("id").alias("b")), "b", "left_semi").select(F.col("a").alias("id")).distinct()
+        ring = spill(new.join(reach, "id", "left_anti").withColumn("steps", F.lit(k)))
+        reach = reach.unionByName(ring)
+    towards = steps.join(reach.select(F.col("id").alias("b"), "steps"), "b")
+    frontier = towards.where(F.col("a").isin(*starts) & (F.col("steps") <= max_hops - 1)).select(F.array("a", "b").alias("nodes"), F.array("edge_id").alias("edges"), F.array("predicate").alias("predicates"), F.col("b").alias("at"))
     done = None
     for k in range(1, max_hops + 1):
         at_end = F.col("at").isin(*ends)
@@ -37,9 +42,8 @@ def simple_paths(edges: DataFrame, starts: list[str], ends: list[str], max_hops:
         done = arrived if done is None else done.unionByName(arrived)
         if k == max_hops:
             break
-        alive = frontier.where(~at_end)
-        step = steps.join(near[max_hops - k - 1].select(F.col("id").alias("b")), "b", "left_semi")
-        frontier = alive.join(step, alive["at"] == step["a"]).where(~F.array_contains("nodes", F.col("b"))).select(F.array_append("nodes", F.col("b")).alias("nodes"), F.array_append("edges", F.col("edge_id")).alias("edges"), F.array_append("predicates", F.col("predicate")).alias("predicates"), F.col("b").alias("at"))
+        step = towards.where(F.col("steps") <= max_hops - k - 1)
+        frontier = frontier.where(~at_end).join(step, F.col("at") == F.col("a")).where(~F.array_contains("nodes", F.col("b"))).select(F.array_append("nodes", F.col("b")).alias("nodes"), F.array_append("edges", F.col("edge_id")).alias("edges"), F.array_append("predicates", F.col("predicate")).alias("predicates"), F.col("b").alias("at"))
     return done
 
 

@@ -83,7 +83,7 @@ def gr8_nearest_active(spark: SparkSession, d: str) -> DataFrame:
     """GR8-9: the nearest predicate, itself or above, that is not deprecated."""
     tree = hierarchy.with_paths(hierarchy.hierarchy(_parents(spark, d), "snapshot_id", "predicate", "parent"), "snapshot_id")
     rows = table(spark, d, "predicate_parents").select("snapshot_id", _predicate("predicate").alias("node"), F.coalesce("is_deprecated", F.lit(False)).alias("old"), "loaded_at")
-    facts = rows.groupBy("snapshot_id", "node").agg(F.max_by("old", "loaded_at").alias("old")).withColumn("active", F.col("node"))
+    facts = rows.groupBy("snapshot_id", "node").agg(F.max_by("old", F.struct("loaded_at", "old")).alias("old")).withColumn("active", F.col("node"))
     return closure.nearest(tree, facts, "snapshot_id", "active", ~F.col("old"))
 
 
@@ -120,13 +120,13 @@ SQL: dict[str, str] = {
     **queries_graph.SQL,
     "p3_found": _TREE.replace("AND distance < 2000", "AND distance < 2000") + f""", raw_i AS (SELECT *, {_BARE.format('predicate')}, {_BARE.format('inverse_predicate')} FROM predicate_inverses),
 inv AS (SELECT snapshot_id, node, max_by(coalesce(other, ''), (loaded_at, coalesce(other, ''))) AS other FROM (SELECT snapshot_id, {_FORM.format('predicate')} AS node, {_FORM.format('inverse_predicate')} AS other, loaded_at FROM raw_i) GROUP BY ALL),
-walk AS (SELECT snapshot_id, node, other AS at, 1 AS n FROM inv WHERE other <> '' UNION ALL SELECT w.snapshot_id, w.node, i.other, n + 1 FROM walk w JOIN inv i ON i.snapshot_id = w.snapshot_id AND i.node = w.at WHERE i.other <> '' AND w.at <> w.node AND n < 200)
+walk AS (SELECT snapshot_id, node, other AS cur, 1 AS n FROM inv WHERE other <> '' UNION ALL SELECT w.snapshot_id, w.node, i.other, n + 1 FROM walk w JOIN inv i ON i.snapshot_id = w.snapshot_id AND i.node = w.cur WHERE i.other <> '' AND w.cur <> w.node AND n < 200)
 SELECT n.snapshot_id, 'parent' AS link_kind, n.node AS predicate, coalesce(t.root, '') AS root_predicate, CAST(coalesce(t.depth, -1) AS INT) AS node_depth FROM names n LEFT JOIN tops t USING (snapshot_id, node)
-UNION ALL SELECT DISTINCT snapshot_id, 'inverse', node, '', -1 FROM walk WHERE at = node AND n >= 3""",
+UNION ALL SELECT DISTINCT snapshot_id, 'inverse', node, '', -1 FROM walk WHERE cur = node AND n >= 3""",
     "gr7_ancestors": _TREE + "SELECT up.snapshot_id, up.node, up.anc AS ancestor, CAST(up.distance AS INT) AS distance FROM up JOIN tops USING (snapshot_id, node) WHERE up.distance > 0",
     "p3_descendants": _TREE + "SELECT up.snapshot_id, up.anc AS node, up.node AS descendant, CAST(up.distance AS INT) AS distance FROM up JOIN tops USING (snapshot_id, node) WHERE up.distance > 0",
     "gr10_leaves": _TREE + ", inner_n AS (SELECT DISTINCT snapshot_id, parent AS node FROM par WHERE parent <> '') SELECT up.snapshot_id, up.anc AS node, count(*) AS n_leaves FROM up JOIN tops USING (snapshot_id, node) WHERE up.distance > 0 AND (up.snapshot_id, up.node) NOT IN (SELECT (snapshot_id, node) FROM inner_n) GROUP BY ALL",
-    "gr8_nearest_active": _TREE + """, old AS (SELECT snapshot_id, node, max_by(coalesce(is_deprecated, false), loaded_at) AS old FROM (SELECT snapshot_id, {0} AS node, is_deprecated, loaded_at FROM raw_p) GROUP BY ALL)
+    "gr8_nearest_active": _TREE + """, old AS (SELECT snapshot_id, node, max_by(coalesce(is_deprecated, false), (loaded_at, coalesce(is_deprecated, false))) AS old FROM (SELECT snapshot_id, {0} AS node, is_deprecated, loaded_at FROM raw_p) GROUP BY ALL)
 SELECT up.snapshot_id, up.node, min_by(up.anc, up.distance) AS active FROM up JOIN old o ON o.snapshot_id = up.snapshot_id AND o.node = up.anc AND NOT o.old WHERE up.distance = 0 OR (up.snapshot_id, up.node) IN (SELECT (snapshot_id, node) FROM tops) GROUP BY ALL""".replace("{0}", _FORM.format("predicate")),
     "gr11_inverses": f"""WITH raw_i AS (SELECT *, {_BARE.format('predicate')}, {_BARE.format('inverse_predicate')} FROM predicate_inverses),
 inv AS (SELECT snapshot_id, node, max_by(coalesce(other, ''), (loaded_at, coalesce(other, ''))) AS other FROM (SELECT snapshot_id, {_FORM.format('predicate')} AS node, {_FORM.format('inverse_predicate')} AS other, loaded_at FROM raw_i) GROUP BY ALL)

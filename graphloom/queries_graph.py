@@ -368,14 +368,14 @@ def join17_quotes(spark: SparkSession, d: str) -> DataFrame:
 # ---- paths -------------------------------------------------------------------------------
 
 ROUTE_SQL = """, steps AS (SELECT subject AS a, object AS b, edge_id, predicate FROM edges WHERE predicate = 'x:located_in' UNION ALL SELECT object, subject, edge_id, predicate FROM edges WHERE predicate = 'x:located_in'),
-walk AS (SELECT concat('|', a, '|', b, '|') AS trail, predicate AS preds, b AS cur, 1 AS n FROM steps WHERE a = 'SUPP:1'
- UNION ALL SELECT concat(trail, s.b, '|'), concat(preds, ',', s.predicate), s.b, n + 1 FROM walk JOIN steps s ON s.a = walk.cur WHERE n < 4 AND walk.cur <> 'SUPP:2' AND NOT contains(trail, concat('|', s.b, '|'))) """
+walk AS (SELECT concat('|', a, '|', b, '|') AS trail, predicate AS preds, b AS cur, 1 AS n FROM steps WHERE a = 'SUPP:2'
+ UNION ALL SELECT concat(trail, s.b, '|'), concat(preds, ',', s.predicate), s.b, n + 1 FROM walk JOIN steps s ON s.a = walk.cur WHERE n < 4 AND walk.cur NOT IN ('SUPP:3', 'SUPP:4', 'SUPP:5', 'SUPP:6', 'SUPP:7', 'SUPP:8', 'SUPP:9', 'SUPP:10', 'SUPP:11', 'SUPP:12') AND NOT contains(trail, concat('|', s.b, '|'))) """
 
 
-@query(ROUTE_SQL + "SELECT trim(trail, '|') AS trail, n AS length FROM walk WHERE cur = 'SUPP:2'")
+@query(ROUTE_SQL + "SELECT trim(trail, '|') AS trail, n AS length FROM walk WHERE cur IN ('SUPP:3', 'SUPP:4', 'SUPP:5', 'SUPP:6', 'SUPP:7', 'SUPP:8', 'SUPP:9', 'SUPP:10', 'SUPP:11', 'SUPP:12')")
 def gr1_simple_paths(spark: SparkSession, d: str) -> DataFrame:
-    """GR1, GR3-4: simple paths of up to four hops between two suppliers."""
-    p = paths.simple_paths(edges(spark, d, "x:located_in"), ["SUPP:1"], ["SUPP:2"], 4)
+    """GR1, GR3-4: simple paths of up to four hops from one supplier to several others."""
+    p = paths.simple_paths(edges(spark, d, "x:located_in"), ["SUPP:2"], [f"SUPP:{i}" for i in range(3, 13)], 4)
     return p.select(F.array_join("nodes", "|").alias("trail"), "length")
 
 
