@@ -251,13 +251,13 @@ class Model:
         for level, k in (("w", keys[0]), ("s", keys[1]), ("m", _mark_of(keys[0]))):
             if (p := self.closing.get((script, level, k + case))) is not None:
                 return p
-        return 0.6
+        return 0.95 if _strong(keys[0]) else 0.75
 
     def p_open(self, script: str, keys: tuple[str, str]) -> float:
         for level, k in (("w", keys[0]), ("s", keys[1])):
             if (p := self.opening.get((script, level, k))) is not None:
                 return p
-        return 0.4
+        return 0.5
 
 
 def _mark_of(key: str) -> str:
