@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -98,6 +99,11 @@ def _shape(word: str) -> str:
     return "".join(out[:8])
 
 
+def _composed(word: str) -> str:
+    """Composed and decomposed letters count alike."""
+    return word if word.isascii() else unicodedata.normalize("NFC", word)
+
+
 def _closing(text: str, start: int, mark_at: int, end: int) -> tuple[str, str]:
     """(word key, shape key) of the word that ends at a mark, with the mark and what closes it."""
     tail = text[mark_at:end]
@@ -110,7 +116,7 @@ def _closing(text: str, start: int, mark_at: int, end: int) -> tuple[str, str]:
         j -= 1
         if _WIDE.match(text[j]) and i - j >= 2:
             break
-    word = text[j:i].lstrip(_OPEN)
+    word = _composed(text[j:i].lstrip(_OPEN))
     mark = "".join(tail.split())
     return _DIGITS.sub("0", word)[-16:] + mark, _shape(word)[-6:] + mark
 
@@ -122,7 +128,7 @@ def _opening(text: str, at: int, stop: int) -> tuple[str, str]:
     """(word key, shape key) of the word that begins at or after `at`; its opening marks stand before both."""
     lead, word = "", ""
     while not word and (m := _FIRST.search(text, at, stop)):
-        raw = text[m.start() : min(m.end(), m.start() + 30)]
+        raw = _composed(text[m.start() : min(m.end(), m.start() + 30)])
         word = raw.lstrip(_OPEN)
         lead = "“" if len(word) < len(raw) else lead
         at = m.end()
