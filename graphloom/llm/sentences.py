@@ -58,22 +58,22 @@ _BREAK = re.compile(r"(?:\r\n|\n|\r)")
 _BULLET = re.compile(r"[^\S\r\n]*(?:[•‣◦▪●·*–—-][^\S\r\n]+|(\d{1,4})\.(?=[^\S\r\n]))")
 _CAND = re.compile(rf"(?:[{_MARKS}]+|(?<=[ऀ-ॿ] )\||(?<=[ऀ-ॿ])\|)[{re.escape(_CLOSE)}]*(?:[ \t\xa0\u2009\u202f]+[»›])?")
 _THAI_GAP = re.compile(r"(?<=[ก-๛])\s+(?=[ก-๛])")
-_THAI = re.compile(r"[ก-๛]")
+_THAI = re.compile(r"[\u0e01-\u0e5b]")
 _DIGITS = re.compile(r"\d+")
-_WIDE = re.compile(r"[⺀-鿿豈-﫿ｦ-ﾝ]")
+_WIDE = re.compile(r"[\u2e80-\u9fff\uf900-\ufaff\uff66-\uff9d]")
 _QUOTE_OPEN, _QUOTE_SHUT = "«「『《（([【〈“„", "»」』》）)]】〉”"
 
 
 #: Scripts that are told apart, by their letters; the first that reaches MIXED of all letters counts.
 _SCRIPTS = {
-    "kana": re.compile(r"[぀-ヿ]"),
-    "han": re.compile(r"[⺀-⿟㐀-鿿豈-﫿]"),
+    "kana": re.compile(r"[\u3040-\u30ff]"),
+    "han": re.compile(r"[\u2e80-\u2fdf\u3400-\u9fff\uf900-\ufaff]"),
     "thai": _THAI,
-    "hangul": re.compile(r"[ᄀ-ᇿ㄰-㆏가-힣]"),
-    "indic": re.compile(r"[ऀ-෿]"),
-    "arabic": re.compile(r"[֐-ࣿ]"),
-    "cyrillic": re.compile(r"[Ѐ-ԯ]"),
-    "greek": re.compile(r"[Ͱ-Ͽ]"),
+    "hangul": re.compile(r"[\u1100-\u11ff\u3130-\u318f\uac00-\ud7a3]"),
+    "indic": re.compile(r"[\u0900-\u0dff]"),
+    "arabic": re.compile(r"[\u0590-\u08ff]"),
+    "cyrillic": re.compile(r"[\u0400-\u052f]"),
+    "greek": re.compile(r"[\u0370-\u03ff]"),
 }
 _LETTER = re.compile(r"[^\W\d_]")
 MIXED = 0.1

@@ -181,9 +181,11 @@ class SharedSpans:
         into = step.groupBy("h").agg(((F.min("prev") == F.max("prev")) & (F.count("prev") == F.count(F.lit(1)))).alias("one_prev"))
         marks = out.join(into, "h")
         by_prev = marks.select(F.col("h").alias("prev"), F.col("one_next").alias("prev_one_next"))
-        joined = step.join(marks.select("h", "one_prev"), "h").join(by_prev, "prev", "left")
-        begins = ~(F.coalesce(F.col("one_prev"), F.lit(False)) & F.coalesce(F.col("prev_one_next"), F.lit(False)))
-        numbered = joined.withColumn("b", begins.cast("int")).withColumn("path_no", F.sum("b").over(along))
+        # an edge without a predecessor begins a path and needs no join (nor null keys in one)
+        first = step.where("prev is null").select("cls", "at", F.lit(1).alias("b"))
+        rest = step.where("prev is not null").join(marks.select("h", "one_prev"), "h").join(by_prev, "prev")
+        joined = first.unionByName(rest.select("cls", "at", F.when(F.col("one_prev") & F.col("prev_one_next"), 0).otherwise(1).alias("b")))
+        numbered = joined.withColumn("path_no", F.sum("b").over(along))
         paths = numbered.groupBy("cls", "path_no").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))
         return paths.join(texts, "cls").select("cls", "at", "n", F.col("text").substr(F.col("at") + 1, F.lit(self.least)).alias("head"))
 

@@ -202,7 +202,9 @@ class Truncation:
         sentinel = most.where((F.col("sentinel") != "") & (F.col("top") >= SENTINEL_TEXTS) & (F.col("top") >= SENTINEL_SHARE * F.col("all"))).select("record_table", "label", "sentinel")
         is_open = F.when(F.col("sentinel").isNotNull(), F.col("last_line") != F.col("sentinel")).otherwise(F.col("state").isin("open", "ellipsis") | ((F.col("state") == "prose_open") & F.col("natural").isNull()))
         labelled = F.col("sentinel").isNotNull()
-        joined = found.join(natural, ["record_table", "shape"], "left").join(sentinel, ["record_table", "label"], "left")
+        # natural shapes are 1 / NATURAL_SHARE for a table at most; rows without a label stay out of the join on it
+        shaped = found.join(F.broadcast(natural), ["record_table", "shape"], "left")
+        joined = shaped.where("label is not null").join(sentinel, ["record_table", "label"], "left").unionByName(shaped.where("label is null").withColumn("sentinel", F.lit(None).cast("string")))
         self.inspected = joined.select("record_table", "record_id", "writer", "sizes", is_open.alias("is_open"), (~labelled & F.col("state").isin("prose_closed", "ellipsis")).alias("in_doubt"))
         self.limits = limits(self.inspected)
 
