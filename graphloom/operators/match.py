@@ -22,9 +22,9 @@ def predicate_column(hop: Hop, below: dict[str, tuple[str, ...]] | None = None)
     return F.col("predicate").isin(*names)
 
 
-def hop_edges(edges: DataFrame, plan: Plan, i: int, nodes: DataFrame | None = None, below: dict | None = None) -> DataFrame:
+def hop_edges(edges: DataFrame, plan: Plan, i: int, nodes: DataFrame | None = None, below: dict | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """The edges that fit hop i by itself: predicate, pins, sign, filters and categories,
-    as (subject ref, object ref, edge_i)."""
+    as (subject ref, object ref, edge_i) and the columns of `carry` as <column>_i."""
     hop = plan.hops[i]
     out = edges.where(predicate_column(hop, below) & (F.col("negated") == F.lit(hop.negated)) if "negated" in edges.columns and hop.negated else predicate_column(hop, below))
     for name, op, expected in hop.filters:
@@ -35,11 +35,12 @@ def hop_edges(edges: DataFrame, plan: Plan, i: int, nodes: DataFrame | None = No
             out = out.where(F.col(end).isin(*e.ids))
         if e.category and nodes is not None:
             out = out.join(nodes.where(F.col("category") == e.category).select(F.col("id").alias(end)), end, "left_semi")
-    return out.select(F.col("subject").alias(hop.subject), F.col("object").alias(hop.object), F.col("edge_id").alias(f"edge_{i + 1}"))
+    return out.select(F.col("subject").alias(hop.subject), F.col("object").alias(hop.object), F.col("edge_id").alias(f"edge_{i + 1}"), *[F.col(c).alias(f"{c}_{i + 1}") for c in carry])
 
 
-def match(edges: DataFrame, plan: Plan, nodes: DataFrame | None = None, below: dict | None = None, distinct_nodes: bool = True) -> DataFrame:
-    """All bindings of a plan: one column for each entity, one edge id for each hop. With
+def match(edges: DataFrame, plan: Plan, nodes: DataFrame | None = None, below: dict | None = None, distinct_nodes: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """All bindings of a plan: one column for each entity, one edge id for each hop, and the
+    edge columns of `carry`, so that nothing has to be joined to the edges again. With
     `distinct_nodes` an id stands for one entity only."""
     if faults := plan.check():
         raise PlanError("; ".join(faults))
@@ -47,7 +48,7 @@ def match(edges: DataFrame, plan: Plan, nodes: DataFrame | None = None, below: d
     bound: set[str] = set()
     for i in plan.join_order():
         hop = plan.hops[i]
-        step = hop_edges(edges, plan, i, nodes, below)
+        step = hop_edges(edges, plan, i, nodes, below, carry)
         ends = {hop.subject, hop.object}
         if out is None:
             out = step
@@ -60,7 +61,7 @@ def match(edges: DataFrame, plan: Plan, nodes: DataFrame | None = None, below: d
                         out = out.where(F.col(ref) != F.col(other))
         bound |= ends
     refs = list(dict.fromkeys(r for h in plan.hops for r in (h.subject, h.object)))
-    return out.select(*refs, *[f"edge_{i + 1}" for i in range(len(plan.hops))])
+    return out.select(*refs, *[f"{c}_{i + 1}" for c in ("edge", *carry) for i in range(len(plan.hops))])
 
 
 def hop_counts(edges: DataFrame, plan: Plan) -> DataFrame:

@@ -12,12 +12,11 @@ from pyspark.sql import functions as F
 def normalised(df: DataFrame, criteria: dict[str, str], pool: list[str] | None = None) -> DataFrame:
     """`df` with n_<criterion> in 0..1 for each criterion ('asc' or 'desc', best is 1): min-max
     over the pool, 0.5 where all are equal, null where the criterion is unknown."""
-    out = df
-    if pool:
-        ends = df.groupBy(*pool).agg(*[f(c).alias(f"{p}_{c}") for c in criteria for p, f in (("lo", F.min), ("hi", F.max))])
-        out = df.join(ends, pool)
+    aggs = [f(c).alias(f"{p}_{c}") for c in criteria for p, f in (("lo", F.min), ("hi", F.max))]
+    out = df.join(df.groupBy(*pool).agg(*aggs), pool) if pool else df
+    whole = None if pool else df.agg(*aggs).select(F.struct("*")).scalar()  # one subquery for all extremes
     for c, way in criteria.items():
-        lo, hi = (F.col(f"lo_{c}"), F.col(f"hi_{c}")) if pool else (df.agg(F.min(c)).scalar(), df.agg(F.max(c)).scalar())
+        lo, hi = (F.col(f"lo_{c}"), F.col(f"hi_{c}")) if pool else (whole[f"lo_{c}"], whole[f"hi_{c}"])
         v = F.col(c)
         n = F.when(v.isNull(), None).when(hi == lo, 0.5).otherwise((v - lo) / (hi - lo))
         out = out.withColumn(f"n_{c}", F.when(hi != lo, 1 - n).otherwise(n) if way == "asc" else n)

@@ -603,12 +603,9 @@ g AS (SELECT id, count(*) AS n_instances, round(avg(score), 4) AS mean_score FRO
 SELECT CAST(rank AS INT) AS rank, id, name AS label, n_instances, mean_score FROM (SELECT *, row_number() OVER (ORDER BY mean_score DESC, n_instances DESC, id) AS rank FROM g) JOIN nodes USING (id) WHERE rank <= 10""")
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     """Which suppliers provide the parts in a customer's orders, best evidence first."""
-    e = edges(spark, d, "x:placed", "x:contains", "x:supplies")
-    m = match.match(e, CHAIN)
-    s = scored(edges(spark, d, "x:contains", "x:supplies"))
-    second = s.where("predicate = 'x:contains' and num_publications >= 1").select(F.col("edge_id").alias("edge_2"), F.col("score").alias("s2"))
-    third = s.where("predicate = 'x:supplies' and not negated").select(F.col("edge_id").alias("edge_3"), F.col("score").alias("s3"))
-    got = m.join(second, "edge_2").join(third, "edge_3").select(F.col("supplier").alias("id"), F.least("s2", "s3").alias("score"))
+    e = scored(edges(spark, d, "x:placed", "x:contains", "x:supplies"))
+    m = match.match(e, CHAIN, carry=("score", "num_publications", "negated"))
+    got = m.where("num_publications_2 >= 1 and not negated_3").select(F.col("supplier").alias("id"), F.least("score_2", "score_3").alias("score"))
     g = got.groupBy("id").agg(F.count(F.lit(1)).alias("n_instances"), F.round(F.avg("score"), 4).alias("mean_score"))
     best = ranking.top(g, [F.col("mean_score").desc(), F.col("n_instances").desc(), F.col("id")], 10)
     names = nodes(spark, d).where("category = 'Supplier'").select("id", F.col("name").alias("label"))
