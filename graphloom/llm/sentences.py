@@ -33,6 +33,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -90,6 +91,7 @@ def script_of(text: str) -> str:
     return "latin"
 
 
+@lru_cache(maxsize=200_000)
 def _shape(word: str) -> str:
     out = []
     for c in word:
@@ -106,18 +108,15 @@ def _composed(word: str) -> str:
 
 def _closing(text: str, start: int, mark_at: int, end: int) -> tuple[str, str]:
     """(word key, shape key) of the word that ends at a mark, with the mark and what closes it."""
-    tail = text[mark_at:end]
-    i = mark_at
-    while i > start and text[i - 1].isspace():
-        i -= 1
-    j = i
-    limit = max(start, i - 30)
-    while j > limit and not text[j - 1].isspace():
-        j -= 1
-        if _WIDE.match(text[j]) and i - j >= 2:
-            break
-    word = _composed(text[j:i].lstrip(_OPEN))
-    mark = "".join(tail.split())
+    before = text[max(start, mark_at - 31) : mark_at].split()
+    word = before[-1][-30:] if before else ""
+    if not word.isascii():
+        k = len(word) - 2
+        while k > 0 and not _WIDE.match(word[k]):
+            k -= 1
+        word = _composed(word[max(k, 0) :])
+    word = word.lstrip(_OPEN)
+    mark = "".join(text[mark_at:end].split())
     return _DIGITS.sub("0", word)[-16:] + mark, _shape(word)[-6:] + mark
 
 
@@ -278,15 +277,26 @@ def _logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def _balance(text: str, a: int, z: int) -> bool:
-    """Whether quotes and brackets opened in the span are closed in it."""
-    depth = 0
-    for c in text[a:z]:
-        if c in _QUOTE_OPEN:
-            depth += 1 if c != "“" or depth == 0 else -1
-        elif c in _QUOTE_SHUT and depth:
+_PAIRED = re.compile(f"[{re.escape(_QUOTE_OPEN + _QUOTE_SHUT)}\"]")
+
+
+def _open_marks(text: str, a: int, places: list[int]) -> list[tuple[int, int]]:
+    """At each of the ascending places: how many quotes and brackets are open since `a`, and
+    whether the number of straight quotes is odd."""
+    out, depth, straight, k = [], 0, 0, 0
+    for m in _PAIRED.finditer(text, a, places[-1]):
+        at, c = m.start(), m.group()
+        while places[k] <= at:
+            out.append((depth, straight))
+            k += 1
+        if c == '"':
+            straight ^= 1
+        elif c in _QUOTE_OPEN and not (c == "“" and depth):  # German closes with what English opens with
+            depth += 1
+        elif depth:
             depth -= 1
-    return depth <= 0 and text.count('"', a, z) % 2 == 0
+    out += [(depth, straight)] * (len(places) - k)
+    return out
 
 
 def _length_score(words: int) -> float:
@@ -305,8 +315,8 @@ def segment(text: str, model: Model) -> list[int]:
         gains = []
         for end, start, keys in marks:
             word = _opening(text, start, p.end)
-            close, opened = _logit(model.p_close(p.script, keys, _case(word))), min(OPEN_MOST, _logit(model.p_open(p.script, word)))
-            gains.append(close + opened if keys[0] != "ก " else close)
+            gain = _logit(model.p_close(p.script, keys, _case(word)))
+            gains.append(gain + min(OPEN_MOST, _logit(model.p_open(p.script, word))) if keys[0] != "ก " else gain)
         bounds = [p.start, *(m[1] for m in marks), p.end]
         stops = [p.start, *(m[0] for m in marks), p.end]
         n = len(bounds)
@@ -316,6 +326,7 @@ def segment(text: str, model: Model) -> list[int]:
         for i in range(1, n):
             piece = text[bounds[i - 1] : stops[i]]
             counts.append(counts[-1] + (len(piece.split()) if spaced else -(-len(piece) // 4)))
+        opened, shut = _open_marks(text, p.start, bounds), _open_marks(text, p.start, stops)
         best, back = [0.0] + [-math.inf] * (n - 1), [0] * n
         far, far_from = -math.inf, 0  # the best start beyond the window: its span is long, whatever its exact length
         for j in range(1, n):
@@ -323,7 +334,7 @@ def segment(text: str, model: Model) -> list[int]:
             low = max(0, j - WINDOW)
             for i in range(j - 1, low - 1, -1):
                 score = best[i] + gain + _length_score(counts[j] - counts[i])
-                if score > best[j] - 6.0 and not _balance(text, bounds[i], stops[j]):
+                if opened[i][0] < shut[j][0] or opened[i][1] != shut[j][1]:
                     score -= 5.0
                 if score > best[j]:
                     best[j], back[j] = score, i
