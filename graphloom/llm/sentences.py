@@ -20,8 +20,9 @@ scored by their shape.
 Defined cases
 * null, empty and blank texts have no unit; a text without a mark is one unit;
 * a line is a list item if it begins with a bullet and a blank, or with a number and
-  a full stop where the number is 1 or follows the item before it (or the line
-  before it is blank);
+  a full stop, where the line before it is blank, the number follows that of the item
+  before, or it is 1 after a line that ends a sentence (a line may also break before
+  `9. May`); a dash is a bullet after a blank line or another dash item only;
 * a unit ends with its last character that is not white space; offsets count code points.
 """
 
@@ -160,7 +161,7 @@ class Paragraph:
 def paragraphs(text: str) -> Iterator[Paragraph]:
     """The paragraphs and list items of a text with their possible boundaries."""
     begin, at, n = 0, 0, len(text)
-    item_no, prev_blank = 0, True
+    item_no, prev_blank, last_mark, last = 0, True, "", ""
     spans: list[tuple[int, int]] = []
     while at <= n:
         m = _BREAK.search(text, at)
@@ -174,12 +175,14 @@ def paragraphs(text: str) -> Iterator[Paragraph]:
             b = _BULLET.match(text, at, stop + 1 if m else n)
             if b:
                 number = int(b.group(1)) if b.group(1) else None
-                if number is None or prev_blank or number == 1 or number == item_no + 1:
+                mark = b.group().strip()
+                if prev_blank or (number is None and (mark not in "–—" or mark == last_mark)) or (number is not None and (number == item_no + 1 and item_no or number == 1 and last in _MARKS + _CLOSE + ":")):
                     if at > begin:
                         spans.append((begin, at))
                     begin = at
-                    item_no = number or 0
+                    item_no, last_mark = number or 0, mark
         prev_blank = blank
+        last = text[at:stop].rstrip()[-1:]
         if not m:
             break
         at = m.end()
