@@ -71,42 +71,66 @@ class SpanHasher:
         return _mix((self.prefix[starts + length] - self.prefix[starts]) * self.inverse[starts] + np.uint64(length))
 
 
-def _window_minima(h: np.ndarray, w: int) -> np.ndarray:
-    """Positions of the least value (the leftmost among equals) of every window of w values."""
+def _window_minima(h: np.ndarray, w: int, valid: np.ndarray | None = None) -> np.ndarray:
+    """Positions of the least values (all among equals) of every window of w values; only
+    the windows that begin at a `valid` position count. A shorter array is one window."""
     n = len(h)
     if n <= w:
-        return np.array([int(np.argmin(h))])
+        return np.flatnonzero(h == h.min())
     # least values of the windows by doubling: of lengths 1, 2, 4, ... then two that overlap
-    best, length = h.copy(), 1
+    best, length = h, 1
     while length * 2 <= w:
         best = np.minimum(best[:-length], best[length:])
         length *= 2
     m = np.minimum(best[: n - w + 1], best[w - length : w - length + n - w + 1])
+    begins = np.arange(n - w + 1) if valid is None else np.flatnonzero(valid[: n - w + 1])
+    m = m[begins]
     # a position is kept if it is the least of one of the windows that hold it
     keep = np.zeros(n, bool)
     for j in range(w):
-        keep[j : j + n - w + 1] |= h[j : j + n - w + 1] == m
+        at = begins + j
+        keep[at[h[at] == m]] = True
     return np.flatnonzero(keep)
 
 
+#: Characters that are hashed at once; a longer text is hashed by itself.
+CHUNK_CHARS = 300_000
+
+
 def _hashed(texts: DataFrame, least: int, sieve: int) -> DataFrame:
-    """(cls, at, h): the kept k-mers of each text."""
+    """(cls, at, h): the kept k-mers of each text. Texts are laid end to end; windows that
+    would run over the end of a text do not count."""
+    w = least - sieve + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, inverse = _powers(_R, 4096), _powers(_INV, 4096)
+        powers = inverse = np.zeros(0, np.uint64)
+
+        def kept(ids: list[int], chunk: list[str]) -> pa.RecordBatch:
+            nonlocal powers, inverse
+            sizes = np.fromiter(map(len, chunk), np.int64, len(chunk))
+            starts = np.cumsum(sizes) - sizes
+            n = int(sizes.sum())
+            if n + 1 > len(powers):
+                powers, inverse = _powers(_R, n + 1), _powers(_INV, n + 1)
+            h = SpanHasher("".join(chunk), powers, inverse).spans(sieve)
+            valid = np.zeros(n + 1, np.int8)  # windows that lie within one text
+            np.add.at(valid, starts, 1)
+            np.add.at(valid, starts + sizes - least + 1, -1)
+            at = _window_minima(h, w, np.cumsum(valid[:n]) > 0)
+            of = np.searchsorted(starts, at, "right") - 1
+            return pa.RecordBatch.from_arrays([pa.array(np.array(ids, np.int64)[of]), pa.array((at - starts[of]).astype(np.int32)), pa.array(h[at].view(np.int64))], ["cls", "at", "h"])
+
         for batch in batches:
-            ids, ats, hs = [], [], []
-            for cls, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                if len(text) + 1 > len(powers):
-                    powers, inverse = _powers(_R, 2 * len(text)), _powers(_INV, 2 * len(text))
-                h = SpanHasher(text, powers, inverse).spans(sieve)
-                at = _window_minima(h, least - sieve + 1)
-                ids.append(np.full(len(at), cls, np.int64))
-                ats.append(at.astype(np.int32))
-                hs.append(h[at].view(np.int64))
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(ats)), pa.array(np.concatenate(hs))], ["cls", "at", "h"])
+            ids, chunk, size = [], [], 0
+            for cls, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids.append(cls)
+                chunk.append(text)
+                size += len(text)
+                if size >= CHUNK_CHARS:
+                    yield kept(ids, chunk)
+                    ids, chunk, size = [], [], 0
+            if chunk:
+                yield kept(ids, chunk)
 
     return texts.select("cls", "text").mapInArrow(run, "cls bigint, at int, h bigint")
 
