@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import queries_graph
+from . import queries_graph, queries_more
 from .operators import closure, drift, hierarchy, nested
 from .sources import table
 
@@ -107,7 +107,7 @@ def fil27_scope(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_entries": p1_entries, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p5_found": p5_found, "p5_objects": p5_objects, "p5_bindings": p5_bindings}
-QUERIES |= {"gr7_ancestors": gr7_ancestors, "gr8_nearest_active": gr8_nearest_active, "gr10_leaves": gr10_leaves, "gr11_inverses": gr11_inverses, "fil27_scope": fil27_scope, **queries_graph.QUERIES}
+QUERIES |= {"gr7_ancestors": gr7_ancestors, "gr8_nearest_active": gr8_nearest_active, "gr10_leaves": gr10_leaves, "gr11_inverses": gr11_inverses, "fil27_scope": fil27_scope, **queries_graph.QUERIES, **queries_more.QUERIES}
 
 _FORM = """CASE WHEN {0} IS NULL THEN NULL WHEN b_{0} IN ('', '~') THEN NULL ELSE concat('biolink:', b_{0}) END"""
 _BARE = """regexp_replace(regexp_replace(lower({0}), '^\\s*(biolink:)?\\s*|\\s+$', '', 'g'), '[\\s_-]+', '_', 'g') AS b_{0}"""
@@ -118,6 +118,7 @@ up AS (SELECT snapshot_id, node, node AS anc, 0 AS distance FROM names UNION ALL
 tops AS (SELECT u.snapshot_id, u.node, u.anc AS root, u.distance AS depth FROM up u LEFT JOIN par p ON p.snapshot_id = u.snapshot_id AND p.node = u.anc WHERE coalesce(p.parent, '') = '') """
 SQL: dict[str, str] = {
     **queries_graph.SQL,
+    **queries_more.SQL,
     "p3_found": _TREE.replace("AND distance < 2000", "AND distance < 2000") + f""", raw_i AS (SELECT *, {_BARE.format('predicate')}, {_BARE.format('inverse_predicate')} FROM predicate_inverses),
 inv AS (SELECT snapshot_id, node, max_by(coalesce(other, ''), (loaded_at, coalesce(other, ''))) AS other FROM (SELECT snapshot_id, {_FORM.format('predicate')} AS node, {_FORM.format('inverse_predicate')} AS other, loaded_at FROM raw_i) GROUP BY ALL),
 walk AS (SELECT snapshot_id, node, other AS cur, 1 AS n FROM inv WHERE other <> '' UNION ALL SELECT w.snapshot_id, w.node, i.other, n + 1 FROM walk w JOIN inv i ON i.snapshot_id = w.snapshot_id AND i.node = w.cur WHERE i.other <> '' AND w.cur <> w.node AND n < 200)
