@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources import spill
+from ..sources import spill, spread
 
 #: A field is held by a file if this share of the counting lines give it a value.
 HELD_SHARE = 0.1
@@ -90,7 +90,7 @@ def parsed_lines(lines: DataFrame, keep_nested: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.list_(_FIELD)))], ["file_id", "line_no", "entry_key", "fetched_at", "fields"])
 
     cols = [F.col("file_id").cast("bigint"), F.col("line_no").cast("int"), F.col("raw_line").cast("string")]
-    return lines.select(*cols).where("file_id is not null").mapInArrow(read, _DDL)
+    return spread(lines.select(*cols).where("file_id is not null")).mapInArrow(read, _DDL)
 
 
 def file_order(files: DataFrame) -> DataFrame:

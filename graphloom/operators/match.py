@@ -48,7 +48,7 @@ def match(edges: DataFrame, plan: Plan, nodes: DataFrame | None = None, below: d
     bound: set[str] = set()
     for i in plan.join_order():
         hop = plan.hops[i]
-        step = hop_edges(edges, plan, i, nodes, below, carry)
+        step = hop_edges(edges, plan, i, None, below, carry)
         ends = {hop.subject, hop.object}
         if out is None:
             out = step
@@ -59,6 +59,11 @@ def match(edges: DataFrame, plan: Plan, nodes: DataFrame | None = None, below: d
                 for ref in new:
                     for other in bound:
                         out = out.where(F.col(ref) != F.col(other))
+        # categories are checked on what is bound so far, not on whole edge tables
+        for ref in sorted(ends - bound):
+            category = plan.entity(ref).category
+            if category and nodes is not None:
+                out = out.join(nodes.where(F.col("category") == category).select(F.col("id").alias(ref)), ref, "left_semi")
         bound |= ends
     refs = list(dict.fromkeys(r for h in plan.hops for r in (h.subject, h.object)))
     return out.select(*refs, *[f"{c}_{i + 1}" for c in ("edge", *carry) for i in range(len(plan.hops))])

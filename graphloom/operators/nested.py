@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources import spread
+
 #: Bytes of JSON text that are indexed at once; a longer document is a chunk of its own.
 CHUNK_BYTES = 2_000_000
 
@@ -206,7 +208,7 @@ def elements(df: DataFrame, key: str = "entry_id", fields: tuple[str, ...] = DOC
                     [key, "doc_field", "elem_path"],
                 )
 
-    return df.select(key, *fields).mapInArrow(shred, f"`{key}` {kind}, doc_field string, elem_path string").distinct()
+    return spread(df.select(key, *fields)).mapInArrow(shred, f"`{key}` {kind}, doc_field string, elem_path string").distinct()
 
 
 def shredded(df: DataFrame, key: str = "entry_id", fields: tuple[str, ...] = DOC_FIELDS) -> DataFrame:
@@ -237,7 +239,7 @@ def shredded(df: DataFrame, key: str = "entry_id", fields: tuple[str, ...] = DOC
                 values = [list(c) for c in cols[:7]] + [[[{"name": a, "json": b} for a, b in x] for x in cols[7]]]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names)
 
-    out = df.select(key, *fields).mapInArrow(shred, f"`{key}` {kind}, doc_field string, node_path string, parent_path string, member string, place int, depth int, scalars array<struct<name:string,json:string>>")
+    out = spread(df.select(key, *fields)).mapInArrow(shred, f"`{key}` {kind}, doc_field string, node_path string, parent_path string, member string, place int, depth int, scalars array<struct<name:string,json:string>>")
     return out.dropDuplicates([key, "doc_field", "node_path"])
 
 

@@ -1,6 +1,6 @@
 """Table readers and scratch storage."""
 
-from .tables import table
 from .scratch import drop_scratch, spill
+from .tables import spread, table
 
-__all__ = ["drop_scratch", "spill", "table"]
+__all__ = ["drop_scratch", "spill", "spread", "table"]
