@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import spill
+from ..sources import spill, spread
 
 #: A word is kept in a table from this share of all its script's texts and words at (possible) boundaries.
 KEEP_SHARE = 1e-4
@@ -417,7 +417,7 @@ def _body(text: str, p: Paragraph) -> int:
 
 def fit(docs: DataFrame, text: str = "text") -> Model:
     """The model of a corpus: two passes over all texts."""
-    column = docs.select(text)
+    column = spread(docs.select(text))
 
     def closings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def count(t: str, c: Counter) -> None:
@@ -505,4 +505,4 @@ def sentence_ends(docs: DataFrame, key: str = "doc_id", text: str = "text", mode
                     ends += found
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which, pa.int64())), pa.array(ends, pa.int64())], [key, "end_char"])
 
-    return docs.select(key, text).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, end_char bigint")
+    return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, end_char bigint")

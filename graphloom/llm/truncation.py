@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources import spill
+from ..sources import spill, spread
 
 MEASURES = ("chars", "utf8", "utf16", "json", "json_unicode", "entities", "crlf", "unlabelled")
 
@@ -169,7 +169,7 @@ def features(texts: DataFrame) -> DataFrame:
                 sizes.append(lengths(base))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(states, pa.string()), pa.array(shapes, pa.string()), pa.array(labels, pa.string()), pa.array(lasts, pa.string()), pa.array(sizes, pa.list_(pa.int32()))], [c.split()[0] for c in _DDL.split(", ")])
 
-    return texts.select("record_table", "record_id", "writer", "text").where("text is not null and text != ''").mapInArrow(run, _DDL)
+    return spread(texts.select("record_table", "record_id", "writer", "text").where("text is not null and text != ''")).mapInArrow(run, _DDL)
 
 
 def _measured(rows: DataFrame, *cols: str) -> DataFrame:
