@@ -18,11 +18,14 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests on
-    one machine), a temporary folder of this process."""
+    """The folder named by spark.checkpoint.dir; where that is unset on one machine, a
+    temporary folder of this process. A cluster must name one: no folder of a single
+    machine is shared."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="graphloom-")
