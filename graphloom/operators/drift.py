@@ -143,7 +143,7 @@ def _one_to_one(found: DataFrame) -> DataFrame:
 
 def changes(lines: DataFrame, files: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
     """(file_id, change_kind, field_name, old_name) of every change from a store's preceding file."""
-    parsed = spill(parsed_lines(lines)) if parsed is None else parsed
+    parsed = spill(parsed_lines(lines), batch_rows=4000) if parsed is None else parsed
     sides, found = _compared(parsed, files)
     renamed = spill(_one_to_one(found))
     gone, came = sides.where("new_type is null"), sides.where("old_type is null")
@@ -173,7 +173,7 @@ def unified(lines: DataFrame, files: DataFrame) -> DataFrame:
     """All counting lines as one table: file, line and one column for each field of the
     union schema, cast to the field's type; members outside it stay in the map `extra`.
     The driver reads the union schema only: one row for each distinct field name."""
-    parsed = spill(parsed_lines(lines, keep_nested=True))
+    parsed = spill(parsed_lines(lines, keep_nested=True), batch_rows=4000)
     names, typed = union_schema(parsed, files, changes(lines, files, parsed))
     names = spill(names)
     schema = typed.orderBy("field").collect()

@@ -52,11 +52,22 @@ class Scratch:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def spill(df: DataFrame, with_path: bool = False):
-    """Write `df` to the shared folder and read it back. Empty tables keep their schema."""
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def spill(df: DataFrame, with_path: bool = False, batch_rows: int | None = None):
+    """Write `df` to the shared folder and read it back. Empty tables keep their schema.
+    batch_rows: rows that go to a Python worker at once while it is written; fewer for long
+    texts, of which a worker and its executor hold several copies."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_BATCH)
+    try:
+        if batch_rows:
+            spark.conf.set(_BATCH, min(batch_rows, int(before)) if int(before) > 0 else batch_rows)
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, before)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     return (out, path) if with_path else out
