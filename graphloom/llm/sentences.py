@@ -385,7 +385,7 @@ def _summed(rows: DataFrame) -> dict[tuple[str, str, str, str], float]:
     most 1 / KEEP_SHARE keys of each come to the driver. What is kept depends on the number
     of texts with the key, so that no name of one long text is kept, and never on whether
     it was seen at a certain boundary."""
-    per = spill(rows.groupBy("kind", "script", "level", "key").agg(F.sum("n").alias("n")))
+    per = spill(rows.groupBy("kind", "script", "level", "key").agg(F.sum("n").alias("n")), batch_rows=2000)
     seen = per.where("kind = 'seen'").select("script", "level", "key", F.col("n").alias("seen"))
     whole = seen.groupBy("script", "level").agg(F.sum("seen").alias("all"))
     kept = seen.join(whole, ["script", "level"]).where((F.col("seen") >= KEEP_LEAST) & (F.col("seen") >= F.col("all") * KEEP_SHARE)).select("script", "level", "key")

@@ -193,7 +193,7 @@ class Truncation:
     """The cut records of `texts` (record_table, record_id, writer, text)."""
 
     def __init__(self, texts: DataFrame):
-        found = spill(features(texts))
+        found = spill(features(texts), batch_rows=1000)
         totals = found.groupBy("record_table").agg(F.count(F.lit(1)).alias("n_all"))
         shapes = found.where("state = 'prose_open'").groupBy("record_table", "shape").agg(F.count(F.lit(1)).alias("n"))
         natural = shapes.join(totals, "record_table").where((F.col("n") >= NATURAL_TEXTS) & (F.col("n") >= NATURAL_SHARE * F.col("n_all"))).select("record_table", "shape", F.lit(True).alias("natural"))
