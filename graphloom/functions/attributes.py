@@ -5,54 +5,65 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-INNER = "struct<attribute_type_id:string,original_attribute_name:string,value:array<string>>"
-ATTRIBUTE = f"struct<attribute_type_id:string,original_attribute_name:string,value:array<string>,attributes:array<{INNER}>>"
+from .fixed import CURATED_SOURCES, NAME_FIELDS, PUBLICATION_TYPES, TEXT_MINED_SOURCES
+
+INNER = "struct<" + ",".join(f"{f}:string" for f in NAME_FIELDS) + ",value:array<string>>"
+ATTRIBUTE = INNER[:-1] + f",attributes:array<{INNER}>>"
 SOURCE = "struct<resource_id:string,resource_role:string>"
 
 
 def _inner(a: Column) -> Column:
-    return F.struct(a["attribute_type_id"].alias("attribute_type_id"), a["original_attribute_name"].alias("original_attribute_name"), a["value"].alias("value"))
+    return F.struct(*[a[f].alias(f) for f in NAME_FIELDS], a["value"].alias("value"))
 
 
 def flat(attributes: Column) -> Column:
-    """The attributes, each followed by those one level below it."""
+    """The attributes, each followed by those one level below it: what the functions below look
+    at. Make it a column of its own first, so that it is built once for all of them."""
     nested = F.transform(attributes, lambda a: F.concat(F.array(_inner(a)), F.coalesce(a["attributes"], F.array().cast(f"array<{INNER}>"))))
     return F.coalesce(F.flatten(nested), F.array().cast(f"array<{INNER}>"))
 
 
 def local_name(name: Column) -> Column:
     """The part after the last colon, lower case, hyphens and blanks as underscores."""
-    return F.regexp_replace(F.lower(F.element_at(F.split(name, ":"), -1)), "[- ]", "_")
+    return F.translate(F.lower(F.substring_index(name, ":", -1)), "- ", "__")
 
 
 def named(attributes: Column, name: str) -> Column:
-    """The values of the first attribute, on either level, of that local name."""
-    hit = F.filter(flat(attributes), lambda a: (local_name(F.coalesce(a["attribute_type_id"], F.lit(""))) == name) | (local_name(F.coalesce(a["original_attribute_name"], F.lit(""))) == name))
+    """The values of the first attribute, on either level, that has the local name in any of
+    the fields in which a name may stand."""
+
+    def called(a: Column) -> Column:
+        out = F.lit(False)
+        for f in NAME_FIELDS:
+            out = out | (local_name(F.coalesce(a[f], F.lit(""))) == name)
+        return out
+
+    hit = F.filter(attributes, called)
     return F.get(hit, 0)["value"]
 
 
 def names(attributes: Column) -> Column:
     """All local names that occur, sorted."""
-    return F.array_sort(F.array_distinct(F.transform(flat(attributes), lambda a: local_name(F.coalesce(a["attribute_type_id"], a["original_attribute_name"])))))
+    return F.array_sort(F.array_distinct(F.transform(attributes, lambda a: local_name(F.coalesce(a["attribute_type_id"], a["original_attribute_name"])))))
 
 
 def first_value(attributes: Column, name: str, default: str) -> Column:
     """The first value that is not empty of an attribute, else `default`."""
-    hits = F.filter(flat(attributes), lambda a: local_name(F.coalesce(a["attribute_type_id"], F.lit(""))) == name)
+    hits = F.filter(attributes, lambda a: local_name(F.coalesce(a["attribute_type_id"], F.lit(""))) == name)
     values = F.filter(F.flatten(F.transform(hits, lambda a: a["value"])), lambda v: v.isNotNull() & (v != ""))
     return F.coalesce(F.get(values, 0), F.lit(default))
 
 
-def publications(attributes: Column, type_names: tuple[str, ...] = ("publications", "publication", "pubmed_id", "references", "supporting_documents")) -> Column:
+def publications(attributes: Column, type_names: tuple[str, ...] = PUBLICATION_TYPES) -> Column:
     """Distinct publication ids (PMID or PMC, any case), sorted."""
-    hits = F.filter(flat(attributes), lambda a: local_name(F.coalesce(a["attribute_type_id"], F.lit(""))).isin(*type_names))
+    hits = F.filter(attributes, lambda a: local_name(F.coalesce(a["attribute_type_id"], F.lit(""))).isin(*type_names))
     values = F.flatten(F.transform(hits, lambda a: a["value"]))
     return F.array_sort(F.array_distinct(F.filter(values, lambda v: F.upper(v).rlike("^(PMID|PMC)"))))
 
 
 def negated(flag: Column, attributes: Column) -> Column:
     """The record's own flag; else the first `negated` attribute decides, as a word."""
-    said = F.get(F.filter(flat(attributes), lambda a: local_name(F.coalesce(a["attribute_type_id"], F.lit(""))) == "negated"), 0)["value"]
+    said = F.get(F.filter(attributes, lambda a: local_name(F.coalesce(a["attribute_type_id"], F.lit(""))) == "negated"), 0)["value"]
     return F.coalesce(flag, F.lit(False)) | F.coalesce(F.lower(F.get(said, 0)) == "true", F.lit(False))
 
 
@@ -69,6 +80,22 @@ def all_sources(sources: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.transform(sources, lambda s: s["resource_id"]), lambda x: x.isNotNull())))
 
 
+def source_matches(source: Column, keywords: tuple[str, ...]) -> Column:
+    """Whether a source id (`infores:automat-ctd`) means one of the keywords: equal without
+    separators, as a whole word of the id, or, for keywords of five letters or more, inside it."""
+    bare = F.regexp_replace(F.lower(F.trim(source)), "^[^:]*:", "")
+    joined, words = F.regexp_replace(bare, "[-_.]", ""), F.split(bare, "[-_.]+")
+    squeezed = [k.lower().replace("-", "").replace("_", "").replace(".", "") for k in keywords]
+    hit = joined.isin(*squeezed) | F.arrays_overlap(words, F.array(*[F.lit(k) for k in squeezed]))
+    long = [k for k in squeezed if len(k) >= 5]
+    return F.coalesce((joined != "") & (hit | joined.rlike("|".join(long)) if long else hit), F.lit(False))
+
+
+def source_class(source: Column) -> Column:
+    """text_mined (tested first), curated or other."""
+    return F.when(source_matches(source, TEXT_MINED_SOURCES), "text_mined").when(source_matches(source, CURATED_SOURCES), "curated").otherwise("other")
+
+
 def number_or_flag(value: Column) -> Column:
     """A number; words of approval are 1, of refusal 0; anything else is unknown."""
     word = F.lower(F.trim(value.cast("string")))

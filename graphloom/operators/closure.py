@@ -30,3 +30,16 @@ def completed_inverses(inverses: DataFrame, group: str, a: str, b: str) -> DataF
     """Inverses that are given one way only, both ways; each pair once in each direction."""
     one = inverses.where(F.col(b).isNotNull()).select(group, a, b)
     return one.union(one.select(group, F.col(b), F.col(a))).distinct()
+
+
+def satisfies(pathed: DataFrame, pairs: DataFrame, group: str, mixins: DataFrame | None = None) -> DataFrame:
+    """`pairs` (group, have, want) with `is_satisfied`: `want` is `have` or stands above it. A
+    mixin (rows group, mixin, implementer) satisfies what all of its implementers satisfy."""
+    own = pathed.select(group, F.col("node").alias("have"), F.col("node").alias("want"))
+    above = ancestors(pathed, group).select(group, F.col("node").alias("have"), F.col("ancestor").alias("want")).unionByName(own).withColumn("yes", F.lit(True))
+    if mixins is None:
+        return pairs.join(above, [group, "have", "want"], "left").select(group, "have", "want", F.col("yes").isNotNull().alias("is_satisfied"))
+    as_is = mixins.select(group, F.col("mixin").alias("have"), F.col("implementer"))
+    spread = pairs.join(as_is, [group, "have"], "left").withColumn("from_", F.coalesce("implementer", "have"))
+    hit = spread.join(above.withColumnRenamed("have", "from_"), [group, "from_", "want"], "left")
+    return hit.groupBy(group, "have", "want").agg(F.bool_and(F.col("yes").isNotNull()).alias("is_satisfied"))

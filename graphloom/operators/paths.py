@@ -7,10 +7,12 @@ arrive: the frontier follows the answer, not the graph."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fixed import CONTRARY_PREDICATES, NON_MECHANISTIC_PREDICATES
 from ..sources import spill
+from .rules import first_reason
 
 MAX_HOPS = 5
 
@@ -50,3 +52,41 @@ def simple_paths(edges: DataFrame, starts: list[str], ends: list[str], max_hops:
 def distinct_routes(paths: DataFrame) -> DataFrame:
     """One row for each (nodes, predicates), with the number of edge variants behind it."""
     return paths.groupBy("nodes", "predicates", "length").agg(F.count(F.lit(1)).alias("variant_count"), F.min("edges").alias("edges"))
+
+
+def verdict(predicates: Column, negated: Column) -> Column:
+    """What a path (arrays by edge) may be used for: malformed, negated, contrary (its last
+    predicate speaks against the candidate), no_mechanism (all its predicates link without
+    one), else ok."""
+    reasons = [
+        ("malformed", predicates.isNull() | (F.size(predicates) == 0)),
+        ("negated", F.exists(negated, lambda x: x)),
+        ("contrary", F.try_element_at(predicates, F.lit(-1)).isin(*CONTRARY_PREDICATES)),
+        ("no_mechanism", F.forall(predicates, lambda p: p.isin(*NON_MECHANISTIC_PREDICATES))),
+    ]
+    return first_reason(reasons, "ok")
+
+
+def drop_reason(nodes: Column, middles: Column, predicates: Column, negated: Column, publications: Column, *, allowed_middles: tuple[str, ...] = (), banned_middles: tuple[str, ...] = (), allowed: tuple[str, ...] = (), banned: tuple[str, ...] = (), required: tuple[str, ...] = (), least_publications: int = 0) -> Column:
+    """The first rule of a request that a path breaks, else `kept`: every middle category must
+    be allowed and none banned, all predicates allowed and none banned, one required one
+    present, no edge negated, every edge with enough publications."""
+
+    def of(names: tuple[str, ...]) -> Column:
+        return F.array(*[F.lit(n) for n in names]).cast("array<string>")
+
+    reasons = [("repeated_node", F.size(F.array_distinct(nodes)) < F.size(nodes))]
+    if allowed_middles:
+        reasons.append(("middle_category_not_allowed", F.size(F.array_except(middles, of(allowed_middles))) > 0))
+    if banned_middles:
+        reasons.append(("middle_category_excluded", F.arrays_overlap(middles, of(banned_middles))))
+    if allowed:
+        reasons.append(("predicate_not_whitelisted", F.size(F.array_except(predicates, of(allowed))) > 0))
+    if banned:
+        reasons.append(("predicate_blacklisted", F.arrays_overlap(predicates, of(banned))))
+    if required:
+        reasons.append(("required_predicate_absent", ~F.arrays_overlap(predicates, of(required))))
+    reasons.append(("negated_edge", F.exists(negated, lambda x: x)))
+    if least_publications:
+        reasons.append(("insufficient_publications", F.exists(publications, lambda n: n < least_publications)))
+    return first_reason(reasons)

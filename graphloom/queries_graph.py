@@ -96,17 +96,21 @@ def src14_cache_read(spark: SparkSession, d: str) -> DataFrame:
 # ---- projections -------------------------------------------------------------------------
 
 
+_NO_NAMES = ", ".join(f"'{f}', cast(null as string)" for f in A.NAME_FIELDS[1:])
+_NO_OTHERS = ", ".join(f"'{f}', cast(null as string)" for f in A.NAME_FIELDS[2:])
+
+
 def edge_records(spark: SparkSession, d: str) -> DataFrame:
     """Supplies edges in the nested form in which a graph service returns them."""
     li = line_evidence(spark, d)
 
     def attr(name: str, value, inner: str = "array()") -> str:
-        return f"named_struct('attribute_type_id', '{name}', 'original_attribute_name', cast(null as string), 'value', {value}, 'attributes', {inner})"
+        return f"named_struct('attribute_type_id', '{name}', {_NO_NAMES}, 'value', {value}, 'attributes', {inner})"
 
     level = attr("biolink:knowledge_level", "filter(array(knowledge_level), x -> x is not null)", f"cast(array() as array<{A.INNER}>)")
     agent = attr("biolink:agent_type", "filter(array(agent_type), x -> x is not null)", f"cast(array() as array<{A.INNER}>)")
     pubs = "transform(sequence(1, num_publications), k -> concat('PMID:', l_orderkey, '-', k))"
-    outer = attr("biolink:primary_support", "array('see below')", f"array(named_struct('attribute_type_id', 'biolink:publications', 'original_attribute_name', cast(null as string), 'value', {pubs}))")
+    outer = attr("biolink:primary_support", "array('see below')", f"array(named_struct('attribute_type_id', 'biolink:publications', {_NO_NAMES}, 'value', {pubs}))")
     none = f"cast(array() as array<{A.ATTRIBUTE}>)"
     neg = attr("negated", "array(cast(negated as string))", f"cast(array() as array<{A.INNER}>)")
     sources = f"concat(if(primary_source is null, cast(array() as array<{A.SOURCE}>), array(named_struct('resource_id', primary_source, 'resource_role', 'primary_knowledge_source'))), if(num_sources > 1, array(named_struct('resource_id', 'infores:second', 'resource_role', cast(null as string))), cast(array() as array<{A.SOURCE}>)))"
@@ -118,7 +122,7 @@ def edge_records(spark: SparkSession, d: str) -> DataFrame:
  primary_source, concat_ws(';', CASE WHEN num_sources > 1 THEN 'infores:second' END, primary_source) AS sources, CASE WHEN num_sources > 1 THEN 1 ELSE 0 END AS n_unknown_role FROM line""")
 def prj_edge_attributes(spark: SparkSession, d: str) -> DataFrame:
     """PRJ1-9, PRJ13: publications (one level down), level, agent, sign and sources of nested edge records."""
-    e, a, s = edge_records(spark, d), F.col("attributes"), F.col("sources")
+    e, a, s = edge_records(spark, d).withColumn("flat", A.flat(F.col("attributes"))), F.col("flat"), F.col("sources")
     return e.select(
         "edge_id",
         F.array_join(A.publications(a), ";").alias("pubs"),
@@ -139,11 +143,11 @@ NODE_STATUS = "CASE WHEN p_size <= 15 THEN 'approved' WHEN p_size <= 30 THEN 'no
 def prj_node_fields(spark: SparkSession, d: str) -> DataFrame:
     """PRJ10-12, PRJ14: a node's field by local name on either level, all names, words as numbers."""
     status = "case when p_size <= 15 then 'approved' when p_size <= 30 then 'not_approved' when p_size <= 40 then cast(p_size as string) end"
-    inner = "named_struct('attribute_type_id', cast(null as string), 'original_attribute_name', 'Approval-Status', 'value', array(status))"
-    attrs = f"array(named_struct('attribute_type_id', 'x:brand', 'original_attribute_name', cast(null as string), 'value', array(p_brand), 'attributes', if(status is null, cast(array() as array<{A.INNER}>), array({inner})))) as attributes"
-    p = table(spark, d, "part").selectExpr("concat('PART:', p_partkey) as id", "p_brand", f"{status} as status").selectExpr("id", attrs)
-    value = F.get(A.named(F.col("attributes"), "approval_status"), 0)
-    return p.select("id", value.alias("approval"), A.number_or_flag(value).alias("approval_value"), F.array_join(A.names(F.col("attributes")), ";").alias("names"))
+    inner = f"named_struct('attribute_type_id', cast(null as string), 'original_attribute_name', 'Approval-Status', {_NO_OTHERS}, 'value', array(status))"
+    attrs = f"array(named_struct('attribute_type_id', 'x:brand', {_NO_NAMES}, 'value', array(p_brand), 'attributes', if(status is null, cast(array() as array<{A.INNER}>), array({inner})))) as attributes"
+    p = table(spark, d, "part").selectExpr("concat('PART:', p_partkey) as id", "p_brand", f"{status} as status").selectExpr("id", attrs).withColumn("flat", A.flat(F.col("attributes")))
+    value = F.get(A.named(F.col("flat"), "approval_status"), 0)
+    return p.select("id", value.alias("approval"), A.number_or_flag(value).alias("approval_value"), F.array_join(A.names(F.col("flat")), ";").alias("names"))
 
 
 @query("""SELECT DISTINCT parent_predicate AS raw, CASE WHEN starts_with(parent_predicate, 'biolink:') THEN parent_predicate ELSE concat('biolink:', parent_predicate) END AS prefixed,

@@ -98,9 +98,9 @@ def test_apply_op_on_lists_and_nulls(spark):
 
 
 def test_attributes_on_both_levels(spark):
-    inner = [("biolink:publications", None, ["pmid:2", "PMC1", "doi:3"])]
-    attrs = [("biolink:knowledge_level", None, ["", "prediction"], []), ("negated", None, ["TRUE"], []), ("x:outer", "My-Field Name", ["7"], inner)]
-    df = spark.createDataFrame([(attrs, [("s1", "primary_knowledge_source"), ("s2", None)]), ([], []), (None, None)], f"a array<{A.ATTRIBUTE}>, s array<{A.SOURCE}>")
+    inner = [("biolink:publications", None, None, None, None, ["pmid:2", "PMC1", "doi:3"])]
+    attrs = [("biolink:knowledge_level", None, None, None, None, ["", "prediction"], []), ("negated", None, None, None, None, ["TRUE"], []), ("x:outer", None, None, None, "My-Field Name", ["7"], inner)]
+    df = spark.createDataFrame([(attrs, [("s1", "primary_knowledge_source"), ("s2", None)]), ([], []), (None, None)], f"a array<{A.ATTRIBUTE}>, s array<{A.SOURCE}>").withColumn("a", A.flat(F.col("a")))
     rows = df.select(A.publications(F.col("a")), A.first_value(F.col("a"), "knowledge_level", "not_provided"), A.negated(F.lit(None).cast("boolean"), F.col("a")), A.named(F.col("a"), "my_field_name"), A.primary_source(F.col("s")), A.by_role(F.col("s"), "unknown"), A.names(F.col("a"))).collect()
     assert tuple(rows[0]) == (["PMC1", "pmid:2"], "prediction", True, ["7"], "s1", ["s2"], ["knowledge_level", "negated", "outer", "publications"])
     assert rows[1][1] == rows[2][1] == "not_provided" and rows[1][2] is False
@@ -164,6 +164,25 @@ def test_simple_paths_equal_a_depth_first_search(spark):
     assert sum(r["variant_count"] for r in routes) == len(want)
 
 
+def test_sources_by_whole_words(spark):
+    ids = ["infores:automat-ctd", "infores:mygene-info", "infores:drug-central", "infores:text-mining-provider-targeted", "infores:go", "infores:gtopdb", "infores:semmeddb2", "", None]
+    got = [r[0] for r in spark.createDataFrame([(i,) for i in ids], "s string").select(A.source_class(F.col("s"))).collect()]
+    assert got == ["curated", "other", "curated", "text_mined", "curated", "curated", "text_mined", "other", "other"]
+
+
+def test_what_a_path_may_be_used_for(spark):
+    rows = [([], []), (["biolink:treats", "biolink:causes"], [False, False]), (["biolink:treats", "biolink:affects"], [False, True]), (["biolink:related_to", "biolink:same_as"], [False, False]), (["biolink:causes", "biolink:treats"], [False, False]), (None, None)]
+    df = spark.createDataFrame(rows, "p array<string>, n array<boolean>")
+    assert [r[0] for r in df.select(paths.verdict(F.col("p"), F.col("n"))).collect()] == ["malformed", "contrary", "negated", "no_mechanism", "ok", "malformed"]
+
+
+def test_the_first_rule_a_path_breaks(spark):
+    rows = [(["a", "b", "a"], ["Gene"], ["p"], [False], [3]), (["a", "b"], ["Gene", "Pathway"], ["p"], [False], [3]), (["a", "b"], ["Gene"], ["p", "q"], [False], [3]), (["a", "b"], ["Gene"], ["r"], [False], [3]), (["a", "b"], ["Gene"], ["p"], [True], [3]), (["a", "b"], ["Gene"], ["p"], [False], [3, 0]), (["a", "b"], [], ["p"], [False], [1])]
+    df = spark.createDataFrame(rows, "nodes array<string>, mid array<string>, p array<string>, neg array<boolean>, pubs array<int>")
+    c = paths.drop_reason(*[F.col(x) for x in ("nodes", "mid", "p", "neg", "pubs")], allowed_middles=("Gene",), allowed=("p", "r"), required=("p",), least_publications=1)
+    assert [r[0] for r in df.select(c).collect()] == ["repeated_node", "middle_category_not_allowed", "predicate_not_whitelisted", "required_predicate_absent", "negated_edge", "insufficient_publications", "kept"]
+
+
 def test_sets(spark):
     a, b = spark.createDataFrame([("x",), ("y",), ("x",)], "id string"), spark.createDataFrame([("y",), ("z",)], "id string")
     assert {tuple(r) for r in sets.union_of({"P1": a, "P2": b}, "id").collect()} == {("x", 1, "P1"), ("y", 2, "P1;P2"), ("z", 1, "P2")}

@@ -90,3 +90,13 @@ def test_questions_to_a_hierarchy(spark):
     from pyspark.sql import functions as F
 
     assert {tuple(r) for r in closure.nearest(t, facts, "g", "v", F.col("ok")).collect()} == {("g", "a", "va"), ("g", "b", "va"), ("g", "c", "va"), ("g", "d", "vd")}
+
+
+def test_what_satisfies_what(spark):
+    t = hierarchy.with_paths(tree(spark, [("g", "b", "a"), ("g", "c", "b"), ("g", "x", "z")]), "g")
+    pairs = spark.createDataFrame([("g", "c", "a"), ("g", "c", "c"), ("g", "a", "c"), ("g", "m", "a"), ("g", "n", "a"), ("g", "?", "a")], "g string, have string, want string")
+    mixins = spark.createDataFrame([("g", "m", "b"), ("g", "m", "c"), ("g", "n", "c"), ("g", "n", "x")], "g string, mixin string, implementer string")
+    got = {(r["have"], r["want"]): r["is_satisfied"] for r in closure.satisfies(t, pairs, "g", mixins).collect()}
+    assert got == {("c", "a"): True, ("c", "c"): True, ("a", "c"): False, ("m", "a"): True, ("n", "a"): False, ("?", "a"): False}
+    plain = {(r["have"], r["want"]): r["is_satisfied"] for r in closure.satisfies(t, pairs, "g").collect()}
+    assert plain["c", "a"] and not plain["m", "a"]
