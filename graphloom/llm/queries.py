@@ -69,4 +69,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"p8_found": p8_found, "p2_found": p2_found, "p2_shares": p2_shares, "p2_limits": p2_limits, "p4_found": p4_found, "p4_coverage": p4_coverage, "p6_ids": p6_ids, "p7_pack": p7_pack, "p7_fill": p7_fill}
-SQL: dict[str, str] = {}
+_GRAMS = """WITH s AS (SELECT DISTINCT string_id, string_text FROM lexicon_strings WHERE string_id IS NOT NULL AND length(string_text) >= 80),
+g AS (SELECT string_id, i, substring(string_text, i, 80) AS gram FROM s, range(1, length(string_text) - 78) t(i)),
+twice AS (SELECT gram FROM g GROUP BY gram HAVING count(DISTINCT string_id) > 1),
+shared AS (SELECT g.* FROM g JOIN twice USING (gram)) """
+SQL: dict[str, str] = {
+    "p4_found": _GRAMS + "SELECT DISTINCT a.string_id AS string_a, b.string_id AS string_b FROM shared a JOIN shared b ON a.gram = b.gram AND a.string_id < b.string_id",
+    "p4_coverage": _GRAMS + """, c AS (SELECT string_id, count(DISTINCT i + k) AS n FROM shared, range(0, 80) r(k) GROUP BY string_id)
+SELECT string_id, length(string_text) AS n_chars, coalesce(n, 0) AS shared_chars, round(coalesce(n, 0) / length(string_text), 6) AS shared_share FROM s LEFT JOIN c USING (string_id)""",
+}
