@@ -47,8 +47,9 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p3_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Every predicate's full path, depth, root, interval and number of descendants."""
-    return hierarchy.with_paths(hierarchy.hierarchy(_parents(spark, d), "snapshot_id", "predicate", "parent"), "snapshot_id", " > ").drop("ancestors")
+    """Every predicate's full path, depth, root and number of descendants; whether it is on a ring."""
+    tree = hierarchy.with_paths(hierarchy.hierarchy(_parents(spark, d), "snapshot_id", "predicate", "parent"), "snapshot_id", " > ")
+    return tree.select("snapshot_id", F.col("node").alias("predicate"), "root", "depth", "path", "n_descendants", "on_ring")
 
 
 def p3_descendants(spark: SparkSession, d: str) -> DataFrame:
@@ -116,7 +117,30 @@ par AS (SELECT snapshot_id, node, max_by(coalesce(parent, ''), (loaded_at, coale
 names AS (SELECT snapshot_id, node FROM par UNION SELECT snapshot_id, parent FROM par WHERE parent <> ''),
 up AS (SELECT snapshot_id, node, node AS anc, 0 AS distance FROM names UNION ALL SELECT up.snapshot_id, up.node, par.parent, distance + 1 FROM up JOIN par ON par.snapshot_id = up.snapshot_id AND par.node = up.anc WHERE par.parent <> '' AND distance < 2000),
 tops AS (SELECT u.snapshot_id, u.node, u.anc AS root, u.distance AS depth FROM up u LEFT JOIN par p ON p.snapshot_id = u.snapshot_id AND p.node = u.anc WHERE coalesce(p.parent, '') = '') """
+_DRIFT = """WITH lines AS (SELECT file_id, line_no, try_cast(regexp_replace(raw_line, '^\ufeff+', '') AS JSON) AS j FROM dump_lines),
+obj AS (SELECT * FROM lines WHERE json_type(j) = 'OBJECT'),
+keyed AS (SELECT file_id, line_no, j, unnest(json_keys(j)) AS name FROM obj),
+vals AS (SELECT file_id, line_no, name, j ->> '$.key' AS k, j ->> '$.fetched_at' AS t, json_extract(j, concat('$."', name, '"')) AS v FROM keyed),
+typed AS (SELECT *, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS type,
+  CASE json_type(v) WHEN 'VARCHAR' THEN v ->> '$' WHEN 'ARRAY' THEN NULL WHEN 'OBJECT' THEN NULL ELSE CAST(v AS VARCHAR) END AS txt FROM vals WHERE json_type(v) <> 'NULL'),
+per AS (SELECT file_id, name, type, count(*) AS n, min(line_no) AS first_line FROM typed GROUP BY ALL),
+held AS (SELECT file_id, name, arg_max(type, (n, -first_line)) AS type FROM per JOIN (SELECT file_id, count(*) AS n_lines FROM obj GROUP BY file_id) USING (file_id) GROUP BY file_id, name, n_lines HAVING sum(n) * 10 >= n_lines),
+seq AS (SELECT * FROM (SELECT file_id, lag(file_id) OVER (PARTITION BY store_id ORDER BY dumped_at, file_id) AS prev_id FROM (SELECT DISTINCT file_id, store_id, dumped_at FROM dump_files)) WHERE prev_id IS NOT NULL),
+sides AS (SELECT coalesce(a.file_id, b.file_id) AS file_id, coalesce(a.name, b.name) AS name, a.type AS new_type, b.type AS old_type
+  FROM (SELECT s.file_id, name, type FROM seq s JOIN held h ON h.file_id = s.file_id) a FULL JOIN (SELECT s.file_id, name, type FROM seq s JOIN held h ON h.file_id = s.prev_id) b ON a.file_id = b.file_id AND a.name = b.name),
+entry AS (SELECT file_id, name, k, t, arg_min(coalesce(txt, chr(0)), line_no) AS txt FROM typed WHERE k IS NOT NULL AND t IS NOT NULL GROUP BY ALL),
+cand AS (SELECT q.file_id, o.name AS old_name, w.name AS new_name, count(*) AS n, count(*) FILTER (WHERE o.txt = w.txt AND o.txt <> chr(0)) AS e FROM seq q
+  JOIN entry o ON o.file_id = q.prev_id JOIN entry w ON w.file_id = q.file_id AND w.k = o.k AND w.t = o.t
+  JOIN sides g ON g.file_id = q.file_id AND g.name = o.name AND g.new_type IS NULL JOIN sides c ON c.file_id = q.file_id AND c.name = w.name AND c.old_type IS NULL GROUP BY ALL HAVING count(*) >= 3 AND e * 5 >= n * 4),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY file_id, old_name ORDER BY e / n DESC, n DESC, old_name, new_name) AS r1, row_number() OVER (PARTITION BY file_id, new_name ORDER BY e / n DESC, n DESC, old_name, new_name) AS r2 FROM cand),
+ren AS (SELECT file_id, old_name, new_name FROM ranked WHERE r1 = 1 AND r2 = 1)
+SELECT file_id, 'renamed' AS change_kind, new_name AS field_name, old_name FROM ren
+UNION ALL SELECT file_id, 'removed', name, '' FROM sides WHERE new_type IS NULL AND (file_id, name) NOT IN (SELECT (file_id, old_name) FROM ren)
+UNION ALL SELECT file_id, 'added', name, '' FROM sides WHERE old_type IS NULL AND (file_id, name) NOT IN (SELECT (file_id, new_name) FROM ren)
+UNION ALL SELECT file_id, 'retyped', name, '' FROM sides WHERE new_type <> old_type
+UNION ALL SELECT r.file_id, 'retyped', new_name, '' FROM ren r JOIN sides g ON g.file_id = r.file_id AND g.name = old_name JOIN sides c ON c.file_id = r.file_id AND c.name = new_name WHERE g.old_type <> c.new_type"""
 SQL: dict[str, str] = {
+    "p1_found": _DRIFT,
     **queries_graph.SQL,
     **queries_more.SQL,
     "p3_found": _TREE.replace("AND distance < 2000", "AND distance < 2000") + f""", raw_i AS (SELECT *, {_BARE.format('predicate')}, {_BARE.format('inverse_predicate')} FROM predicate_inverses),
@@ -124,6 +148,11 @@ inv AS (SELECT snapshot_id, node, max_by(coalesce(other, ''), (loaded_at, coales
 walk AS (SELECT snapshot_id, node, other AS cur, 1 AS n FROM inv WHERE other <> '' UNION ALL SELECT w.snapshot_id, w.node, i.other, n + 1 FROM walk w JOIN inv i ON i.snapshot_id = w.snapshot_id AND i.node = w.cur WHERE i.other <> '' AND w.cur <> w.node AND n < 200)
 SELECT n.snapshot_id, 'parent' AS link_kind, n.node AS predicate, coalesce(t.root, '') AS root_predicate, CAST(coalesce(t.depth, -1) AS INT) AS node_depth FROM names n LEFT JOIN tops t USING (snapshot_id, node)
 UNION ALL SELECT DISTINCT snapshot_id, 'inverse', node, '', -1 FROM walk WHERE cur = node AND n >= 3""",
+    "p3_paths": _TREE + """, trail AS (SELECT up.snapshot_id, up.node, string_agg(anc, ' > ' ORDER BY distance DESC) AS path FROM up JOIN tops USING (snapshot_id, node) GROUP BY ALL),
+below AS (SELECT snapshot_id, anc AS node, count(*) AS n FROM up WHERE distance > 0 AND (snapshot_id, node) IN (SELECT (snapshot_id, node) FROM tops) GROUP BY ALL),
+ring AS (SELECT DISTINCT snapshot_id, node FROM up WHERE distance > 0 AND anc = node)
+SELECT n.snapshot_id, n.node AS predicate, t.root, CAST(coalesce(t.depth, -1) AS INT) AS depth, trail.path, CASE WHEN t.root IS NOT NULL THEN coalesce(b.n, 0) END AS n_descendants, r.node IS NOT NULL AS on_ring
+FROM names n LEFT JOIN tops t USING (snapshot_id, node) LEFT JOIN trail USING (snapshot_id, node) LEFT JOIN below b USING (snapshot_id, node) LEFT JOIN ring r USING (snapshot_id, node)""",
     "gr7_ancestors": _TREE + "SELECT up.snapshot_id, up.node, up.anc AS ancestor, CAST(up.distance AS INT) AS distance FROM up JOIN tops USING (snapshot_id, node) WHERE up.distance > 0",
     "p3_descendants": _TREE + "SELECT up.snapshot_id, up.anc AS node, up.node AS descendant, CAST(up.distance AS INT) AS distance FROM up JOIN tops USING (snapshot_id, node) WHERE up.distance > 0",
     "gr10_leaves": _TREE + ", inner_n AS (SELECT DISTINCT snapshot_id, parent AS node FROM par WHERE parent <> '') SELECT up.snapshot_id, up.anc AS node, count(*) AS n_leaves FROM up JOIN tops USING (snapshot_id, node) WHERE up.distance > 0 AND (up.snapshot_id, up.node) NOT IN (SELECT (snapshot_id, node) FROM inner_n) GROUP BY ALL",
