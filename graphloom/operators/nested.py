@@ -137,6 +137,14 @@ class StructuralIndex:
         stop = np.append(pos[1:], np.int32(0))[col]
         same = np.append(head_row[1:], np.int64(-1))[col] == head_row[col] if len(row) else np.zeros(0, bool)
         self.scalar_stop = np.where(same, stop, self.end[self.scalar_owner]) if len(col) and col.any() else np.zeros(0, np.int32)
+        # scalar elements of arrays: heads and commas of arrays not followed by a child in them
+        lead = np.flatnonzero(((kind == HEAD) | (kind == COMMA)) & (nxt != CHILD))
+        lead = lead[~self.is_object[own[head_row[lead]]]]
+        self.elem_owner = own[head_row[lead]]
+        self.elem_place = seen[lead] - seen[head_row[lead]]
+        self.elem_at = pos[lead] + 1
+        in_same = np.append(head_row[1:], np.int64(-1))[lead] == head_row[lead]
+        self.elem_stop = np.where(in_same, np.append(pos[1:], np.int32(0))[lead], self.end[self.elem_owner])
 
     def paths(self) -> tuple[list[str], list[str]]:
         """Of each container: a slash and a name or position for each step from the top;
@@ -168,6 +176,13 @@ class StructuralIndex:
             out.setdefault(o, []).append((_member_name(self.buf[a:z]), self.buf[colon + 1 : stop].decode("utf-8").strip()))
         return out
 
+    def elements(self) -> Iterator[tuple[int, int | None, str]]:
+        """Of each array's elements that are neither object nor array: the array, the
+        position and the JSON text; an empty array is given once, without a position."""
+        for o, place, a, z in zip(self.elem_owner.tolist(), self.elem_place.tolist(), self.elem_at.tolist(), self.elem_stop.tolist()):
+            text = self.buf[a:z].decode("utf-8").strip()
+            yield (o, place, text) if text else (o, None, "[]")
+
 
 def _chunks(batch: pa.RecordBatch, key: str, fields: tuple[str, ...]):
     """Chunks of readable documents: (buffer, key and field of each, start of each)."""
@@ -243,8 +258,38 @@ def shredded(df: DataFrame, key: str = "entry_id", fields: tuple[str, ...] = DOC
     return out.dropDuplicates([key, "doc_field", "node_path"])
 
 
+def array_values(df: DataFrame, key: str = "entry_id", fields: tuple[str, ...] = DOC_FIELDS) -> DataFrame:
+    """One row for each array element that is neither object nor array: its path, the path
+    of the object that holds its array (the document's, if none does), the member name of
+    that array, its position and its JSON text. An empty array is one row with its own
+    path, no position and the text []. (key, doc_field, parent_path) identifies the
+    parent in `shredded`."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def shred(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for buf, owners, starts in _chunks(batch, key, fields):
+                ix = StructuralIndex(buf)
+                paths, members = ix.paths()
+                docs = (np.searchsorted(np.array(starts), ix.at, "right") - 1).tolist()
+                parent, is_object = ix.parent.tolist(), ix.is_object.tolist()
+                cols: list[list] = [[], [], [], [], [], [], []]
+                for i, place, text in ix.elements():
+                    up = parent[i]
+                    while up >= 0 and not is_object[up]:
+                        up = parent[up]
+                    row = (*owners[docs[i]], paths[i] if place is None else f"{paths[i]}/{place}", paths[up] if up >= 0 else "", members[i], place, text)
+                    for c, v in zip(cols, row):
+                        c.append(v)
+                types = [batch.schema.field(key).type, pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], [key, "doc_field", "elem_path", "parent_path", "member", "place", "json"])
+
+    return spread(df.select(key, *fields)).mapInArrow(shred, f"`{key}` {kind}, doc_field string, elem_path string, parent_path string, member string, place int, json string").distinct()
+
+
 def flat_table(objects: DataFrame, members: tuple[str, ...], columns: tuple[str, ...], key: str = "entry_id") -> DataFrame:
     """The objects that stand under one of the member names `members`, with `columns`
-    pulled out of their scalars as text (null where absent or JSON null)."""
+    pulled out of their scalars as text (null where absent or JSON null). A member that is
+    an array or object is null here: `array_values` and `shredded` have its rows, tied by parent_path."""
     pick = [F.expr(f"""nullif(regexp_replace(try_element_at(filter(scalars, s -> s.name = '{c}'), -1).json, '^"|"$', ''), 'null')""").alias(f"m_{c}") for c in columns]
     return objects.where(F.col("member").isin(*members)).select(key, "doc_field", "node_path", "parent_path", "member", "place", *pick)

@@ -68,6 +68,11 @@ def p5_objects(spark: SparkSession, d: str) -> DataFrame:
     return nested.shredded(table(spark, d, "cache_entries")).withColumn("n_scalars", F.size("scalars")).drop("scalars")
 
 
+def p5_values(spark: SparkSession, d: str) -> DataFrame:
+    """Array elements that are strings, numbers, booleans or nulls, tied to their object and entry."""
+    return nested.array_values(table(spark, d, "cache_entries"))
+
+
 def p5_bindings(spark: SparkSession, d: str) -> DataFrame:
     """Node and edge bindings of results, tied to their analysis or result and entry."""
     objects = nested.shredded(table(spark, d, "cache_entries"))
@@ -107,7 +112,7 @@ def fil27_scope(spark: SparkSession, d: str) -> DataFrame:
     return tree.join(allowed, ["snapshot_id", "root"], "left_semi").select("snapshot_id", F.col("node").alias("predicate"), "root")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_entries": p1_entries, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p5_found": p5_found, "p5_objects": p5_objects, "p5_bindings": p5_bindings}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_entries": p1_entries, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p5_found": p5_found, "p5_objects": p5_objects, "p5_values": p5_values, "p5_bindings": p5_bindings}
 QUERIES |= {"gr7_ancestors": gr7_ancestors, "gr8_nearest_active": gr8_nearest_active, "gr10_leaves": gr10_leaves, "gr11_inverses": gr11_inverses, "fil27_scope": fil27_scope, **queries_graph.QUERIES, **queries_more.QUERIES}
 
 _FORM = """CASE WHEN {0} IS NULL THEN NULL WHEN b_{0} IN ('', '~') THEN NULL ELSE concat('biolink:', b_{0}) END"""

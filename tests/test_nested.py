@@ -91,3 +91,36 @@ def test_chunks_split_a_batch(spark, monkeypatch):
     monkeypatch.setattr(nested, "CHUNK_BYTES", 3000)
     seen = [o for buf, owners, starts in nested._chunks(batch, "k", ("t",)) for o in owners]
     assert [k for k, _ in seen] == list(range(60))
+
+
+def leaves(o, path=""):
+    if isinstance(o, list) and not o:
+        yield path, None, []
+    for k, v in o.items() if isinstance(o, dict) else enumerate(o):
+        if isinstance(v, (dict, list)):
+            yield from leaves(v, f"{path}/{k}")
+        elif isinstance(o, list):
+            yield f"{path}/{k}", k, v
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(values, max_size=3) | st.dictionaries(st.text(max_size=3), values, min_size=1, max_size=3), st.sampled_from([None, 1]))
+def test_scalar_elements_equal_a_recursive_walk(doc, indent):
+    ix = nested.StructuralIndex(json.dumps(doc, indent=indent).encode())
+    paths, _ = ix.paths()
+    got = [(paths[i] if place is None else f"{paths[i]}/{place}", place, json.loads(text)) for i, place, text in ix.elements()]
+    assert sorted(got, key=repr) == sorted(leaves(doc), key=repr)
+
+
+def test_scalar_elements_are_rows_tied_to_their_object(spark):
+    doc = '{"attributes": [{"value": ["PMID:1", 2.50, null, [true], {"x": 1}], "none": []}]}'
+    rows = [(1, doc, None, None), (1, doc, None, None), (2, None, bytearray(b'["\\u00e9", 7]'), "{}"), (3, "[", None, None)]
+    df = spark.createDataFrame(rows, "entry_id bigint, request_json string, response_blob binary, meta_json string")
+    got = {tuple(r) for r in nested.array_values(df).collect()}
+    top, at = "/attributes/0", "/attributes/0/value"
+    assert got == {
+        (1, "request_json", f"{at}/0", top, "value", 0, '"PMID:1"'), (1, "request_json", f"{at}/1", top, "value", 1, "2.50"), (1, "request_json", f"{at}/2", top, "value", 2, "null"),
+        (1, "request_json", f"{at}/3/0", top, "value", 0, "true"), (1, "request_json", f"{top}/none", top, "none", None, "[]"),
+        (2, "response_blob", "/0", "", "", 0, '"\\u00e9"'), (2, "response_blob", "/1", "", "", 1, "7"),
+    }
+    assert nested.array_values(df).count() == len(got)
