@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import spread
@@ -229,7 +229,8 @@ def elements(df: DataFrame, key: str = "entry_id", fields: tuple[str, ...] = DOC
 def shredded(df: DataFrame, key: str = "entry_id", fields: tuple[str, ...] = DOC_FIELDS) -> DataFrame:
     """One row for each object of each document: its path, the path of the object or
     document that holds it, the member name of the array or object it stands in, its
-    position and depth, and its scalar members as JSON text. (key, doc_field,
+    position and depth, its scalar members as JSON text, and its holder: the name of
+    the array it stands in, or of the object whose member it is. (key, doc_field,
     node_path) identifies a row, (key, doc_field, parent_path) its parent."""
     kind = df.schema[key].dataType.simpleString()
 
@@ -247,14 +248,18 @@ def shredded(df: DataFrame, key: str = "entry_id", fields: tuple[str, ...] = DOC
                     up = parent[i]
                     while up >= 0 and not is_object[up]:
                         up = parent[up]
-                    rows.append((*owners[docs[i]], paths[i], None if parent[i] < 0 else paths[up] if up >= 0 else "", members[i], place[i] if place[i] >= 0 else None, level[i], scalars.get(i, [])))
-                cols = list(zip(*rows)) if rows else [[]] * 8
-                types = [batch.schema.field(key).type, pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.struct([("name", pa.string()), ("json", pa.string())]))]
-                names = [key, "doc_field", "node_path", "parent_path", "member", "place", "depth", "scalars"]
-                values = [list(c) for c in cols[:7]] + [[[{"name": a, "json": b} for a, b in x] for x in cols[7]]]
+                    if place[i] >= 0:
+                        holder = members[i]
+                    else:
+                        holder = members[up] if up >= 0 and place[up] < 0 else None
+                    rows.append((*owners[docs[i]], paths[i], None if parent[i] < 0 else paths[up] if up >= 0 else "", members[i], place[i] if place[i] >= 0 else None, level[i], scalars.get(i, []), holder))
+                cols = list(zip(*rows)) if rows else [[]] * 9
+                types = [batch.schema.field(key).type, pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.struct([("name", pa.string()), ("json", pa.string())])), pa.string()]
+                names = [key, "doc_field", "node_path", "parent_path", "member", "place", "depth", "scalars", "holder"]
+                values = [list(c) for c in cols[:7]] + [[[{"name": a, "json": b} for a, b in x] for x in cols[7]], list(cols[8])]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names)
 
-    out = spread(df.select(key, *fields)).mapInArrow(shred, f"`{key}` {kind}, doc_field string, node_path string, parent_path string, member string, place int, depth int, scalars array<struct<name:string,json:string>>")
+    out = spread(df.select(key, *fields)).mapInArrow(shred, f"`{key}` {kind}, doc_field string, node_path string, parent_path string, member string, place int, depth int, scalars array<struct<name:string,json:string>>, holder string")
     return out.dropDuplicates([key, "doc_field", "node_path"])
 
 
@@ -293,3 +298,17 @@ def flat_table(objects: DataFrame, members: tuple[str, ...], columns: tuple[str,
     an array or object is null here: `array_values` and `shredded` have its rows, tied by parent_path."""
     pick = [F.expr(f"""nullif(regexp_replace(try_element_at(filter(scalars, s -> s.name = '{c}'), -1).json, '^"|"$', ''), 'null')""").alias(f"m_{c}") for c in columns]
     return objects.where(F.col("member").isin(*members)).select(key, "doc_field", "node_path", "parent_path", "member", "place", *pick)
+
+
+def _plain(json_text: Column) -> Column:
+    """What a scalar's JSON text says: a string's content, null for JSON null."""
+    return F.when(F.startswith(json_text, F.lit('"')), F.get_json_object(F.concat(F.lit("["), json_text, F.lit("]")), "$[0]")).when(json_text != "null", json_text)
+
+
+def held_table(objects: DataFrame, holder: str, single: str, columns: tuple[str, ...], key: str = "entry_id") -> DataFrame:
+    """The objects that stand in an array or map named `holder` (in a map, `member` is their
+    id), or as one member named `single`, with `columns` pulled out of their scalars as
+    text (null where absent or JSON null) and all their scalars."""
+    pick = [_plain(F.try_element_at(F.filter("scalars", lambda s: s["name"] == F.lit(c)), F.lit(-1))["json"]).alias(f"m_{c}") for c in columns]  # noqa: B023
+    alone = (F.col("member") == single) & F.col("place").isNull()
+    return objects.where((F.col("holder") == holder) | alone).select(key, "doc_field", "node_path", "parent_path", "member", "place", *pick, "scalars")

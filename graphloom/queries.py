@@ -64,8 +64,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_objects(spark: SparkSession, d: str) -> DataFrame:
-    """All objects of the documents with their parents and number of scalar members."""
-    return nested.shredded(table(spark, d, "cache_entries")).withColumn("n_scalars", F.size("scalars")).drop("scalars")
+    """All objects of the documents with their parents and scalar members."""
+    return nested.shredded(table(spark, d, "cache_entries")).withColumn("n_scalars", F.size("scalars"))
+
+
+def p5_edges(spark: SparkSession, d: str) -> DataFrame:
+    """Edges of knowledge and query graphs and of paths, tied to what holds them and to their entry."""
+    return nested.held_table(nested.shredded(table(spark, d, "cache_entries")), "edges", "edge", ("subject", "predicate", "object"))
+
+
+def p5_nodes(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes of knowledge and query graphs, tied to what holds them and to their entry."""
+    return nested.held_table(nested.shredded(table(spark, d, "cache_entries")), "nodes", "node", ("id", "name"))
 
 
 def p5_values(spark: SparkSession, d: str) -> DataFrame:
@@ -112,7 +122,7 @@ def fil27_scope(spark: SparkSession, d: str) -> DataFrame:
     return tree.join(allowed, ["snapshot_id", "root"], "left_semi").select("snapshot_id", F.col("node").alias("predicate"), "root")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_entries": p1_entries, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p5_found": p5_found, "p5_objects": p5_objects, "p5_values": p5_values, "p5_bindings": p5_bindings}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_entries": p1_entries, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p5_found": p5_found, "p5_objects": p5_objects, "p5_values": p5_values, "p5_edges": p5_edges, "p5_nodes": p5_nodes, "p5_bindings": p5_bindings}
 QUERIES |= {"gr7_ancestors": gr7_ancestors, "gr8_nearest_active": gr8_nearest_active, "gr10_leaves": gr10_leaves, "gr11_inverses": gr11_inverses, "fil27_scope": fil27_scope, **queries_graph.QUERIES, **queries_more.QUERIES}
 
 _FORM = """CASE WHEN {0} IS NULL THEN NULL WHEN b_{0} IN ('', '~') THEN NULL ELSE concat('biolink:', b_{0}) END"""

@@ -124,3 +124,23 @@ def test_scalar_elements_are_rows_tied_to_their_object(spark):
         (2, "response_blob", "/0", "", "", 0, '"\\u00e9"'), (2, "response_blob", "/1", "", "", 1, "7"),
     }
     assert nested.array_values(df).count() == len(got)
+
+
+def test_edges_and_nodes_of_maps_and_arrays(spark):
+    graph = {"nodes": {"A:1": {"name": "caf\u00e9 \"x\"", "info": {"k": 1}}, "B/2": {"name": None}}, "edges": {"e/0": {"subject": "A:1", "object": "B/2", "predicate": "p", "sources": [{"resource_id": "r"}], "more": {"w": 1}}}}
+    listed = {"nodes": [{"id": "null"}], "edges": [{"subject": "s", "object": 3, "more": {"w": 1}}], "paths": [[{"edges": [{"t": 1}]}]]}
+    df = spark.createDataFrame([(1, json.dumps({"message": {"knowledge_graph": graph}}), None, json.dumps({"edge": {"subject": "q"}, "edges": ["e0"]})), (2, json.dumps(listed), None, None)], "entry_id bigint, request_json string, response_blob binary, meta_json string")
+    objects = nested.shredded(df)
+    edges = {(r["entry_id"], r["node_path"], r["m_subject"], r["m_predicate"], r["m_object"]) for r in nested.held_table(objects, "edges", "edge", ("subject", "predicate", "object")).collect()}
+    assert edges == {(1, "/message/knowledge_graph/edges/e/0", "A:1", "p", "B/2"), (1, "/edge", "q", None, None), (2, "/edges/0", "s", None, "3"), (2, "/paths/0/0/edges/0", None, None, None)}
+    nodes = {(r["entry_id"], r["member"], r["m_id"], r["m_name"]) for r in nested.held_table(objects, "nodes", "node", ("id", "name")).collect()}
+    assert nodes == {(1, "A:1", None, 'caf\u00e9 "x"'), (1, "B/2", None, None), (2, "nodes", "null", None)}
+
+
+def test_objects_query_keeps_scalars(spark, tmp_path):
+    from graphloom.queries import QUERIES
+
+    df = spark.createDataFrame([(1, '{"a": {"subject": "x", "n": 1}}', None, None)], "entry_id bigint, request_json string, response_blob binary, meta_json string")
+    df.write.parquet(str(tmp_path / "cache_entries.parquet"))
+    rows = {r["node_path"]: r for r in QUERIES["p5_objects"](spark, str(tmp_path)).collect()}
+    assert [tuple(s) for s in rows["/a"]["scalars"]] == [("subject", '"x"'), ("n", "1")] and rows["/a"]["n_scalars"] == 2
