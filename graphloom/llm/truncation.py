@@ -10,7 +10,8 @@ come to its end?
 
 What counts as an end is partly learned from all texts of the table, by counting:
 * endings without a closing mark that many texts share (`after 600s`, `(char 31)`)
-  are natural;
+  are natural; one text under many ids, and texts as long as their writer's longest,
+  make none so, and at a hidden limit no ending is natural;
 * where most texts with the same opening label close with the same last line, one
   that lacks it is open.
 
@@ -26,6 +27,7 @@ against all limits of its table; repeated rows of an id are one record.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -45,6 +47,8 @@ LIMIT_TEXTS, LIMIT_TIMES, LIMIT_OPEN, LIMIT_AROUND = 6, 8.0, 0.5, 40
 LIMIT_SHARP = 0.75
 #: An ending without a closing mark is natural from this share of a table's texts.
 NATURAL_SHARE, NATURAL_TEXTS = 0.01, 5
+#: So many of them must differ before their copies and writers count.
+NATURAL_DIFFERENT = 2
 #: A last line belongs to a label if so large a share of the label's texts have it.
 SENTINEL_SHARE, SENTINEL_TEXTS = 0.6, 5
 
@@ -148,7 +152,7 @@ def lengths(text: str) -> list[int]:
     return [n, utf8, utf16, len(json.dumps(text)) - 2, len(json.dumps(text, ensure_ascii=False)) - 2, entities, n + text.count("\n") - text.count("\r\n"), n - label - 2 if label >= 0 else n]
 
 
-_DDL = "record_table string, record_id bigint, writer string, state string, shape string, label string, last_line string, sizes array<int>"
+_DDL = "record_table string, record_id bigint, writer string, state string, shape string, label string, last_line string, sizes array<int>, text_key bigint"
 
 
 def features(texts: DataFrame) -> DataFrame:
@@ -156,7 +160,7 @@ def features(texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            states, shapes, labels, lasts, sizes = [], [], [], [], []
+            states, shapes, labels, lasts, sizes, keys = [], [], [], [], [], []
             for t in b.column(3):
                 t = t.as_py()
                 state, _, base, shape = ending(t)
@@ -167,7 +171,8 @@ def features(texts: DataFrame) -> DataFrame:
                 labels.append(label.group() if label else None)
                 lasts.append(last if len(last) <= 12 else "")
                 sizes.append(lengths(base))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(states, pa.string()), pa.array(shapes, pa.string()), pa.array(labels, pa.string()), pa.array(lasts, pa.string()), pa.array(sizes, pa.list_(pa.int32()))], [c.split()[0] for c in _DDL.split(", ")])
+                keys.append(int.from_bytes(hashlib.blake2b(base.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) if state == "prose_open" else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(states, pa.string()), pa.array(shapes, pa.string()), pa.array(labels, pa.string()), pa.array(lasts, pa.string()), pa.array(sizes, pa.list_(pa.int32())), pa.array(keys, pa.int64())], [c.split()[0] for c in _DDL.split(", ")])
 
     return spread(texts.select("record_table", "record_id", "writer", "text").where("text is not null and text != ''")).mapInArrow(run, _DDL)
 
@@ -179,14 +184,17 @@ def _measured(rows: DataFrame, *cols: str) -> DataFrame:
 
 def limits(inspected: DataFrame) -> DataFrame:
     """(record_table, writer, measure, size, n, n_open): the hidden limits. A real limit
-    shows under several measures; those under which it is blurred are left out."""
+    shows under several measures; those under which it is blurred are left out. Texts with
+    a natural ending are open here, but each such ending counts once for a length."""
     by = ["record_table", "writer", "measure"]
-    per = _measured(inspected, "record_table", "writer", "is_open").groupBy(*by, "size").agg(F.count(F.lit(1)).alias("n"), F.count_if("is_open").alias("n_open"))
+    texts = _measured(inspected, "record_table", "writer", "is_open", "natural_shape")
+    per = texts.groupBy(*by, "size").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("is_open") | F.col("natural_shape").isNotNull()).alias("n_open"), (F.size(F.collect_set("natural_shape")) - F.count("natural_shape")).alias("less"))
     w = Window.partitionBy(*by).orderBy("size").rangeBetween(-LIMIT_AROUND, LIMIT_AROUND)
     around = per.withColumn("mean", (F.sum("n").over(w) - F.col("n")) / F.lit(2.0 * LIMIT_AROUND))
-    peaks = around.where((F.col("n_open") >= LIMIT_TEXTS) & (F.col("n") >= LIMIT_TIMES * F.col("mean")) & (F.col("n_open") >= LIMIT_OPEN * F.col("n"))).drop("mean")
+    counted, counted_open = F.col("n") + F.col("less"), F.col("n_open") + F.col("less")
+    peaks = around.where((counted_open >= LIMIT_TEXTS) & (counted >= LIMIT_TIMES * F.col("mean")) & (counted_open >= LIMIT_OPEN * counted)).drop("mean")
     near = Window.partitionBy("record_table", "writer").orderBy("size").rangeBetween(-LIMIT_AROUND, LIMIT_AROUND)
-    return peaks.withColumn("best", F.max("n_open").over(near)).where(F.col("n_open") >= LIMIT_SHARP * F.col("best")).drop("best")
+    return peaks.withColumn("best", F.max(counted_open).over(near)).where(counted_open >= LIMIT_SHARP * F.col("best")).drop("best", "less")
 
 
 class Truncation:
@@ -195,8 +203,15 @@ class Truncation:
     def __init__(self, texts: DataFrame):
         found = spill(features(texts), batch_rows=1000)
         totals = found.groupBy("record_table").agg(F.count(F.lit(1)).alias("n_all"))
-        shapes = found.where("state = 'prose_open'").groupBy("record_table", "shape").agg(F.count(F.lit(1)).alias("n"))
-        natural = shapes.join(totals, "record_table").where((F.col("n") >= NATURAL_TEXTS) & (F.col("n") >= NATURAL_SHARE * F.col("n_all"))).select("record_table", "shape", F.lit(True).alias("natural"))
+        # a writer's longest texts may have met its limit; copies of a text by one writer are one case
+        most_sizes = F.array(*[F.max(F.col("sizes")[i]) for i in range(len(MEASURES))])
+        longest = found.groupBy("record_table", F.col("writer").alias("of_writer")).agg(most_sizes.alias("longest")).withColumnRenamed("record_table", "of_table")
+        prose = found.where("state = 'prose_open'").join(longest, (F.col("record_table") == F.col("of_table")) & F.col("writer").eqNullSafe(F.col("of_writer")))
+        shorter = prose.where(~F.exists(F.zip_with("sizes", "longest", lambda a, b: a >= b), lambda x: x))
+        cases = shorter.groupBy("record_table", "shape", "text_key", "writer").agg(F.count(F.lit(1)).alias("n"))
+        shapes = cases.groupBy("record_table", "shape", "text_key").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_cases")).groupBy("record_table", "shape").agg(F.sum("n").alias("n"), F.sum("n_cases").alias("n_cases"), F.count(F.lit(1)).alias("n_texts"))
+        different = (F.col("n_cases") >= NATURAL_TEXTS) & (F.col("n_texts") >= NATURAL_DIFFERENT)
+        natural = shapes.join(totals, "record_table").where(different & (F.col("n") >= NATURAL_SHARE * F.col("n_all"))).select("record_table", "shape", F.lit(True).alias("natural"))
         lines = found.where("label is not null").groupBy("record_table", "label", "last_line").agg(F.count(F.lit(1)).alias("n"))
         most = lines.groupBy("record_table", "label").agg(F.max_by("last_line", "n").alias("sentinel"), F.max("n").alias("top"), F.sum("n").alias("all"))
         sentinel = most.where((F.col("sentinel") != "") & (F.col("top") >= SENTINEL_TEXTS) & (F.col("top") >= SENTINEL_SHARE * F.col("all"))).select("record_table", "label", "sentinel")
@@ -205,12 +220,14 @@ class Truncation:
         # natural shapes are 1 / NATURAL_SHARE for a table at most; rows without a label stay out of the join on it
         shaped = found.join(F.broadcast(natural), ["record_table", "shape"], "left")
         joined = shaped.where("label is not null").join(sentinel, ["record_table", "label"], "left").unionByName(shaped.where("label is null").withColumn("sentinel", F.lit(None).cast("string")))
-        self.inspected = joined.select("record_table", "record_id", "writer", "sizes", is_open.alias("is_open"), (~labelled & F.col("state").isin("prose_closed", "ellipsis")).alias("in_doubt"))
+        exempt = ~labelled & (F.col("state") == "prose_open") & F.col("natural").isNotNull()
+        in_doubt = exempt | (~labelled & F.col("state").isin("prose_closed", "ellipsis"))
+        self.inspected = joined.select("record_table", "record_id", "writer", "sizes", is_open.alias("is_open"), in_doubt.alias("in_doubt"), F.when(exempt, F.col("shape")).alias("natural_shape"))
         self.limits = limits(self.inspected)
 
     def judged(self) -> DataFrame:
         """(record_table, record_id, writer, is_cut), one row for each row of the input."""
-        # only sentences that seem to close, or close with an ellipsis, are held against limits
+        # sentences that seem to close, naturally or by a mark, or close with an ellipsis, are held against limits
         doubt = _measured(self.inspected.where("in_doubt"), "record_table", "record_id", "writer")
         known = self.limits.select("record_table", "measure", "size", F.col("writer").alias("limit_writer"))
         at_limit = doubt.join(known, ["record_table", "measure", "size"]).where("writer is null or writer <=> limit_writer").select("record_table", "record_id", F.lit(True).alias("at_limit")).distinct()

@@ -65,3 +65,21 @@ def test_byte_limit(spark):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "record_table string, record_id bigint, writer string, text string")
     assert T.Truncation(df).cut().count() == 0 and T.Truncation(df).shares().count() == 0
+
+
+def test_copies_and_templates_cut_at_one_place_are_cut(spark):
+    rows = [("t", i, f"w{i % 3}", words(20 + i % 30, i) + ".") for i in range(200)]
+    # one text that lost its end, under many ids of several writers
+    rows += [("t", 1000 + i, f"w{i % 3}", "The route was found to be asso") for i in range(100)]
+    # a template that all ends at its writer's limit, with a few other texts that do
+    rows += [("t", 2000 + i, "capped", f"Run {100 + i} " + words(60, 0)[:142]) for i in range(100)]
+    rows += [("t", 3000 + i, "capped", words(60, 7 + i)[:149] + "q") for i in range(10)]
+    # the same ending as often elsewhere does not save what stands at the limit
+    rows += [("t", 4000 + i, "free", f"read timeout after {30 + i}s") for i in range(60)] + [("t", 4100, "free", words(40) + ".")]
+    rows += [("t", 5000 + i, "capped", (words(60, 90 + i)[:124].rstrip(" ").ljust(124, "x") + f" waited, timeout after {10 + i}s")[-150:]) for i in range(40)]
+    rows += [("t", 6000 + i, None, "the connection timed out after 30s") for i in range(5)]
+    assert {len(r[3]) for r in rows if r[2] == "capped"} == {150}
+    t = T.Truncation(spark.createDataFrame(rows, "record_table string, record_id bigint, writer string, text string"))
+    got = {r["record_id"] for r in t.cut().collect()}
+    assert got == {*range(1000, 1100), *range(2000, 2100), *range(3000, 3010), *range(5000, 5040)}
+    assert t.limits.where("writer = 'capped' and measure = 'chars' and size = 150").count() == 1
