@@ -58,6 +58,14 @@ def fil31_stale(spark: SparkSession, d: str) -> DataFrame:
     return t.select("fetched_at", F.coalesce(F.try_to_timestamp("fetched_at") < F.lit("2031-06-01 00:00:00").cast("timestamp"), F.lit(True)).alias("is_stale"))
 
 
+@query("""SELECT DISTINCT fetched_at, coalesce(CASE WHEN regexp_matches(fetched_at, '^\\s*\\d{4}-') THEN try_cast(fetched_at AS TIMESTAMPTZ) END < TIMESTAMPTZ '2031-06-01 00:00:00+00', true) AS is_stale FROM cache_entries""", views=False)
+def fil31_stale_all(spark: SparkSession, d: str) -> DataFrame:
+    """Times before a date in all spellings; one that is missing or cannot be read counts as stale."""
+    t = table(spark, d, "cache_entries").select("fetched_at").distinct()
+    at = F.when(F.col("fetched_at").rlike(r"^\s*\d{4}-"), F.try_to_timestamp("fetched_at"))
+    return t.select("fetched_at", F.coalesce(at < F.lit("2031-06-01 00:00:00").cast("timestamp"), F.lit(True)).alias("is_stale"))
+
+
 @query(f""", s AS (SELECT edge_id, subject, object, {SCORE_SQL} AS score FROM edges WHERE predicate = 'x:fulfils') SELECT s.edge_id, n.name AS subject_name, score, o.o_orderstatus AS status FROM s JOIN nodes n ON n.id = s.subject LEFT JOIN orders o ON concat('ORD:', o.o_orderkey) = s.object""")
 def join9_lookups(spark: SparkSession, d: str) -> DataFrame:
     """Edges with what is looked up for their ends."""
