@@ -185,6 +185,18 @@ def prj26_label_index(spark: SparkSession, d: str) -> DataFrame:
     return own.unionByName(o).unionByName(s).groupBy("id").agg(F.min_by("label", "precedence").alias("label"))
 
 
+@query("""SELECT id, min_by(label, precedence) AS label FROM (
+  SELECT id, name AS label, 1 AS precedence FROM nodes WHERE name IS NOT NULL UNION ALL SELECT object, concat('object of ', min(edge_id)), 2 FROM edges GROUP BY object
+  UNION ALL SELECT subject, concat('subject of ', min(edge_id)), 3 FROM edges GROUP BY subject) GROUP BY id""")
+def prj26_label_index_all(spark: SparkSession, d: str) -> DataFrame:
+    """One label for each id of all nodes and all edges, from the best of several sources."""
+    e = edges(spark, d)
+    own = nodes(spark, d).where("name is not null").select("id", F.col("name").alias("label"), F.lit(1).alias("precedence"))
+    o = e.groupBy(F.col("object").alias("id")).agg(F.concat(F.lit("object of "), F.min("edge_id")).alias("label")).withColumn("precedence", F.lit(2))
+    s = e.groupBy(F.col("subject").alias("id")).agg(F.concat(F.lit("subject of "), F.min("edge_id")).alias("label")).withColumn("precedence", F.lit(3))
+    return own.unionByName(o).unionByName(s).groupBy("id").agg(F.min_by("label", "precedence").alias("label"))
+
+
 # ---- filters -----------------------------------------------------------------------------
 
 OP_CASES = [("eq", "p_type", "economy"), ("neq", "p_type", "economy"), ("in", "p_type", ["ECONOMY", "promo"]), ("not_in", "p_type", ["ECONOMY", "promo"]), ("gte", "p_size", 25), ("lte", "p_size", 25), ("gt", "p_size", "25"), ("lt", "p_size", 25), ("contains", "p_name", "RED"), ("exists", "p_name", None), ("not_exists", "p_name", None), ("gt", "p_name", 3), ("gt", "p_size", "many")]
@@ -494,6 +506,17 @@ def agg20_lexicon(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("token").agg(F.count_distinct("kind").alias("n_kinds"))
 
 
+@query("""SELECT token, count(DISTINCT kind) AS n_kinds FROM (SELECT 'id' AS kind, id AS token FROM nodes UNION ALL SELECT 'label', name FROM nodes WHERE name IS NOT NULL UNION ALL SELECT 'predicate', predicate FROM edges UNION ALL SELECT 'source', primary_source FROM edges WHERE primary_source IS NOT NULL) GROUP BY token""")
+def agg20_lexicon_all(spark: SparkSession, d: str) -> DataFrame:
+    """AGG20, CTL22: ids and names of all nodes, predicates and sources of all edges."""
+    n, e = nodes(spark, d), edges(spark, d)
+    parts = [n.select(F.lit("id").alias("kind"), F.col("id").alias("token")), n.where("name is not null").select(F.lit("label"), "name"), e.select(F.lit("predicate"), "predicate").distinct(), e.where("primary_source is not null").select(F.lit("source"), "primary_source").distinct()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out.groupBy("token").agg(F.count_distinct("kind").alias("n_kinds"))
+
+
 # ---- windows and ranks -------------------------------------------------------------------
 
 RANKED_SQL = f""", s AS (SELECT subject AS id, count(DISTINCT object) AS n_parts, avg({SCORE_SQL}) AS mean_score, CASE WHEN count(*) % 7 = 0 THEN NULL ELSE max(pub_year) END AS latest FROM edges WHERE predicate = 'x:supplies' GROUP BY subject),
