@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +38,35 @@ def src16_strict_requests(spark: SparkSession, d: str) -> DataFrame:
     return body.select("entry_id", F.coalesce(keys == F.array(F.lit("endpoint"), F.lit("query_graph")), F.lit(False)).alias("is_accepted"))
 
 
+def _is_request(raw: str) -> bool:
+    """Whether a body, or the JSON text that it holds as a string, is an object with exactly the allowed members."""
+    pairs = type("Pairs", (list,), {})
+    try:
+        value = raw.removeprefix("\ufeff")
+        while isinstance(value, str):
+            value = json.loads(value, object_pairs_hook=pairs, parse_constant=_refuse)
+    except (ValueError, RecursionError):
+        return False
+    return isinstance(value, pairs) and sorted(k for k, _ in value) == ["endpoint", "query_graph"]
+
+
+def _refuse(_: str):
+    raise ValueError("no JSON")
+
+
+@query(views=False)
+def src16_all_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Every request body that is not null, accepted or refused; a string that holds JSON is what it holds."""
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            verdicts = [_is_request(x.as_py()) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(verdicts, pa.bool_())], ["entry_id", "request_json", "is_accepted"])
+
+    body = table(spark, d, "cache_entries").where("request_json is not null").select(F.col("entry_id").cast("bigint").alias("entry_id"), "request_json").distinct()
+    return body.mapInArrow(judge, "entry_id bigint, request_json string, is_accepted boolean").drop("request_json")
+
+
 @query("""SELECT doc_id, CASE WHEN home_lang IS NULL THEN 'absent' WHEN lang IS NULL THEN 'unknown' WHEN lower(trim(lang)) = home_lang THEN CASE WHEN lang = home_lang THEN 'match' ELSE 'label_drift' END ELSE 'drift' END AS verdict FROM documents LEFT JOIN journals USING (journal_id)""", views=False)
 def fil22_concept_check(spark: SparkSession, d: str) -> DataFrame:
     """Whether a record's label agrees with the label of what it is anchored to."""

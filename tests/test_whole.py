@@ -1,5 +1,6 @@
 """Queries that judge every row, also those that their narrower sisters leave out."""
 
+import json
 import os
 
 import pytest
@@ -23,3 +24,11 @@ def test_all_nodes_have_a_token_and_their_own_label(spark):
     assert {*n, *n.values()} <= {r["token"] for r in QUERIES["agg20_lexicon_all"](spark, DATA).collect()}
     labels = {r["id"]: r["label"] for r in QUERIES["prj26_label_index_all"](spark, DATA).collect()}
     assert n.items() <= labels.items()
+
+
+def test_every_request_body_is_judged(spark, tmp_path):
+    good = '{"endpoint": "x", "query_graph": {}}'
+    bodies = [(good, True), (json.dumps(good), True), (json.dumps(json.dumps(good)), True), (" " + good, True), ('{"endpoint": "x"}', False), (json.dumps('{"curie": "c"}'), False), ('{"endpoint": 1, "query_graph": 2, "more": 3}', False), ('{"endpoint": 1, "endpoint": 1, "query_graph": 2}', False), ("[]", False), ('[["endpoint", 1], ["query_graph", 2]]', False), ("7", False), ("null", False), ("", False), ('{"endpoint": "x', False), ("plain", False)]
+    spark.createDataFrame([(i, b) for i, (b, _) in enumerate(bodies)] + [(99, None)], "entry_id bigint, request_json string").write.parquet(str(tmp_path / "cache_entries.parquet"))
+    got = {r["entry_id"]: r["is_accepted"] for r in QUERIES["src16_all_requests"](spark, str(tmp_path)).collect()}
+    assert got == {i: ok for i, (_, ok) in enumerate(bodies)}
