@@ -171,7 +171,8 @@ def union_schema(parsed: DataFrame, files: DataFrame, log: DataFrame) -> tuple[D
 
 def unified(lines: DataFrame, files: DataFrame) -> DataFrame:
     """All counting lines as one table: file, line and one column for each field of the
-    union schema, cast to the field's type; members outside it stay in the map `extra`.
+    union schema, cast to the field's type; members outside it stay in the map `extra`, as
+    do values that their field's type cannot hold and second members of one field.
     The driver reads the union schema only: one row for each distinct field name."""
     parsed = spill(parsed_lines(lines, keep_nested=True), batch_rows=4000)
     names, typed = union_schema(parsed, files, changes(lines, files, parsed))
@@ -179,9 +180,18 @@ def unified(lines: DataFrame, files: DataFrame) -> DataFrame:
     schema = typed.orderBy("field").collect()
     of = {r["name"]: r["field"] for r in names.collect()}
     lookup = F.create_map(*[F.lit(x) for pair in sorted(of.items()) for x in pair]) if of else F.create_map().cast("map<string,string>")
-    lined = parsed.withColumn("m", F.transform("fields", lambda f: F.struct(F.coalesce(F.try_element_at(lookup, f["name"]), f["name"]).alias("field"), f["text"].alias("text"))))
+    lined = parsed.withColumn("m", F.transform("fields", lambda f: F.struct(F.coalesce(F.try_element_at(lookup, f["name"]), f["name"]).alias("field"), f["text"].alias("text"), f["name"].alias("name")))).withColumn("in_order", F.transform("m", lambda x: x["field"]))
     taken = [r["field"] for r in schema]
     pick = lambda name: F.try_element_at(F.filter("m", lambda x: x["field"] == F.lit(name)), F.lit(1))["text"]
     cols = [pick(r["field"]).try_cast(SPARK_TYPE[r["type"]]).alias(f"f_{r['field']}") for r in schema]
-    extra = F.map_from_entries(F.array_distinct(F.filter("m", lambda x: ~x["field"].isin(*taken) if taken else F.lit(True)))).alias("extra")
+
+    def left(x, i):
+        """Whether a member is in no column: no field of the schema, not its first member, or not of its type."""
+        out = ~x["field"].isin(*taken) | (F.array_position("in_order", x["field"]) != i + 1) if taken else F.lit(True)
+        for t in ("double", "boolean"):
+            if typed_so := [r["field"] for r in schema if SPARK_TYPE[r["type"]] == t]:
+                out = out | (x["field"].isin(*typed_so) & x["text"].try_cast(t).isNull())
+        return out
+
+    extra = F.map_from_entries(F.transform(F.filter("m", left), lambda x: F.struct(x["name"], x["text"]))).alias("extra")
     return lined.select("file_id", "line_no", *cols, extra)

@@ -83,3 +83,14 @@ def test_unified_table(spark):
     name = "f_ver" if "f_ver" in t.columns else "f_version"
     assert t.where(f"{name} is not null").count() == 20
     assert t.where("map_contains_key(extra, 'odd')").count() == 1
+
+
+def test_unified_keeps_what_no_column_can_hold(spark):
+    lines = [(1, i, entry(f"k{i}", ver=str(i), n=i, ok=True)) for i in range(9)] + [(1, 9, entry("k9", ver="9", n="many", ok="maybe"))]
+    lines += [(2, i, entry(f"k{i}", version=str(i), n=i, ok=True)) for i in range(20) if i != 9] + [(2, 9, entry("k9", version="9", ver="nine", n=["a"], ok=False))]
+    a, b = tables(spark, [(1, "s", 1), (2, "s", 2)], lines)
+    t = drift.unified(a, b)
+    assert dict(t.dtypes)["f_n"] == "double" and dict(t.dtypes)["f_ok"] == "boolean"
+    extra = {(r["file_id"], r["line_no"]): r["extra"] for r in t.where("size(extra) > 0").collect()}
+    assert extra[1, 9] == {"n": "many", "ok": "maybe"}
+    assert extra[2, 9]["n"] == '["a"]' and extra[2, 9].keys() - {"n"} in ({"ver"}, {"version"})
