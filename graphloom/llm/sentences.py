@@ -6,16 +6,24 @@ end mark with its closing quotes and brackets, and in Thai every blank between T
 words, is a possible boundary. A span from one possible boundary to another is
 scored as a whole: its closing word, the opening word after it, the boundaries it
 runs over, its length in words, and whether its quotes and brackets balance; the
-best sequence of spans is found by dynamic programming.
+best sequence of spans is found by dynamic programming over all of them: spans of up
+to FLAT words one by one, longer ones, whose score falls evenly with their length,
+by running maxima apart for each state of the quotes.
 
 The words' scores are learned from all texts. Paragraphs begin and end at certain
 boundaries, so the words there show what opens and closes a sentence: the closing
 word `approx.` never ends a paragraph, so it closes no sentence; `etc.` does at
-times. In a second pass openings are counted against candidates, each weighted by
-its closing word, so that digits after `no.` do not speak against digits that open
-a sentence. Both tables keep keys seen in at least KEEP_SHARE of all cases, at most
-1 / KEEP_SHARE for each kind and script, whatever the corpus; rarer words are
-scored by their shape.
+times. Openings are counted against candidates, each weighted by its closing word,
+so that digits after `no.` do not speak against digits that open a sentence. Both
+tables keep keys seen in at least KEEP_SHARE of all cases, at most 1 / KEEP_SHARE
+for each kind and script, whatever the corpus; a word's estimate backs off to its
+shape's the more, the rarer it is, and rarer words are scored by their shape alone.
+Words count whole; of those over LONG characters hashes of the whole word and of
+its whole shape are the keys.
+
+Texts are read once: what the marks of their paragraphs show lies in a table of the
+shared folder, from which counts and spans are made. The jobs that learn run while
+the DataFrame is built.
 
 Defined cases
 * null, empty and blank texts have no unit; a text without a mark is one unit;
@@ -36,18 +44,24 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import spill, spread
+from .spans import _INV, _R, _mix, _powers
 
 #: A word is kept in a table from this share of all its script's texts and words at (possible) boundaries.
 KEEP_SHARE = 1e-4
-#: And so many texts must have it.
-KEEP_LEAST = 12
-#: Possible boundaries that one span may run over with its own length counted.
-WINDOW = 24
+#: The estimate of its shape weighs as much as so many texts with a word.
+BACK_OFF = 4.0
+#: Words over so many characters are counted by hashes of the whole word.
+LONG = 64
+#: Spans of more words than this lose PER_WORD for each word beyond.
+FLAT, PER_WORD = 60, 0.02
+#: What a span loses whose quotes or brackets do not balance.
+UNBALANCED = 5.0
 
 #: An opening word speaks against a boundary as strongly as a closing word, but for one
 #: only so much: a capital after an abbreviation is no sentence.
@@ -57,9 +71,11 @@ _MARKS = ".!?…。！？؟।॥۔｡．‼⁇⁈⁉"
 _CLOSE = "\"'”’»›“‘)]}』」》）】〉〕"
 _OPEN = "\"'“‘„«‹([{『「《（【〈¿¡‚”’»"
 _BREAK = re.compile(r"(?:\r\n|\n|\r)")
-_BULLET = re.compile(r"[^\S\r\n]*(?:[•‣◦▪●·*–—-][^\S\r\n]+|(\d{1,4})\.(?=[^\S\r\n]))")
+_BULLET = re.compile(r"[^\S\r\n]*(?:[•‣◦▪●·*–—-][^\S\r\n]+|(\d+)\.(?=[^\S\r\n]))")
 _CAND = re.compile(rf"(?:[{_MARKS}]+|(?<=[ऀ-ॿ] )\||(?<=[ऀ-ॿ])\|)[{re.escape(_CLOSE)}]*(?:[ \t\xa0\u2009\u202f]+[»›])?")
 _THAI_GAP = re.compile(r"(?<=[ก-๛])\s+(?=[ก-๛])")
+_THAI_SHORT = re.compile(r"[ก-๛]+\.")
+_GAP = "ก "  # the closing key of a blank between Thai words
 _THAI = re.compile(r"[\u0e01-\u0e5b]")
 _DIGITS = re.compile(r"\d+")
 _WIDE = re.compile(r"[\u2e80-\u9fff\uf900-\ufaff\uff66-\uff9d]")
@@ -92,14 +108,57 @@ def script_of(text: str) -> str:
     return "latin"
 
 
+def _kind(c: str) -> str:
+    return "0" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else "w" if c.isalpha() or ord(c) > 0x300 and c.isprintable() and c not in _MARKS + _CLOSE + _OPEN else c
+
+
 @lru_cache(maxsize=200_000)
 def _shape(word: str) -> str:
+    """The kinds of a word's characters, repeated ones once; of a long word's key, its shape's part."""
+    if word[1:2] == "\0":
+        return word[:18]
     out = []
     for c in word:
-        k = "0" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else "w" if c.isalpha() or ord(c) > 0x300 and c.isprintable() and not c in _MARKS + _CLOSE + _OPEN else c
+        k = _kind(c)
         if not out or out[-1] != k:
             out.append(k)
-    return "".join(out[:8])
+    return "".join(out)
+
+
+class _LongWords:
+    """Keys of any words of a text over LONG characters, from prefix sums over all of it:
+    a hash of the word's characters, digits alike, and one of its shape."""
+
+    def __init__(self, text: str):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.n = len(codes)
+        chars, of = np.unique(codes, return_inverse=True)
+        chars = [chr(c) for c in chars.tolist()]
+        self.kinds = np.array([ord(_kind(c)) for c in chars], np.uint64)[of]
+        begins = np.r_[True, self.kinds[1:] != self.kinds[:-1]]
+        self.run = np.cumsum(begins) - 1
+        powers, self.inverse = _powers(_R, self.n + 1), _powers(_INV, self.n + 1)
+        digit = self.kinds == ord("0")
+        self.word_sums = self._sums(np.where(digit, self.kinds, codes.astype(np.uint64)), powers)
+        self.shape_sums = self._sums(self.kinds[begins], powers)
+        at = np.arange(self.n)
+        space = np.array([c.isspace() for c in chars])[of]
+        wide = np.array([bool(_WIDE.match(c)) for c in chars])[of]
+        self.space_before = np.maximum.accumulate(np.where(space, at, -1))
+        self.space_after, self.wide_after = (np.minimum.accumulate(np.where(x, at, self.n)[::-1])[::-1] for x in (space, wide))
+        self.wide_before = np.maximum.accumulate(np.where(wide, at, -1))
+
+    @staticmethod
+    def _sums(values: np.ndarray, powers: np.ndarray) -> np.ndarray:
+        return np.r_[np.zeros(1, np.uint64), np.cumsum(_mix(values + np.uint64(1)) * powers[: len(values)], dtype=np.uint64)]
+
+    def _hash(self, sums: np.ndarray, a: int, z: int) -> int:
+        return int(_mix((sums[z : z + 1] - sums[a : a + 1]) * self.inverse[a : a + 1] + np.uint64(z - a))[0])
+
+    def key(self, a: int, z: int) -> str:
+        if a >= z:
+            return ""
+        return f"{chr(int(self.kinds[a]))}\0{self._hash(self.shape_sums, int(self.run[a]), int(self.run[z - 1]) + 1):016x}{self._hash(self.word_sums, a, z):016x}"
 
 
 def _composed(word: str) -> str:
@@ -107,55 +166,92 @@ def _composed(word: str) -> str:
     return word if word.isascii() else unicodedata.normalize("NFC", word)
 
 
-def _closing(text: str, start: int, mark_at: int, end: int) -> tuple[str, str]:
-    """(word key, shape key) of the word that ends at a mark, with the mark and what closes it."""
-    before = text[max(start, mark_at - 31) : mark_at].split()
-    word = before[-1][-30:] if before else ""
-    if not word.isascii():
-        k = len(word) - 2
-        while k > 0 and not _WIDE.match(word[k]):
-            k -= 1
-        word = _composed(word[max(k, 0) :])
-    word = word.lstrip(_OPEN)
-    mark = "".join(text[mark_at:end].split())
-    return _DIGITS.sub("0", word)[-16:] + mark, _shape(word)[-6:] + mark
+class _Words:
+    """The words around the marks of one text."""
 
+    def __init__(self, text: str):
+        self.text, self._long = text, None
 
-_FIRST = re.compile(r"\S+")
+    @property
+    def long(self) -> _LongWords:
+        self._long = self._long or _LongWords(self.text)
+        return self._long
+
+    def closing(self, start: int, mark_at: int, end: int) -> str:
+        """The key of the word that ends at a mark, with the mark and what closes it."""
+        text, z = self.text, mark_at
+        while z > start and text[z - 1].isspace():
+            z -= 1
+        a, least = z, max(start, z - LONG)
+        while a > least and not (c := text[a - 1]).isspace():
+            a -= 1
+            if c >= "\u2e80" and z - a > 1 and _WIDE.match(c):
+                break
+        else:
+            if a == z - LONG and a > start and not text[a - 1].isspace():
+                a = max(start, int(self.long.space_before[z - 1]) + 1, int(self.long.wide_before[z - 2]))
+        mark = "".join(text[mark_at:end].split())
+        if z - a <= LONG:
+            return _DIGITS.sub("0", _composed(text[a:z]).lstrip(_OPEN)) + mark
+        while a < z and text[a] in _OPEN:
+            a += 1
+        return self.long.key(a, z) + mark
+
+    def opening(self, at: int, stop: int) -> str:
+        """The key of the word that begins at or after `at`; its opening marks stand before it."""
+        text, lead = self.text, ""
+        while m := _FIRST.search(text, at, stop):
+            at, z = m.start(), m.end()
+            while at < z and text[at] in _OPEN:
+                at, lead = at + 1, "“"
+            if at < z:
+                break
+        else:
+            return lead
+        if _WIDE.match(text[at]):
+            return lead + text[at : min(at + 2, z)]
+        z = _FIRST.match(text, at, stop).end()
+        cut, tail = _WIDE.search(text, at, z), ""
+        if cut:
+            z, tail = cut.start(), cut.group()
+        elif z - at > LONG:
+            z = min(stop, int(self.long.space_after[at]), int(self.long.wide_after[at]))
+            tail = text[z] if z < stop and not text[z].isspace() else ""
+        if z - at <= LONG:
+            return lead + _DIGITS.sub("0", _composed(text[at:z]).rstrip(_TRAILING)) + tail
+        while z > at and text[z - 1] in _TRAILING:
+            z -= 1
+        return lead + self.long.key(at, z) + tail
 
 
-def _opening(text: str, at: int, stop: int) -> tuple[str, str]:
-    """(word key, shape key) of the word that begins at or after `at`; its opening marks stand before both."""
-    lead, word = "", ""
-    while not word and (m := _FIRST.search(text, at, stop)):
-        raw = _composed(text[m.start() : min(m.end(), m.start() + 30)])
-        word = raw.lstrip(_OPEN)
-        lead = "“" if len(word) < len(raw) else lead
-        at = m.end()
-    if word and _WIDE.match(word[0]):
-        word = word[:2]
-    else:
-        cut = _WIDE.search(word)
-        tail = word[cut.start()] if cut else ""
-        word = (word[: cut.start()] if cut else word).rstrip(",;:.!?…)]}”\"»،؛") + tail
-    return lead + _DIGITS.sub("0", word)[:16], lead + _shape(word)[:6]
+_FIRST = re.compile(rf"\S{{1,{LONG + 1}}}")
+_TRAILING = ",;:.!?…)]}”\"»،؛"
 
 
-def _case(opening: tuple[str, str]) -> str:
+def _case(opening: str) -> str:
     """Whether the word after a possible boundary begins with a small letter."""
-    return "l" if opening[1].lstrip("“")[:1] == "a" else "o"
+    return "l" if opening.lstrip("“")[:1].islower() else "o"
 
 
 @dataclass
 class Paragraph:
-    """A stretch between certain boundaries: its span, its possible boundaries (end of
-    unit, start of the next word, closing keys) and its script."""
+    """A stretch between certain boundaries: its span, its script, its first word's key, the
+    closing key at its end, and its possible boundaries: end of unit, start of the next
+    word, closing key, opening key."""
 
     start: int
     end: int
     script: str
-    marks: list[tuple[int, int, tuple[str, str]]] = field(default_factory=list)
-    final: tuple[str, str] | None = None
+    marks: list[tuple[int, int, str, str]] = field(default_factory=list)
+    first: str = ""
+    final: str | None = None
+
+
+def _number(digits: str) -> int:
+    try:
+        return int(digits)
+    except ValueError:  # more digits than Python reads: a number that follows none
+        return -1
 
 
 def paragraphs(text: str) -> Iterator[Paragraph]:
@@ -174,7 +270,7 @@ def paragraphs(text: str) -> Iterator[Paragraph]:
         else:
             b = _BULLET.match(text, at, stop + 1 if m else n)
             if b:
-                number = int(b.group(1)) if b.group(1) else None
+                number = _number(b.group(1)) if b.group(1) else None
                 mark = b.group().strip()
                 if prev_blank or (number is None and (mark not in "–—" or mark == last_mark)) or (number is not None and (number == item_no + 1 and item_no or number == 1 and last in _MARKS + _CLOSE + ":")):
                     if at > begin:
@@ -188,27 +284,29 @@ def paragraphs(text: str) -> Iterator[Paragraph]:
         at = m.end()
     if begin < n:
         spans.append((begin, n))
+    words = _Words(text)
     for a, z in spans:
         while a < z and text[a].isspace():
             a += 1
         while z > a and text[z - 1].isspace():
             z -= 1
         if a < z:
-            yield _with_marks(text, a, z)
+            yield _with_marks(text, words, a, z)
 
 
-def _with_marks(text: str, a: int, z: int) -> Paragraph:
+def _with_marks(text: str, words: _Words, a: int, z: int) -> Paragraph:
     p = Paragraph(a, z, script_of(text[a:z]))
     body = a
     if b := _BULLET.match(text, a, z):
         body = b.end()
+    p.first = words.opening(body, z)
+    found: list[tuple[int, int, str]] = []
     for m in _CAND.finditer(text, body, z):
         end = m.end()
         if m.start() == body:
             continue
-        keys = _closing(text, body, m.start(), end)
         if end == z:
-            p.final = keys
+            p.final = words.closing(body, m.start(), end)
             continue
         if p.script == "thai" and m.group() == "." and _THAI.match(text[m.start() - 1]):
             continue  # Thai ends no sentence with a full stop; it marks abbreviations
@@ -220,22 +318,20 @@ def _with_marks(text: str, a: int, z: int) -> Paragraph:
             if text[start] in ",;:" or (text[start] in _MARKS):
                 continue
             # a straight quote after the blank that closes what is open stays with the unit
-            p.marks.append((end, start, keys))
+            found.append((end, start, words.closing(body, m.start(), end)))
         elif last in "。！？｡．।॥؟۔" or (last in _CLOSE and re.search("[。！？｡．।؟]", m.group())) or m.group().startswith("……"):
             if nxt not in "，、；：,;:.)）」』”’»!?！？。…":
-                p.marks.append((end, end, keys))
+                found.append((end, end, words.closing(body, m.start(), end)))
         elif text[m.start() - 1].isalnum() or text[m.start() - 1] in ")]%”\"»":
             before = text[m.start() - 1]
             if (nxt.isupper() and not before.isupper()) or (nxt.isalpha() and not nxt.isupper() and not nxt.islower()) or (nxt.isalpha() and before.isalpha() and ord(before) > 0x900 and not before.isupper() and not before.islower()) or (nxt in "“„«¿¡" and not before.isdigit()):
-                p.marks.append((end, end, keys))
+                found.append((end, end, words.closing(body, m.start(), end)))
     if p.script == "thai":
         for m in _THAI_GAP.finditer(text, body, z):
-            left = text[max(a, m.start() - 30) : m.start()].split()[-1:]
-            word = _FIRST.match(text, m.end(), z)
-            if left and left[0].endswith(".") or word and re.match(r"[ก-๛]{1,6}\.", word.group()):
-                continue
-            p.marks.append((m.start(), m.end(), ("ก ", "ก ")))
-        p.marks.sort()
+            if not _THAI_SHORT.match(text, m.end(), z):
+                found.append((m.start(), m.end(), _GAP))
+        found.sort()
+    p.marks = [(end, start, key, "" if key == _GAP else words.opening(start, z)) for end, start, key in found]
     return p
 
 
@@ -246,6 +342,24 @@ def _strong(key: str) -> bool:
     return bool(_STRONG.search(key[-2:])) and key[-1] not in _CLOSE
 
 
+@lru_cache(maxsize=200_000)
+def _mark_of(key: str) -> str:
+    i = len(key)
+    while i and key[i - 1] in _MARKS + _CLOSE + "|":
+        i -= 1
+    return key[i:]
+
+
+@lru_cache(maxsize=200_000)
+def _closing_shape(key: str) -> str:
+    mark = _mark_of(key)
+    return _shape(key[: len(key) - len(mark)]) + mark
+
+
+def _opening_shape(key: str) -> str:
+    return key[: key.startswith("“")] + _shape(key.lstrip("“"))
+
+
 class Model:
     """Chances of a boundary by closing word (given the case of the next) and by opening
     word; of rarer words, by their shapes and marks."""
@@ -253,26 +367,20 @@ class Model:
     def __init__(self, closing: dict, opening: dict):
         self.closing, self.opening = closing, opening
 
-    def p_close(self, script: str, keys: tuple[str, str], case: str) -> float:
-        if keys[0] == "ก ":
+    def p_close(self, script: str, key: str, case: str) -> float:
+        if key == _GAP:
             return 0.97
-        for level, k in (("w", keys[0]), ("s", keys[1]), ("m", _mark_of(keys[0]))):
+        if (p := self.closing.get((script, "w", key + case))) is not None:
+            return p
+        for level, k in (("s", _closing_shape(key)), ("m", _mark_of(key))):
             if (p := self.closing.get((script, level, k + case))) is not None:
                 return p
-        return 0.95 if _strong(keys[0]) else 0.75
-
-    def p_open(self, script: str, keys: tuple[str, str]) -> float:
-        for level, k in (("w", keys[0]), ("s", keys[1])):
-            if (p := self.opening.get((script, level, k))) is not None:
-                return p
-        return 0.5
+        return 0.95 if _strong(key) else 0.75
 
-
-def _mark_of(key: str) -> str:
-    i = len(key)
-    while i and key[i - 1] in _MARKS + _CLOSE + "|":
-        i -= 1
-    return key[i:]
+    def p_open(self, script: str, key: str) -> float:
+        if (p := self.opening.get((script, "w", key))) is not None:
+            return p
+        return self.opening.get((script, "s", _opening_shape(key)), 0.5)
 
 
 def _logit(p: float) -> float:
@@ -283,14 +391,14 @@ def _logit(p: float) -> float:
 _PAIRED = re.compile(f"[{re.escape(_QUOTE_OPEN + _QUOTE_SHUT)}\"]")
 
 
-def _open_marks(text: str, a: int, places: list[int]) -> list[tuple[int, int]]:
-    """At each of the ascending places: how many quotes and brackets are open since `a`, and
-    whether the number of straight quotes is odd."""
+def _open_marks(text: str, a: int, places: list[int]) -> list[int]:
+    """At each of the ascending places: twice how many quotes and brackets are open since `a`,
+    and one more if the number of straight quotes is odd."""
     out, depth, straight, k = [], 0, 0, 0
     for m in _PAIRED.finditer(text, a, places[-1]):
         at, c = m.start(), m.group()
         while places[k] <= at:
-            out.append((depth, straight))
+            out.append(2 * depth + straight)
             k += 1
         if c == '"':
             straight ^= 1
@@ -298,105 +406,210 @@ def _open_marks(text: str, a: int, places: list[int]) -> list[tuple[int, int]]:
             depth += 1
         elif depth:
             depth -= 1
-    out += [(depth, straight)] * (len(places) - k)
+    out += [2 * depth + straight] * (len(places) - k)
     return out
 
 
 def _length_score(words: int) -> float:
     """Of a span by its words: very short and very long ones are rare."""
-    return (-2.0, -0.8, -0.2)[words - 1] if 1 <= words <= 3 else -0.02 * max(0, words - 60)
+    return (-2.0, -0.8, -0.2)[words - 1] if 1 <= words <= 3 else -PER_WORD * max(0, words - FLAT)
+
+
+class _Deepest:
+    """The greatest value put at a depth of at least d: a tree over the depths."""
+
+    def __init__(self, depths: int):
+        self.n = depths
+        self.tree: list[tuple[float, int]] = [(-math.inf, 0)] * (depths + 1)
+
+    def put(self, depth: int, value: float, at: int) -> None:
+        i = self.n - depth
+        while i <= self.n:
+            if value >= self.tree[i][0]:
+                self.tree[i] = (value, at)
+            i += i & -i
+
+    def best(self, depth: int) -> tuple[float, int]:
+        i, out = max(0, self.n - depth), (-math.inf, 0)
+        while i:
+            if self.tree[i] > out:
+                out = self.tree[i]
+            i &= i - 1
+        return out
+
+
+def best_cuts(words: list[int], opened: list[int], shut: list[int], gains: list[float]) -> list[int]:
+    """The bounds (by number, the last one included) that end the spans of the best sequence.
+    Of each bound, the paragraph's start first: `words` before it, which grow from bound to
+    bound, and the quotes open where a span begins and where one ends; gains of the inner ones."""
+    n = len(words)
+    best, back = [0.0] * n, [0] * n
+    near = 0  # the first bound from which a span is not long
+    far, far_at, deep = -math.inf, 0, None
+    for j in range(1, n):
+        depth, odd = shut[j] >> 1, shut[j] & 1
+        while words[j] - words[near] > FLAT:  # from here on spans that begin there lose evenly
+            deep = deep or [_Deepest(max(opened) // 2 + 1) for _ in "01"]
+            value = best[near] + PER_WORD * words[near]
+            if value >= far:
+                far, far_at = value, near
+            deep[opened[near] & 1].put(opened[near] >> 1, value, near)
+            near += 1
+        top, at = -math.inf, 0
+        for i in range(j - 1, near - 1, -1):
+            score = best[i] + _length_score(words[j] - words[i])
+            if opened[i] >> 1 < depth or opened[i] & 1 != odd:
+                score -= UNBALANCED
+            if score > top:
+                top, at = score, i
+        if deep:
+            lost = PER_WORD * (words[j] - FLAT)
+            balanced, i = deep[odd].best(depth)
+            if balanced - lost > top:
+                top, at = balanced - lost, i
+            if far - lost - UNBALANCED > top:
+                top, at = far - lost - UNBALANCED, far_at
+        best[j], back[j] = top + (gains[j - 1] if j < n - 1 else 0.0), at
+    cut, j = [], n - 1
+    while j:
+        cut.append(j)
+        j = back[j]
+    return cut[::-1]
+
+
+def _bounds(text: str, p: Paragraph) -> tuple[list[int], list[int], list[int]]:
+    """(words, opened, shut) of `best_cuts` for a paragraph with marks."""
+    bounds = [p.start, *(m[1] for m in p.marks), p.end]
+    stops = [p.start, *(m[0] for m in p.marks), p.end]
+    spaced = p.script not in ("han", "kana", "thai")
+    words = [0]
+    for a, z in zip(bounds, stops[1:]):
+        words.append(words[-1] + (len(text[a:z].split()) if spaced else -(-(z - a) // 4)))
+    return words, _open_marks(text, p.start, bounds), _open_marks(text, p.start, stops)
+
+
+def _gains(model: Model, script: str, closing: list[str], opening: list[str]) -> list[float]:
+    out = []
+    for c, o in zip(closing, opening):
+        gain = _logit(model.p_close(script, c, _case(o)))
+        out.append(gain if c == _GAP else gain + min(OPEN_MOST, _logit(model.p_open(script, o))))
+    return out
 
 
 def segment(text: str, model: Model) -> list[int]:
     """The end offsets of the units of a text."""
     ends: list[int] = []
     for p in paragraphs(text):
-        marks = p.marks
-        if not marks:
+        if not p.marks:
             ends.append(p.end)
             continue
-        gains = []
-        for end, start, keys in marks:
-            word = _opening(text, start, p.end)
-            gain = _logit(model.p_close(p.script, keys, _case(word)))
-            gains.append(gain + min(OPEN_MOST, _logit(model.p_open(p.script, word))) if keys[0] != "ก " else gain)
-        bounds = [p.start, *(m[1] for m in marks), p.end]
-        stops = [p.start, *(m[0] for m in marks), p.end]
-        n = len(bounds)
-        spaced = p.script not in ("han", "kana", "thai")
-        # words before each bound, for lengths of spans in constant time
-        counts = [0]
-        for i in range(1, n):
-            piece = text[bounds[i - 1] : stops[i]]
-            counts.append(counts[-1] + (len(piece.split()) if spaced else -(-len(piece) // 4)))
-        opened, shut = _open_marks(text, p.start, bounds), _open_marks(text, p.start, stops)
-        best, back = [0.0] + [-math.inf] * (n - 1), [0] * n
-        far, far_from = -math.inf, 0  # the best start beyond the window: its span is long, whatever its exact length
-        for j in range(1, n):
-            gain = gains[j - 1] if j < n - 1 else 0.0
-            low = max(0, j - WINDOW)
-            for i in range(j - 1, low - 1, -1):
-                score = best[i] + gain + _length_score(counts[j] - counts[i])
-                if opened[i][0] < shut[j][0] or opened[i][1] != shut[j][1]:
-                    score -= 5.0
-                if score > best[j]:
-                    best[j], back[j] = score, i
-            if low > 0 and best[low - 1] > far:
-                far, far_from = best[low - 1], low - 1
-            if far + gain - 1.0 > best[j]:
-                best[j], back[j] = far + gain - 1.0, far_from
-        cut, j = [], n - 1
-        while j:
-            cut.append(stops[j])
-            j = back[j]
-        ends += reversed(cut)
+        stops = [p.start, *(m[0] for m in p.marks), p.end]
+        ends += [stops[j] for j in best_cuts(*_bounds(text, p), _gains(model, p.script, [m[2] for m in p.marks], [m[3] for m in p.marks]))]
     return ends
 
 
-def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[str]:
-    for b in batches:
-        for t in b.column(column):
-            if t := t.as_py():
-                yield t
+_COUNT = {"kind": pa.string(), "script": pa.string(), "level": pa.string(), "word": pa.string(), "n": pa.float64()}
+_PLACE = {"p_end": pa.int64(), "stops": pa.list_(pa.int64()), "closing": pa.list_(pa.string()), "opening": pa.list_(pa.string()), "words": pa.list_(pa.int32()), "opened": pa.list_(pa.int32()), "shut": pa.list_(pa.int32())}
+_COUNT_DDL = "kind string, script string, level string, word string, n double"
+_PLACE_DDL = "p_end bigint, stops array<bigint>, closing array<string>, opening array<string>, words array<int>, opened array<int>, shut array<int>"
 
 
-_COUNTS = "kind string, script string, level string, key string, n double"
+def _count_rows(counts: Counter) -> dict[str, pa.Array]:
+    keys = list(counts)
+    cols = [*(pa.array([k[i] for k in keys], pa.string()) for i in range(4)), pa.array([float(counts[k]) for k in keys], pa.float64())]
+    return dict(zip(_COUNT, cols))
+
+
+def _counted(p: Paragraph, c: Counter, seen: set) -> None:
+    """Adds what a paragraph's certain and possible boundaries show."""
+    s = p.script
+    c["paragraphs", s, "", ""] += 1
+    c["case", s, "", _case(p.first)] += 1
+    for level, k in (("w", p.first), ("s", _opening_shape(p.first))):
+        c["start", s, level, k] += 1
+        seen.add(("seen_open", s, level, k))
+    if p.final:
+        for level, k in (("w", p.final), ("s", _closing_shape(p.final)), ("m", _mark_of(p.final))):
+            c["end", s, level, k] += 1
+            seen.add(("seen_close", s, level, k))
+        if _strong(p.final):
+            c["strong_end", s, "", ""] += 1
+    for _, _, key, word in p.marks:
+        if key == _GAP:
+            continue
+        case = _case(word)
+        for level, k in (("w", key), ("s", _closing_shape(key)), ("m", _mark_of(key))):
+            c["mid" + case, s, level, k] += 1
+            seen.add(("seen_close", s, level, k))
+        for level, k in (("w", word), ("s", _opening_shape(word))):
+            seen.add(("seen_open", s, level, k))
+        if _strong(key):
+            c["strong_mid", s, "", ""] += 1
 
 
-def _rows(counts: Counter) -> pa.RecordBatch:
-    keys = list(counts)
-    return pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(4)), pa.array([float(counts[k]) for k in keys], pa.float64())], ["kind", "script", "level", "key", "n"])
-
-
-def _flushed(texts: Iterator[str], count) -> Iterator[pa.RecordBatch]:
-    """Counts of the texts, passed on whenever the table of a task has grown large."""
-    counts: Counter = Counter()
-    for t in texts:
-        count(t, counts)
-        if len(counts) > 200_000:
-            yield _rows(counts)
-            counts = Counter()
-    if counts:
-        yield _rows(counts)
-
-
-def _summed(rows: DataFrame) -> dict[tuple[str, str, str, str], float]:
-    """Counts by key, of the keys that reach KEEP_SHARE of all that is seen in their script: at
-    most 1 / KEEP_SHARE keys of each come to the driver. What is kept depends on the number
-    of texts with the key, so that no name of one long text is kept, and never on whether
-    it was seen at a certain boundary."""
-    per = spill(rows.groupBy("kind", "script", "level", "key").agg(F.sum("n").alias("n")), batch_rows=2000)
-    seen = per.where("kind = 'seen'").select("script", "level", "key", F.col("n").alias("seen"))
-    whole = seen.groupBy("script", "level").agg(F.sum("seen").alias("all"))
-    kept = seen.join(whole, ["script", "level"]).where((F.col("seen") >= KEEP_LEAST) & (F.col("seen") >= F.col("all") * KEEP_SHARE)).select("script", "level", "key")
-    totals = per.where("level = ''")
-    return {(r["kind"], r["script"], r["level"], r["key"]): r["n"] for r in per.join(kept, ["script", "level", "key"]).select(*per.columns).unionByName(totals).collect()}
-
-
-def _share(n_certain: float, ratio: float, n_mid: float, prior: float, weight: float = 2.0) -> float:
+#: Counts of a task are passed on whenever it holds so many keys.
+FLUSH_KEYS = 200_000
+
+
+def places(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One row for each paragraph (its end, its possible boundaries and what stands around
+    them), and rows of counts, told apart by `kind`; every text is read once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        kind = None
+        for b in batches:
+            kind = b.schema.field(0).type
+            which: list[int] = []
+            scripts, cols = [], {name: [] for name in _PLACE}
+            for i, t in enumerate(b.column(1)):
+                if not (t := t.as_py()):
+                    continue
+                seen: set = set()
+                for p in paragraphs(t):
+                    _counted(p, counts, seen)
+                    which.append(i)
+                    scripts.append(p.script)
+                    row = (p.end, [m[0] for m in p.marks], [m[2] for m in p.marks], [m[3] for m in p.marks], *_bounds(t, p)) if p.marks else (p.end, *[None] * 6)
+                    for c, v in zip(cols.values(), row):
+                        c.append(v)
+                counts.update(seen)
+            yield _batch(key, b.column(0).take(pa.array(which, pa.int64())), {"script": pa.array(scripts, pa.string())}, {n: pa.array(v, _PLACE[n]) for n, v in cols.items()})
+            if len(counts) > FLUSH_KEYS:
+                yield _batch(key, pa.nulls(len(counts), kind), _count_rows(counts), {})
+                counts = Counter()
+        if counts:
+            yield _batch(key, pa.nulls(len(counts), kind), _count_rows(counts), {})
+
+    ddl = f"`{key}` {docs.schema[key].dataType.simpleString()}, {_COUNT_DDL}, {_PLACE_DDL}"
+    return spill(spread(docs.select(key, text)).mapInArrow(run, ddl), batch_rows=2000)
+
+
+def _batch(key: str, ids: pa.Array, counts: dict, found: dict) -> pa.RecordBatch:
+    cols = {**{n: counts.get(n) for n in _COUNT}, **{n: found.get(n) for n in _PLACE}}
+    types = {**_COUNT, **_PLACE}
+    return pa.RecordBatch.from_arrays([ids, *(pa.nulls(len(ids), types[n]) if c is None else c for n, c in cols.items())], [key, *cols])
+
+
+def _kept(per: DataFrame, seen: str) -> DataFrame:
+    """The keys that reach KEEP_SHARE of all that is seen in their script: at most
+    1 / KEEP_SHARE keys of each come to the driver. What is kept depends on the number of
+    texts with the key, so that no name of one long text is kept, and never on whether it
+    was seen at a certain boundary."""
+    own = per.where(F.col("kind") == seen).select("script", "level", "word", F.col("n").alias("seen"))
+    whole = own.groupBy("script", "level").agg(F.sum("seen").alias("all"))
+    return own.join(whole, ["script", "level"]).where(F.col("seen") >= F.col("all") * KEEP_SHARE).select("script", "level", "word")
+
+
+def _collected(rows: DataFrame, kept: DataFrame) -> dict[tuple[str, str, str, str], float]:
+    few = rows.join(kept, ["script", "level", "word"]).select("kind", "script", "level", "word", "n")
+    return {(r["kind"], r["script"], r["level"], r["word"]): r["n"] for r in few.collect()}
+
+
+def _share(n_certain: float, ratio: float, n_mid: float, prior: float) -> float:
     """Chance that a candidate is a boundary: certain boundaries seen, scaled by the number
     of boundaries inside paragraphs for each certain one, over candidates inside paragraphs."""
-    return min(1.0, (n_certain * ratio + weight * prior) / (n_mid + weight)) if n_mid + weight else prior
+    return min(1.0, (n_certain * ratio + BACK_OFF * prior) / (n_mid + BACK_OFF))
 
 
 def _rare_shapes(got: dict, shape) -> dict:
@@ -409,100 +622,83 @@ def _rare_shapes(got: dict, shape) -> dict:
     return out
 
 
-def _body(text: str, p: Paragraph) -> int:
-    """Where a paragraph's first word is looked for: after a list item's bullet."""
-    b = _BULLET.match(text, p.start, p.end)
-    return b.end() if b else p.start
-
-
-def fit(docs: DataFrame, text: str = "text") -> Model:
-    """The model of a corpus: two passes over all texts."""
-    column = spread(docs.select(text))
-
-    def closings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def count(t: str, c: Counter) -> None:
-            seen = set()
-            for p in paragraphs(t):
-                c["paragraphs", p.script, "", ""] += 1
-                c["case", p.script, "", _case(_opening(t, _body(t, p), p.end))] += 1
-                if p.final:
-                    for level, k in (("w", p.final[0]), ("s", p.final[1]), ("m", _mark_of(p.final[0]))):
-                        c["end", p.script, level, k] += 1
-                        seen.add(("seen", p.script, level, k))
-                    if _strong(p.final[0]):
-                        c["strong_end", p.script, "", ""] += 1
-                for _, start, keys in p.marks:
-                    if keys[0] == "ก ":
-                        continue
-                    case = _case(_opening(t, start, p.end))
-                    for level, k in (("w", keys[0]), ("s", keys[1]), ("m", _mark_of(keys[0]))):
-                        c["mid" + case, p.script, level, k] += 1
-                        seen.add(("seen", p.script, level, k))
-                    if _strong(keys[0]):
-                        c["strong_mid", p.script, "", ""] += 1
-            c.update(seen)
-
-        return _flushed(_texts(batches, 0), count)
-
-    got = _rare_shapes(_summed(column.mapInArrow(closings, _COUNTS)), lambda k: _shape(k[: len(k) - len(_mark_of(k))])[-6:] + _mark_of(k))
-    scripts = {k[1] for k in got if k[0] == "paragraphs"}
-    ratio = {s: max(0.2, got.get(("strong_mid", s, "", ""), 0.0) / max(1.0, got.get(("strong_end", s, "", ""), 0.0))) for s in scripts}
-    cases = {(s, c): (got.get(("case", s, "", c), 0.0) + 0.5) / (got.get(("paragraphs", s, "", ""), 0.0) + 1.0) for s in scripts for c in "lo"}
-    closing: dict[tuple[str, str, str], float] = {}
+def _closings(got: dict, totals: dict) -> dict[tuple[str, str, str], float]:
+    scripts = {s for kind, s, _ in totals if kind == "paragraphs"}
+    ratio = {s: max(0.2, totals.get(("strong_mid", s, ""), 0.0) / max(1.0, totals.get(("strong_end", s, ""), 0.0))) for s in scripts}
+    cases = {(s, c): (totals.get(("case", s, c), 0.0) + 0.5) / (totals.get(("paragraphs", s, ""), 0.0) + 1.0) for s in scripts for c in "lo"}
+    out: dict[tuple[str, str, str], float] = {}
     for level in ("m", "s", "w"):
         for s, k in sorted({(s, k) for kind, s, lv, k in got if lv == level and kind in ("end", "midl", "mido")}):
             for c in "lo":
-                prior = closing.get((s, "m", _mark_of(k) + c), 0.5)
-                closing[s, level, k + c] = _share(got.get(("end", s, level, k), 0.0), ratio[s] * cases[s, c], got.get(("mid" + c, s, level, k), 0.0), prior)
-    partial = Model(closing, {})
+                prior = out.get((s, "m", _mark_of(k) + c), 0.5)
+                if level == "w":
+                    prior = out.get((s, "s", _closing_shape(k) + c), prior)
+                out[s, level, k + c] = _share(got.get(("end", s, level, k), 0.0), ratio[s] * cases[s, c], got.get(("mid" + c, s, level, k), 0.0), prior)
+    return out
+
 
-    def openings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def count(t: str, c: Counter) -> None:
-            seen = set()
-            for p in paragraphs(t):
-                c["paragraphs", p.script, "", ""] += 1
-                w, s = _opening(t, _body(t, p), p.end)
-                c["start", p.script, "w", w] += 1
-                c["start", p.script, "s", s] += 1
-                seen |= {("seen", p.script, "w", w), ("seen", p.script, "s", s)}
-                for _, start, keys in p.marks:
-                    if keys[0] == "ก ":
-                        continue
-                    w, s = _opening(t, start, p.end)
-                    weight = partial.p_close(p.script, keys, _case((w, s)))
-                    c["next", p.script, "w", w] += weight
-                    c["next", p.script, "s", s] += weight
-                    seen |= {("seen", p.script, "w", w), ("seen", p.script, "s", s)}
-            c.update(seen)
-
-        return _flushed(_texts(batches, 0), count)
-
-    got = _rare_shapes(_summed(column.mapInArrow(openings, _COUNTS)), lambda k: k[: k.startswith("“")] + _shape(k.lstrip("“"))[:6])
-    opening: dict[tuple[str, str, str], float] = {}
-    total = Counter()
+def _openings(got: dict) -> dict[tuple[str, str, str], float]:
+    total: Counter = Counter()
     for (kind, s, lv, _), n in got.items():
-        if lv:
-            total[kind, s] += n
+        total[kind, s] += n
+    out: dict[tuple[str, str, str], float] = {}
     for level in ("s", "w"):
-        for s, k in sorted({(s, k) for kind, s, lv, k in got if lv == level and kind in ("start", "next")}):
+        for s, k in sorted({(s, k) for kind, s, lv, k in got if lv == level}):
             r = max(0.2, total["next", s] / max(1.0, total["start", s]))
-            prior = 0.5 if level == "s" else opening.get((s, "s", k[: k.startswith("“")] + _shape(k.lstrip("“"))[:6]), 0.5)
-            opening[s, level, k] = _share(got.get(("start", s, level, k), 0.0), r, got.get(("next", s, level, k), 0.0), prior)
-    return Model(closing, opening)
+            prior = 0.5 if level == "s" else out.get((s, "s", _opening_shape(k)), 0.5)
+            out[s, level, k] = _share(got.get(("start", s, level, k), 0.0), r, got.get(("next", s, level, k), 0.0), prior)
+    return out
+
+
+def fit(found: DataFrame) -> Model:
+    """The model of a corpus, from its `places`: counts of certain and possible boundaries
+    give the closings, and candidates weighted by them the openings."""
+    per = spill(found.where("kind is not null").groupBy("kind", "script", "level", "word").agg(F.sum("n").alias("n")))
+    totals = {(r["kind"], r["script"], r["word"]): r["n"] for r in per.where("level = ''").collect()}
+    of_close, of_open = _kept(per, "seen_close"), spill(_kept(per, "seen_open"))
+    got = _collected(per.where(F.col("kind").isin("end", "midl", "mido")), of_close)
+    closing = _closings(_rare_shapes(got, _closing_shape), totals)
+    partial = Model(closing, {})
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for b in batches:
+            for s, keys, words in zip(*(b.column(i).to_pylist() for i in range(3))):
+                for key, word in zip(keys, words):
+                    if key != _GAP:
+                        weight = partial.p_close(s, key, _case(word))
+                        counts["next", s, "w", word] += weight
+                        counts["next", s, "s", _opening_shape(word)] += weight
+            if len(counts) > FLUSH_KEYS:
+                yield pa.RecordBatch.from_pydict(_count_rows(counts))
+                counts = Counter()
+        if counts:
+            yield pa.RecordBatch.from_pydict(_count_rows(counts))
+
+    weighed = found.where("stops is not null").select("script", "closing", "opening").mapInArrow(weigh, _COUNT_DDL)
+    follow = weighed.groupBy("kind", "script", "level", "word").agg(F.sum("n").alias("n"))
+    got = _collected(per.where("kind = 'start'").unionByName(follow), of_open)
+    return Model(closing, _openings(_rare_shapes(got, _opening_shape)))
 
 
 def sentence_ends(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
     """(key, end_char): one row for each sentence unit of each text."""
-    model = model or fit(docs, text)
+    found = places(docs, key, text)
+    model = model or fit(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             which, ends = [], []
-            for i, t in enumerate(b.column(1)):
-                if t := t.as_py():
-                    found = segment(t, model)
-                    which += [i] * len(found)
-                    ends += found
+            for i, (script, end, stops, closing, opening, *bounds) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 9)))):
+                if stops is None:
+                    which.append(i)
+                    ends.append(end)
+                    continue
+                stops.append(end)
+                cuts = best_cuts(*bounds, _gains(model, script, closing, opening))
+                which += [i] * len(cuts)
+                ends += [stops[j - 1] for j in cuts]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(which, pa.int64())), pa.array(ends, pa.int64())], [key, "end_char"])
 
-    return spread(docs.select(key, text)).mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, end_char bigint")
+    rows = found.where("kind is null").select(key, "script", *_PLACE)
+    return rows.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, end_char bigint")
