@@ -101,10 +101,12 @@ def script_of(text: str) -> str:
     """The script of a text: one other than Latin if a tenth of all letters is in it."""
     if text.isascii():
         return "latin"
-    letters = len(_LETTER.findall(text))
+    letters = 0
     for name, pattern in _SCRIPTS.items():
-        if len(pattern.findall(text)) > MIXED * letters:
-            return name
+        if pattern.search(text):
+            letters = letters or len(_LETTER.findall(text))
+            if len(pattern.findall(text)) > MIXED * letters:
+                return name
     return "latin"
 
 
@@ -161,6 +163,14 @@ class _LongWords:
         return f"{chr(int(self.kinds[a]))}\0{self._hash(self.shape_sums, int(self.run[a]), int(self.run[z - 1]) + 1):016x}{self._hash(self.word_sums, a, z):016x}"
 
 
+def _last_wide(word: str) -> int:
+    """Where the last character of a script without blanks stands before a word's last character, or -1."""
+    k = len(word) - 2
+    while k >= 0 and not (word[k] >= "\u2e80" and _WIDE.match(word[k])):
+        k -= 1
+    return k
+
+
 def _composed(word: str) -> str:
     """Composed and decomposed letters count alike."""
     return word if word.isascii() else unicodedata.normalize("NFC", word)
@@ -180,45 +190,48 @@ class _Words:
     def closing(self, start: int, mark_at: int, end: int) -> str:
         """The key of the word that ends at a mark, with the mark and what closes it."""
         text, z = self.text, mark_at
-        while z > start and text[z - 1].isspace():
-            z -= 1
-        a, least = z, max(start, z - LONG)
-        while a > least and not (c := text[a - 1]).isspace():
-            a -= 1
-            if c >= "\u2e80" and z - a > 1 and _WIDE.match(c):
-                break
-        else:
-            if a == z - LONG and a > start and not text[a - 1].isspace():
-                a = max(start, int(self.long.space_before[z - 1]) + 1, int(self.long.wide_before[z - 2]))
-        mark = "".join(text[mark_at:end].split())
-        if z - a <= LONG:
-            return _DIGITS.sub("0", _composed(text[a:z]).lstrip(_OPEN)) + mark
-        while a < z and text[a] in _OPEN:
-            a += 1
-        return self.long.key(a, z) + mark
+        if text[z - 1].isspace():
+            while z > start and text[z - 1].isspace():
+                z -= 1
+        mark = text[mark_at] if end == mark_at + 1 else "".join(text[mark_at:end].split())
+        least = max(start, z - LONG)
+        word = text[least:z].rsplit(None, 1)[-1] if z > start else ""
+        if not word.isascii() and (k := _last_wide(word)) > 0:
+            word = word[k:]
+        elif least > start and len(word) == LONG and not text[least - 1].isspace():
+            a = max(start, int(self.long.space_before[z - 1]) + 1, int(self.long.wide_before[z - 2]))
+            if z - a > LONG:
+                while a < z and text[a] in _OPEN:
+                    a += 1
+                return self.long.key(a, z) + mark
+        return _DIGITS.sub("0", _composed(word).lstrip(_OPEN)) + mark
 
     def opening(self, at: int, stop: int) -> str:
         """The key of the word that begins at or after `at`; its opening marks stand before it."""
         text, lead = self.text, ""
         while m := _FIRST.search(text, at, stop):
-            at, z = m.start(), m.end()
+            at, z = m.span()
+            if text[at] not in _OPEN:
+                break
+            lead = "“"
             while at < z and text[at] in _OPEN:
-                at, lead = at + 1, "“"
+                at += 1
             if at < z:
+                z = _FIRST.match(text, at, stop).end()
                 break
         else:
             return lead
-        if _WIDE.match(text[at]):
-            return lead + text[at : min(at + 2, z)]
-        z = _FIRST.match(text, at, stop).end()
-        cut, tail = _WIDE.search(text, at, z), ""
-        if cut:
-            z, tail = cut.start(), cut.group()
+        word, tail = text[at:z], ""
+        if not word.isascii() and (cut := _WIDE.search(word)):
+            if not cut.start():
+                return lead + word[:2]
+            word, tail = word[: cut.start()], cut.group()
         elif z - at > LONG:
             z = min(stop, int(self.long.space_after[at]), int(self.long.wide_after[at]))
             tail = text[z] if z < stop and not text[z].isspace() else ""
-        if z - at <= LONG:
-            return lead + _DIGITS.sub("0", _composed(text[at:z]).rstrip(_TRAILING)) + tail
+            word = text[at:z] if z - at <= LONG else ""
+        if word:
+            return lead + _DIGITS.sub("0", _composed(word).rstrip(_TRAILING)) + tail
         while z > at and text[z - 1] in _TRAILING:
             z -= 1
         return lead + self.long.key(at, z) + tail
@@ -366,6 +379,8 @@ class Model:
 
     def __init__(self, closing: dict, opening: dict):
         self.closing, self.opening = closing, opening
+        self.shut_gains: dict = {}
+        self.open_gains: dict = {}
 
     def p_close(self, script: str, key: str, case: str) -> float:
         if key == _GAP:
@@ -391,12 +406,13 @@ def _logit(p: float) -> float:
 _PAIRED = re.compile(f"[{re.escape(_QUOTE_OPEN + _QUOTE_SHUT)}\"]")
 
 
-def _open_marks(text: str, a: int, places: list[int]) -> list[int]:
-    """At each of the ascending places: twice how many quotes and brackets are open since `a`,
-    and one more if the number of straight quotes is odd."""
+def _open_marks(paired: list[tuple[int, str]], places: list[int]) -> list[int]:
+    """At each of the ascending places: twice how many of the quotes and brackets are open
+    there, and one more if the number of straight quotes is odd."""
     out, depth, straight, k = [], 0, 0, 0
-    for m in _PAIRED.finditer(text, a, places[-1]):
-        at, c = m.start(), m.group()
+    for at, c in paired:
+        if at >= places[-1]:
+            break
         while places[k] <= at:
             out.append(2 * depth + straight)
             k += 1
@@ -485,14 +501,23 @@ def _bounds(text: str, p: Paragraph) -> tuple[list[int], list[int], list[int]]:
     words = [0]
     for a, z in zip(bounds, stops[1:]):
         words.append(words[-1] + (len(text[a:z].split()) if spaced else -(-(z - a) // 4)))
-    return words, _open_marks(text, p.start, bounds), _open_marks(text, p.start, stops)
+    paired = [(m.start(), m.group()) for m in _PAIRED.finditer(text, p.start, p.end)]
+    return words, _open_marks(paired, bounds), _open_marks(paired, stops)
 
 
 def _gains(model: Model, script: str, closing: list[str], opening: list[str]) -> list[float]:
-    out = []
+    shuts, opens, out = model.shut_gains, model.open_gains, []
     for c, o in zip(closing, opening):
-        gain = _logit(model.p_close(script, c, _case(o)))
-        out.append(gain if c == _GAP else gain + min(OPEN_MOST, _logit(model.p_open(script, o))))
+        if (gain := shuts.get(k := (script, c, _case(o)))) is None:
+            gain = shuts[k] = _logit(model.p_close(*k))
+        if c != _GAP:
+            if (more := opens.get(k := (script, o))) is None:
+                more = opens[k] = min(OPEN_MOST, _logit(model.p_open(*k)))
+            gain += more
+        out.append(gain)
+    if len(shuts) + len(opens) > MEMO_KEYS:
+        shuts.clear()
+        opens.clear()
     return out
 
 
@@ -515,38 +540,45 @@ _PLACE_DDL = "p_end bigint, stops array<bigint>, closing array<string>, opening
 
 
 def _count_rows(counts: Counter) -> dict[str, pa.Array]:
-    keys = list(counts)
-    cols = [*(pa.array([k[i] for k in keys], pa.string()) for i in range(4)), pa.array([float(counts[k]) for k in keys], pa.float64())]
+    """Counts by (kind, script, word) as rows, with those of the words' shapes and marks and
+    the totals of marks that always end a sentence."""
+    whole: Counter = Counter()
+    for (kind, s, k), n in counts.items():
+        if kind in ("paragraphs", "case"):
+            whole[kind, s, "", k] += n
+            continue
+        whole[kind, s, "w", k] += n
+        if kind in ("start", "next", "seen_open"):
+            whole[kind, s, "s", _opening_shape(k)] += n
+            continue
+        whole[kind, s, "s", _closing_shape(k)] += n
+        whole[kind, s, "m", _mark_of(k)] += n
+        if kind != "seen_close" and _strong(k):
+            whole["strong_" + kind[:3], s, "", ""] += n
+    keys = list(whole)
+    cols = [*(pa.array([k[i] for k in keys], pa.string()) for i in range(4)), pa.array([float(whole[k]) for k in keys], pa.float64())]
     return dict(zip(_COUNT, cols))
 
 
 def _counted(p: Paragraph, c: Counter, seen: set) -> None:
     """Adds what a paragraph's certain and possible boundaries show."""
     s = p.script
-    c["paragraphs", s, "", ""] += 1
-    c["case", s, "", _case(p.first)] += 1
-    for level, k in (("w", p.first), ("s", _opening_shape(p.first))):
-        c["start", s, level, k] += 1
-        seen.add(("seen_open", s, level, k))
+    c["paragraphs", s, ""] += 1
+    c["case", s, _case(p.first)] += 1
+    c["start", s, p.first] += 1
+    seen.add(("seen_open", s, p.first))
     if p.final:
-        for level, k in (("w", p.final), ("s", _closing_shape(p.final)), ("m", _mark_of(p.final))):
-            c["end", s, level, k] += 1
-            seen.add(("seen_close", s, level, k))
-        if _strong(p.final):
-            c["strong_end", s, "", ""] += 1
+        c["end", s, p.final] += 1
+        seen.add(("seen_close", s, p.final))
     for _, _, key, word in p.marks:
-        if key == _GAP:
-            continue
-        case = _case(word)
-        for level, k in (("w", key), ("s", _closing_shape(key)), ("m", _mark_of(key))):
-            c["mid" + case, s, level, k] += 1
-            seen.add(("seen_close", s, level, k))
-        for level, k in (("w", word), ("s", _opening_shape(word))):
-            seen.add(("seen_open", s, level, k))
-        if _strong(key):
-            c["strong_mid", s, "", ""] += 1
+        if key != _GAP:
+            c["midl" if word.lstrip("“")[:1].islower() else "mido", s, key] += 1
+            seen.add(("seen_close", s, key))
+            seen.add(("seen_open", s, word))
 
 
+#: Gains that a task remembers.
+MEMO_KEYS = 400_000
 #: Counts of a task are passed on whenever it holds so many keys.
 FLUSH_KEYS = 200_000
 
@@ -562,8 +594,8 @@ def places(docs: DataFrame, key: str, text: str) -> DataFrame:
             kind = b.schema.field(0).type
             which: list[int] = []
             scripts, cols = [], {name: [] for name in _PLACE}
-            for i, t in enumerate(b.column(1)):
-                if not (t := t.as_py()):
+            for i, t in enumerate(b.column(1).to_pylist()):
+                if not t:
                     continue
                 seen: set = set()
                 for p in paragraphs(t):
@@ -576,19 +608,26 @@ def places(docs: DataFrame, key: str, text: str) -> DataFrame:
                 counts.update(seen)
             yield _batch(key, b.column(0).take(pa.array(which, pa.int64())), {"script": pa.array(scripts, pa.string())}, {n: pa.array(v, _PLACE[n]) for n, v in cols.items()})
             if len(counts) > FLUSH_KEYS:
-                yield _batch(key, pa.nulls(len(counts), kind), _count_rows(counts), {})
+                yield _batch(key, None, _count_rows(counts), {}, kind)
                 counts = Counter()
         if counts:
-            yield _batch(key, pa.nulls(len(counts), kind), _count_rows(counts), {})
+            yield _batch(key, None, _count_rows(counts), {}, kind)
 
     ddl = f"`{key}` {docs.schema[key].dataType.simpleString()}, {_COUNT_DDL}, {_PLACE_DDL}"
     return spill(spread(docs.select(key, text)).mapInArrow(run, ddl), batch_rows=2000)
 
 
-def _batch(key: str, ids: pa.Array, counts: dict, found: dict) -> pa.RecordBatch:
-    cols = {**{n: counts.get(n) for n in _COUNT}, **{n: found.get(n) for n in _PLACE}}
+def _batch(key: str, ids: pa.Array | None, counts: dict, found: dict, kind: pa.DataType | None = None) -> pa.RecordBatch:
+    n = len(ids) if ids is not None else len(counts["n"])
+    cols = {name: counts.get(name, found.get(name)) for name in (*_COUNT, *_PLACE)}
     types = {**_COUNT, **_PLACE}
-    return pa.RecordBatch.from_arrays([ids, *(pa.nulls(len(ids), types[n]) if c is None else c for n, c in cols.items())], [key, *cols])
+    return pa.RecordBatch.from_arrays([pa.nulls(n, kind) if ids is None else ids, *(pa.nulls(n, types[name]) if c is None else c for name, c in cols.items())], [key, *cols])
+
+
+def _lists(column: pa.ListArray) -> Iterator[list]:
+    """The lists of a column; null as the empty list."""
+    at, flat = column.offsets.to_pylist(), column.values.to_pylist()
+    return (flat[a:z] for a, z in zip(at, at[1:]))
 
 
 def _kept(per: DataFrame, seen: str) -> DataFrame:
@@ -663,12 +702,10 @@ def fit(found: DataFrame) -> Model:
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
         for b in batches:
-            for s, keys, words in zip(*(b.column(i).to_pylist() for i in range(3))):
+            for s, keys, words in zip(b.column(0).to_pylist(), _lists(b.column(1)), _lists(b.column(2))):
                 for key, word in zip(keys, words):
                     if key != _GAP:
-                        weight = partial.p_close(s, key, _case(word))
-                        counts["next", s, "w", word] += weight
-                        counts["next", s, "s", _opening_shape(word)] += weight
+                        counts["next", s, word] += partial.p_close(s, key, _case(word))
             if len(counts) > FLUSH_KEYS:
                 yield pa.RecordBatch.from_pydict(_count_rows(counts))
                 counts = Counter()
@@ -689,8 +726,8 @@ def sentence_ends(docs: DataFrame, key: str = "doc_id", text: str = "text", mode
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             which, ends = [], []
-            for i, (script, end, stops, closing, opening, *bounds) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 9)))):
-                if stops is None:
+            for i, (script, end, stops, closing, opening, *bounds) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), *(_lists(b.column(c)) for c in range(3, 9)))):
+                if not stops:
                     which.append(i)
                     ends.append(end)
                     continue
