@@ -8,16 +8,21 @@ the lengths around it, most of them open. Then the endings are inspected: does
 the structure a text began (JSON, a fenced block, a sentence, a labelled form)
 come to its end?
 
-What counts as an end is partly learned from all texts of the table, by counting:
+What counts as an end is partly learned from all texts, by counting:
+* words that stand before a full stop inside texts but hardly ever before one that ends
+  a paragraph, a quotation or a text (`approx.`, `Fig.`) need more to follow;
 * endings without a closing mark that many texts share (`after 600s`, `(char 31)`)
   are natural; one text under many ids, and texts as long as their writer's longest,
   make none so, and at a hidden limit no ending is natural;
 * where most texts with the same opening label close with the same last line, one
   that lacks it is open.
 
-A sign put after the cut (`...`, `<rest omitted>`, `[+12 chars]`) is set aside
-and the text before it judged; before a bare ellipsis a sentence counts as cut at
-a hidden limit only, since an author may end with one.
+A sign put after the cut (`...`, `<rest omitted>`, `[+12 chars]`, a last line in
+brackets) is set aside and the text before it judged; before a bare ellipsis a sentence
+counts as cut at a hidden limit only, since an author may end with one. What may
+begin JSON (a bracket before a quote, a digit, a bracket) is content, no sign.
+Endings, last words and last lines count whole, by their hashes. The jobs that learn
+run while the DataFrame is built.
 
 Defined cases: null and empty texts are no case; complete JSON is none whatever
 its length; invalid JSON is none if its brackets close; a sentence that closes
@@ -30,6 +35,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -49,18 +55,21 @@ LIMIT_SHARP = 0.75
 NATURAL_SHARE, NATURAL_TEXTS = 0.01, 5
 #: So many of them must differ before their copies and writers count.
 NATURAL_DIFFERENT = 2
+#: A word needs more after its full stop if so many ends of its kind were to be expected among
+#: its full stops, and beside one of them at most this share of those came; it must be this share of all words
+#: before full stops, so that 1 / NEEDS_SHARE words are known at most.
+NEEDS_ENDS, NEEDS_FEW, NEEDS_SHARE = 8, 0.02, 1e-4
 #: A last line belongs to a label if so large a share of the label's texts have it.
 SENTINEL_SHARE, SENTINEL_TEXTS = 0.6, 5
 
 _END = ".!?…。！？؟।۔｡︒‼⁇⁈⁉"
 _CLOSERS = "\"”’»›“‘')]}』」》）】*_`"
-_SIGN = re.compile(r"(\s?\[[^\]\n]{0,40}\]|\s?<[^>\n]{1,40}>|\s?--[^\n]{1,40}--|\.\.\.|…)\n?$")
-_NOTE = re.compile(r"\n\([^)\n]{1,40}\)\s*$")
+_NOTE = re.compile(r"\n\([^)\n]+\)\s*$")
 _JSON_START = re.compile(r"(?:^|[\s:!`])(\{\s*[\"'}\n]|\{\s*$|\[\s*[{\"]|\[\s*$)")
 _DOUBLE = re.compile(r'"(?:[^"\\]|\\.)*"', re.S)
 _BRACKET = re.compile(r'[{}\[\]"]')
-_NEEDS_MORE = re.compile(r"(?:^|[\s(\[“\"])(?:[A-ZА-Я]|approx|vs|e\.g|i\.e|Dr|Prof|cf|Figs?|Sect|Suppl|no|vol|pp|St|incl|ca|z\. ?B|d\. ?h|см|рис|стр|т\. ?е|напр|проф)\.$")
-_LABEL = re.compile(r"[a-z_]{1,20}:")
+_LABEL = re.compile(r"[a-z_]+:")
+_LEAD = "([{\"“«'„‘"
 _DIGITS = re.compile(r"\d+")
 
 
@@ -100,20 +109,49 @@ def _prose(text: str) -> str:
         return "open"
     t = text.rstrip()
     bare = t.rstrip(_CLOSERS)
-    if bare and bare[-1] in _END and not (bare is t and _NEEDS_MORE.search(t[-24:])):
+    if bare and bare[-1] in _END:
         return "closed"
     return "open" if t else "closed"
 
 
-def ending(text: str) -> tuple[str, bool, str, str]:
-    """(state, whether a sign follows, the text before it, the shape of the ending).
-    state: closed or open for a structure, prose_closed or prose_open for sentences,
-    ellipsis for an open sentence before a bare ellipsis."""
+def _sign_at(text: str) -> int:
+    """Where a sign put after a cut begins at a text's end, with a blank before it, or -1."""
+    t = text[:-1] if text.endswith("\n") else text
+    t = t[:-1] if t.endswith("\n") else t
+    if t.endswith("...") or t.endswith("…"):
+        return len(t) - (3 if t.endswith("...") else 1)
+    begin, last = -1, t[-1:]
+    line = t.rfind("\n") + 1
+    if last == "]" and (i := t.rfind("[", line)) > t.rfind("]", line, -1):
+        inner = t[i + 1 : -1].lstrip()[:1]
+        begin = -1 if inner and (inner in "\"{[" or inner.isdigit()) else i
+    elif last == ">" and (i := t.rfind("<", line)) > t.rfind(">", line, -1):
+        begin = i if i < len(t) - 2 else -1
+    elif t.endswith("--"):
+        begin = t.rfind("--", line, -3)
+    return begin - 1 if begin > 0 and t[begin - 1].isspace() else begin
+
+
+def _word_at_end(piece: str) -> str:
+    """The last word of what stands before a full stop, without opening marks; numbers are one."""
+    w = piece.rsplit(None, 1)
+    w = w[-1].lstrip(_LEAD) if w else ""
+    return "0" if w[:1].isdigit() else w
+
+
+def _hash(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def ending(text: str) -> tuple[str, bool, str, str, str]:
+    """(state, whether a sign follows, the text before it, the shape of the ending, the word
+    before a full stop that closes it). state: closed or open for a structure, prose_closed
+    or prose_open for sentences, ellipsis for an open sentence before a bare ellipsis."""
     base, sign = text, ""
     if m := _NOTE.search(text):
         base = text[: m.start()]
-    elif m := _SIGN.search(text):
-        base, sign = text[: m.start()], m.group().strip()
+    elif (i := _sign_at(text)) >= 0:
+        base, sign = text[:i], text[i:].strip()
     state, tail = "", base
     if m := _JSON_START.search(base):
         end = _json_end(base, m.start(1))
@@ -137,8 +175,10 @@ def ending(text: str) -> tuple[str, bool, str, str]:
         state = "prose_" + _prose(base if base.endswith(" ") and not sign else base.rstrip("\n"))
         if state == "prose_open" and sign in ("...", "…"):
             state = "ellipsis"
-    shape = " ".join(_DIGITS.sub("0", base[-80:]).split()[-2:]) if state == "prose_open" else ""
-    return state, bool(sign), base, shape
+    shape = _DIGITS.sub("0", " ".join(base.rsplit(None, 2)[-2:])) if state == "prose_open" else ""
+    end = tail.rstrip()
+    last_word = _word_at_end(end[:-1]) if state in ("closed", "prose_closed") and end.endswith(".") else ""
+    return state, bool(sign), base, shape, last_word
 
 
 def lengths(text: str) -> list[int]:
@@ -148,35 +188,77 @@ def lengths(text: str) -> list[int]:
     utf8 = n if ascii_ else len(text.encode("utf-8", "replace"))
     utf16 = n if ascii_ else len(text.encode("utf-16-le", "replace")) // 2
     entities = n + 4 * text.count("&") + 3 * text.count("<") + 3 * text.count(">")
-    label = text.find(": ", 0, 60)
+    label = text.find(": ")
     return [n, utf8, utf16, len(json.dumps(text)) - 2, len(json.dumps(text, ensure_ascii=False)) - 2, entities, n + text.count("\n") - text.count("\r\n"), n - label - 2 if label >= 0 else n]
 
 
-_DDL = "record_table string, record_id bigint, writer string, state string, shape string, label string, last_line string, sizes array<int>, text_key bigint"
+_DDL = "record_table string, record_id bigint, writer string, state string, shape bigint, label string, last_line bigint, sizes array<int>, text_key bigint, last_word bigint, n_mid bigint, n_end bigint"
+_COLS = [c.split()[0] for c in _DDL.split(", ")]
+#: Words that a task counts before it passes them on.
+FLUSH_WORDS = 200_000
 
 
 def features(texts: DataFrame) -> DataFrame:
-    """Of each row (record_table, record_id, writer, text) what its ending and lengths show."""
+    """Of each row (record_table, record_id, writer, text) what its ending and lengths show;
+    and rows without a table that count the words before full stops: n_mid where more
+    follows after a blank, n_end at the end of a paragraph, a quotation or the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mid: Counter = Counter()
+        ends: Counter = Counter()
+
+        def counted(types: list[pa.DataType]) -> pa.RecordBatch:
+            words = list(mid.keys() | ends.keys())
+            own = [pa.array([_hash(w) for w in words], pa.int64()), pa.array([mid[w] for w in words], pa.int64()), pa.array([ends[w] for w in words], pa.int64())]
+            mid.clear()
+            ends.clear()
+            return pa.RecordBatch.from_arrays([*(pa.nulls(len(words), t) for t in types), *own], _COLS)
+
+        types: list[pa.DataType] = []
         for b in batches:
-            states, shapes, labels, lasts, sizes, keys = [], [], [], [], [], []
+            states, shapes, labels, lasts, sizes, keys, words = [], [], [], [], [], [], []
             for t in b.column(3):
                 t = t.as_py()
-                state, _, base, shape = ending(t)
+                pieces = t.split(". ")
+                pieces.pop()
+                mid.update(map(_word_at_end, pieces))
+                for sep in ('."', ".\n\n"):
+                    pieces = t.split(sep)
+                    pieces.pop()
+                    ends.update(map(_word_at_end, pieces))
+                if t.endswith("."):
+                    ends[_word_at_end(t[:-1])] += 1
+                state, _, base, shape, word = ending(t)
                 label = _LABEL.match(t)
-                last = base.rstrip()[-40:].rpartition("\n")[2]
+                last = base.rstrip().rpartition("\n")[2]
                 states.append(state)
-                shapes.append(shape)
+                shapes.append(_hash(shape) if shape else None)
                 labels.append(label.group() if label else None)
-                lasts.append(last if len(last) <= 12 else "")
+                lasts.append(_hash(last) if label and last else None)
                 sizes.append(lengths(base))
-                keys.append(int.from_bytes(hashlib.blake2b(base.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True) if state == "prose_open" else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(states, pa.string()), pa.array(shapes, pa.string()), pa.array(labels, pa.string()), pa.array(lasts, pa.string()), pa.array(sizes, pa.list_(pa.int32())), pa.array(keys, pa.int64())], [c.split()[0] for c in _DDL.split(", ")])
+                keys.append(_hash(base) if state == "prose_open" else None)
+                words.append(_hash(word) if word else None)
+            n = len(states)
+            out = [*(b.column(i) for i in range(3)), pa.array(states, pa.string()), pa.array(shapes, pa.int64()), pa.array(labels, pa.string()), pa.array(lasts, pa.int64()), pa.array(sizes, pa.list_(pa.int32())), pa.array(keys, pa.int64()), pa.array(words, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())]
+            types = [c.type for c in out[:9]]
+            yield pa.RecordBatch.from_arrays(out, _COLS)
+            if len(mid) + len(ends) > FLUSH_WORDS:
+                yield counted(types)
+        if mid or ends:
+            yield counted(types)
 
     return spread(texts.select("record_table", "record_id", "writer", "text").where("text is not null and text != ''")).mapInArrow(run, _DDL)
 
 
+def needing_more(found: DataFrame) -> DataFrame:
+    """(last_word): the words that need more after their full stop, 1 / NEEDS_SHARE at most."""
+    words = found.where("record_table is null").groupBy("last_word").agg(F.sum("n_mid").alias("n_mid"), F.sum("n_end").alias("n_end"))
+    whole = words.agg(F.struct(F.sum("n_mid").alias("mid"), F.sum("n_end").alias("ends"))).scalar()
+    ratio = F.greatest(F.lit(1.0), whole["mid"] / F.greatest(whole["ends"], F.lit(1)))  # full stops inside for each at an end
+    few = (F.col("n_end") - 1) * ratio <= F.lit(NEEDS_FEW) * F.col("n_mid")
+    return words.where((F.col("n_mid") >= F.lit(NEEDS_ENDS) * ratio) & (F.col("n_mid") >= F.lit(NEEDS_SHARE) * whole["mid"]) & few).select("last_word")
+
+
 def _measured(rows: DataFrame, *cols: str) -> DataFrame:
     sized = rows.select(*cols, F.posexplode("sizes").alias("m", "size"))
     return sized.withColumn("measure", F.element_at(F.array(*[F.lit(m) for m in MEASURES]), F.col("m") + 1)).drop("m")
@@ -201,7 +283,12 @@ class Truncation:
     """The cut records of `texts` (record_table, record_id, writer, text)."""
 
     def __init__(self, texts: DataFrame):
-        found = spill(features(texts), batch_rows=1000)
+        seen = spill(features(texts), batch_rows=1000)
+        found = seen.where("record_table is not null").drop("n_mid", "n_end")
+        # few words need more and fewer texts end with one; the others stay out of the join
+        ended = found.where("last_word is not null").join(F.broadcast(needing_more(seen)).withColumn("more", F.lit(True)), "last_word", "left")
+        ended = ended.withColumn("state", F.when(F.col("more").isNotNull(), "open").otherwise(F.col("state"))).select(*found.columns)
+        found = ended.unionByName(found.where("last_word is null"))
         totals = found.groupBy("record_table").agg(F.count(F.lit(1)).alias("n_all"))
         # a writer's longest texts may have met its limit; copies of a text by one writer are one case
         most_sizes = F.array(*[F.max(F.col("sizes")[i]) for i in range(len(MEASURES))])
@@ -214,8 +301,8 @@ class Truncation:
         natural = shapes.join(totals, "record_table").where(different & (F.col("n") >= NATURAL_SHARE * F.col("n_all"))).select("record_table", "shape", F.lit(True).alias("natural"))
         lines = found.where("label is not null").groupBy("record_table", "label", "last_line").agg(F.count(F.lit(1)).alias("n"))
         most = lines.groupBy("record_table", "label").agg(F.max_by("last_line", "n").alias("sentinel"), F.max("n").alias("top"), F.sum("n").alias("all"))
-        sentinel = most.where((F.col("sentinel") != "") & (F.col("top") >= SENTINEL_TEXTS) & (F.col("top") >= SENTINEL_SHARE * F.col("all"))).select("record_table", "label", "sentinel")
-        is_open = F.when(F.col("sentinel").isNotNull(), F.col("last_line") != F.col("sentinel")).otherwise(F.col("state").isin("open", "ellipsis") | ((F.col("state") == "prose_open") & F.col("natural").isNull()))
+        sentinel = most.where(F.col("sentinel").isNotNull() & (F.col("top") >= SENTINEL_TEXTS) & (F.col("top") >= SENTINEL_SHARE * F.col("all"))).select("record_table", "label", "sentinel")
+        is_open = F.when(F.col("sentinel").isNotNull(), ~F.col("last_line").eqNullSafe(F.col("sentinel"))).otherwise(F.col("state").isin("open", "ellipsis") | ((F.col("state") == "prose_open") & F.col("natural").isNull()))
         labelled = F.col("sentinel").isNotNull()
         # natural shapes are 1 / NATURAL_SHARE for a table at most; rows without a label stay out of the join on it
         shaped = found.join(F.broadcast(natural), ["record_table", "shape"], "left")

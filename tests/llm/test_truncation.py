@@ -12,7 +12,7 @@ from graphloom.llm import truncation as T
         ('{"a": "x"}', "closed"), ('{"a": "x', "open"), ('{"a": [1, 2', "open"), ("{'a': 'don't'}", "closed"), ("{'a': 'b', ", "open"), ('{"a": 1,}', "closed"),
         ('```json\n{"a": 1}\n```', "closed"), ('```json\n{"a": 1}\n', "open"), ("```json", "open"), ('Sure! {"a": 1}', "closed"), ('Here it is.\n\n{"a": "b', "open"),
         ('{"a": 1}\n\nLet me know.', "closed"), ('{"a": 1}\n\nLet', "prose_open"), ('{"a": "x"}\n(end of reply)', "closed"),
-        ("It ended well.", "prose_closed"), ("It ended w", "prose_open"), ("It ended well. ", "prose_open"), ("Она ушла?»", "prose_closed"), ("没有作用。”", "prose_closed"), ("see Dr.", "prose_open"), ("in approx.", "prose_open"),
+        ("It ended well.", "prose_closed"), ("It ended w", "prose_open"), ("It ended well. ", "prose_open"), ("Она ушла?»", "prose_closed"), ("没有作用。”", "prose_closed"), ("It ended " + "w" * 500, "prose_open"), ("so it was [" + "cut " * 40 + "]", "prose_open"), ('ids ["a", "b"]', "closed"), ("so\n<" + "x" * 90 + ">\n", "prose_open"), ("It ended.\n(" + "note " * 30 + ")", "prose_closed"),
         ("It went on...", "ellipsis"), ("It went on…", "ellipsis"), ('{"a": "x...', "open"), ("It ended w\n<rest omitted>", "prose_open"), ("It ended w [+303 chars]", "prose_open"), ("It ended w [...]", "prose_open"),
         ("A claim [PMID:12]", "prose_open"), ("A claim [PMID:12].", "prose_closed"), ("x\n-- connection lost --", "prose_open"),
     ],
@@ -83,3 +83,19 @@ def test_copies_and_templates_cut_at_one_place_are_cut(spark):
     got = {r["record_id"] for r in t.cut().collect()}
     assert got == {*range(1000, 1100), *range(2000, 2100), *range(3000, 3010), *range(5000, 5040)}
     assert t.limits.where("writer = 'capped' and measure = 'chars' and size = 150").count() == 1
+
+
+def test_words_that_need_more_are_learned(spark):
+    rows = [("t", i, "w", f"{words(6, i)} in approx. 20 cases. " + f"{words(9, i)}. " * 3 + f"{words(7, i)}.") for i in range(300)]
+    rows += [("t", 1000, "w", words(9) + " in approx."), ("t", 1001, "w", words(9) + " in “approx."), ("t", 1002, "w", words(9) + " approximately.")]
+    t = T.Truncation(spark.createDataFrame(rows, "record_table string, record_id bigint, writer string, text string"))
+    assert {r["record_id"] for r in t.cut().collect()} == {1000, 1001}
+
+
+def test_last_lines_and_endings_count_whole(spark):
+    closing = "so ends this long form, as all of its kind do"
+    rows = [("t", i, "w", "a_label_of_more_than_twenty_letters: " + words(5, i) + "\n" + closing) for i in range(20)] + [("t", 100, "w", "a_label_of_more_than_twenty_letters: " + words(5) + ".")]
+    long = "z" * 300
+    rows += [("u", i, "w", words(4 + i % 9, i) + f" after {long}{i}s") for i in range(50)] + [("u", 100, "w", words(30) + " after y" + long[1:] + "0s")]
+    t = T.Truncation(spark.createDataFrame(rows, "record_table string, record_id bigint, writer string, text string"))
+    assert {tuple(r) for r in t.cut().collect()} == {("t", 100), ("u", 100)}
