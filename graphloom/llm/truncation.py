@@ -286,7 +286,7 @@ class Truncation:
         seen = spill(features(texts), batch_rows=1000)
         found = seen.where("record_table is not null").drop("n_mid", "n_end")
         # few words need more and fewer texts end with one; the others stay out of the join
-        ended = found.where("last_word is not null").join(F.broadcast(needing_more(seen)).withColumn("more", F.lit(True)), "last_word", "left")
+        ended = found.where("last_word is not null").join(F.broadcast(spill(needing_more(seen))).withColumn("more", F.lit(True)), "last_word", "left")
         ended = ended.withColumn("state", F.when(F.col("more").isNotNull(), "open").otherwise(F.col("state"))).select(*found.columns)
         found = ended.unionByName(found.where("last_word is null"))
         totals = found.groupBy("record_table").agg(F.count(F.lit(1)).alias("n_all"))
