@@ -20,8 +20,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_entries(spark: SparkSession, d: str) -> DataFrame:
-    """All dumped entries in one table under the union schema."""
-    return drift.unified(table(spark, d, "dump_lines"), table(spark, d, "dump_files"))
+    """All dumped entries in one table under the union schema; what has no column as name=value."""
+    t = drift.unified(table(spark, d, "dump_lines"), table(spark, d, "dump_files"))
+    pairs = F.transform(F.map_entries("extra"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
+    return t.withColumn("extra", F.array_join(F.array_sort(pairs), "\n"))
+
+
+def p1_log(spark: SparkSession, d: str) -> DataFrame:
+    """The changes of p1_found in the order of stores and time."""
+    return drift.change_log(table(spark, d, "dump_lines"), table(spark, d, "dump_files"))
 
 
 def _predicate(name: str):
@@ -122,7 +129,7 @@ def fil27_scope(spark: SparkSession, d: str) -> DataFrame:
     return tree.join(allowed, ["snapshot_id", "root"], "left_semi").select("snapshot_id", F.col("node").alias("predicate"), "root")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_entries": p1_entries, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p5_found": p5_found, "p5_objects": p5_objects, "p5_values": p5_values, "p5_edges": p5_edges, "p5_nodes": p5_nodes, "p5_bindings": p5_bindings}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_entries": p1_entries, "p1_log": p1_log, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p5_found": p5_found, "p5_objects": p5_objects, "p5_values": p5_values, "p5_edges": p5_edges, "p5_nodes": p5_nodes, "p5_bindings": p5_bindings}
 QUERIES |= {"gr7_ancestors": gr7_ancestors, "gr8_nearest_active": gr8_nearest_active, "gr10_leaves": gr10_leaves, "gr11_inverses": gr11_inverses, "fil27_scope": fil27_scope, **queries_graph.QUERIES, **queries_more.QUERIES}
 
 _FORM = """CASE WHEN {0} IS NULL THEN NULL WHEN b_{0} IN ('', '~') THEN NULL ELSE concat('biolink:', b_{0}) END"""
@@ -132,10 +139,10 @@ par AS (SELECT snapshot_id, node, max_by(coalesce(parent, ''), (loaded_at, coale
 names AS (SELECT snapshot_id, node FROM par UNION SELECT snapshot_id, parent FROM par WHERE parent <> ''),
 up AS (SELECT snapshot_id, node, node AS anc, 0 AS distance FROM names UNION ALL SELECT up.snapshot_id, up.node, par.parent, distance + 1 FROM up JOIN par ON par.snapshot_id = up.snapshot_id AND par.node = up.anc WHERE par.parent <> '' AND distance < 2000),
 tops AS (SELECT u.snapshot_id, u.node, u.anc AS root, u.distance AS depth FROM up u LEFT JOIN par p ON p.snapshot_id = u.snapshot_id AND p.node = u.anc WHERE coalesce(p.parent, '') = '') """
-_DRIFT = """WITH lines AS (SELECT file_id, line_no, try_cast(regexp_replace(raw_line, '^\ufeff+', '') AS JSON) AS j FROM dump_lines),
+_DRIFT_CTE = """WITH RECURSIVE lines AS (SELECT file_id, line_no, try_cast(regexp_replace(raw_line, '^\ufeff+', '') AS JSON) AS j FROM dump_lines),
 obj AS (SELECT * FROM lines WHERE json_type(j) = 'OBJECT'),
 keyed AS (SELECT file_id, line_no, j, unnest(json_keys(j)) AS name FROM obj),
-vals AS (SELECT file_id, line_no, name, j ->> '$.key' AS k, j ->> '$.fetched_at' AS t, json_extract(j, concat('$."', name, '"')) AS v FROM keyed),
+vals AS (SELECT file_id, line_no, name, list_position(json_keys(j), name) AS pos, j ->> '$.key' AS k, j ->> '$.fetched_at' AS t, json_extract(j, concat('$."', name, '"')) AS v FROM keyed),
 typed AS (SELECT *, CASE json_type(v) WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' ELSE 'number' END AS type,
   CASE json_type(v) WHEN 'VARCHAR' THEN v ->> '$' WHEN 'ARRAY' THEN NULL WHEN 'OBJECT' THEN NULL ELSE CAST(v AS VARCHAR) END AS txt FROM vals WHERE json_type(v) <> 'NULL'),
 per AS (SELECT file_id, name, type, count(*) AS n, min(line_no) AS first_line FROM typed GROUP BY ALL),
@@ -148,14 +155,36 @@ cand AS (SELECT q.file_id, o.name AS old_name, w.name AS new_name, count(*) AS n
   JOIN entry o ON o.file_id = q.prev_id JOIN entry w ON w.file_id = q.file_id AND w.k = o.k AND w.t = o.t
   JOIN sides g ON g.file_id = q.file_id AND g.name = o.name AND g.new_type IS NULL JOIN sides c ON c.file_id = q.file_id AND c.name = w.name AND c.old_type IS NULL GROUP BY ALL HAVING count(*) >= 3 AND e * 5 >= n * 4),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY file_id, old_name ORDER BY e / n DESC, n DESC, old_name, new_name) AS r1, row_number() OVER (PARTITION BY file_id, new_name ORDER BY e / n DESC, n DESC, old_name, new_name) AS r2 FROM cand),
-ren AS (SELECT file_id, old_name, new_name FROM ranked WHERE r1 = 1 AND r2 = 1)
-SELECT file_id, 'renamed' AS change_kind, new_name AS field_name, old_name FROM ren
+ren AS (SELECT file_id, old_name, new_name FROM ranked WHERE r1 = 1 AND r2 = 1) """
+_CHANGES = """SELECT file_id, 'renamed' AS change_kind, new_name AS field_name, old_name FROM ren
 UNION ALL SELECT file_id, 'removed', name, '' FROM sides WHERE new_type IS NULL AND (file_id, name) NOT IN (SELECT (file_id, old_name) FROM ren)
 UNION ALL SELECT file_id, 'added', name, '' FROM sides WHERE old_type IS NULL AND (file_id, name) NOT IN (SELECT (file_id, new_name) FROM ren)
 UNION ALL SELECT file_id, 'retyped', name, '' FROM sides WHERE new_type <> old_type
 UNION ALL SELECT r.file_id, 'retyped', new_name, '' FROM ren r JOIN sides g ON g.file_id = r.file_id AND g.name = old_name JOIN sides c ON c.file_id = r.file_id AND c.name = new_name WHERE g.old_type <> c.new_type"""
+#: The union schema of sf0.01: a table's columns are fixed in SQL, so they are named here.
+_P1_TEXT = ("arax_commit", "arax_version", "biolink_version", "endpoint", "error_message", "key", "kind", "model_build", "num_results", "plan_id", "shard", "status", "tool_version", "trapi_version")
+_P1_TYPED = {"elapsed_s": "DECIMAL(5,2)", "fetched_at": "TIMESTAMP", "http_status": "BIGINT", "retry_count": "BIGINT"}
+_UNION = f""", store AS (SELECT DISTINCT file_id, store_id FROM dump_files),
+n_files AS (SELECT name, count(*) AS n FROM held GROUP BY name),
+tie AS (SELECT store_id, old_name AS a, new_name AS b FROM ren JOIN store USING (file_id) UNION SELECT store_id, new_name, old_name FROM ren JOIN store USING (file_id)),
+reach AS (SELECT a AS name, a AS other FROM tie UNION SELECT r.name, t.b FROM reach r JOIN tie t ON t.a = r.other),
+comp AS (SELECT name, min(other) AS comp FROM reach GROUP BY name),
+torn AS (SELECT DISTINCT comp FROM (SELECT file_id, comp FROM held JOIN comp USING (name) GROUP BY file_id, comp HAVING count(*) > 1)),
+tied AS (SELECT name, field FROM comp JOIN (SELECT comp, arg_max(name, (n, name)) AS field FROM comp JOIN n_files USING (name) WHERE comp NOT IN (SELECT comp FROM torn) GROUP BY comp) USING (comp)),
+near AS (SELECT store_id, a AS name, a AS other FROM tie WHERE a IN (SELECT name FROM comp WHERE comp IN (SELECT comp FROM torn)) UNION SELECT r.store_id, r.name, t.b FROM near r JOIN tie t ON t.a = r.other AND t.store_id = r.store_id),
+local AS (SELECT store_id, near.name, arg_max(other, (n, other)) AS own FROM near JOIN n_files f ON f.name = near.other GROUP BY ALL),
+place AS (SELECT file_id, name, coalesce(field, own, name) AS field FROM (SELECT DISTINCT file_id, name FROM typed) JOIN store USING (file_id) JOIN n_files USING (name) LEFT JOIN tied USING (name) LEFT JOIN local USING (store_id, name)),
+cell AS (SELECT t.file_id, t.line_no, t.name, field, coalesce(txt, CAST(v AS VARCHAR)) AS txt, type, pos FROM typed t LEFT JOIN place USING (file_id, name)),
+fit AS (SELECT *, CASE {" ".join(f"WHEN field = '{c}' THEN try_cast(txt AS {'DOUBLE' if t.startswith('DEC') else t}) IS NOT NULL" for c, t in _P1_TYPED.items())} ELSE field IN {_P1_TEXT} END AS fits FROM cell),
+put AS (SELECT *, fits AND pos = min(pos) FILTER (WHERE fits) OVER (PARTITION BY file_id, line_no, field) AS in_column FROM fit)
+SELECT file_id, line_no, {", ".join(f"max(txt) FILTER (WHERE in_column AND field = '{c}') AS f_{c}" for c in _P1_TEXT)}, {", ".join(f"CAST(max(txt) FILTER (WHERE in_column AND field = '{c}') AS {t}) AS f_{c}" for c, t in _P1_TYPED.items())},
+ coalesce(string_agg(concat(name, '=', txt), chr(10) ORDER BY concat(name, '=', txt)) FILTER (WHERE NOT coalesce(in_column, false)), '') AS extra
+FROM (SELECT file_id, line_no FROM obj) LEFT JOIN put USING (file_id, line_no) GROUP BY file_id, line_no"""
 SQL: dict[str, str] = {
-    "p1_found": _DRIFT,
+    "p1_found": _DRIFT_CTE + _CHANGES,
+    "p1_log": _DRIFT_CTE + f""", c AS ({_CHANGES}), o AS (SELECT file_id, store_id, dumped_at, CAST(row_number() OVER (PARTITION BY store_id ORDER BY dumped_at, file_id) AS INT) AS file_no FROM (SELECT DISTINCT file_id, store_id, dumped_at FROM dump_files))
+SELECT store_id, file_no, dumped_at, CAST(row_number() OVER (PARTITION BY file_id ORDER BY change_kind, field_name, old_name) AS INT) AS change_no, file_id, change_kind, field_name, old_name FROM c JOIN o USING (file_id)""",
+    "p1_entries": _DRIFT_CTE + _UNION,
     **queries_graph.SQL,
     **queries_more.SQL,
     "p3_found": _TREE.replace("AND distance < 2000", "AND distance < 2000") + f""", raw_i AS (SELECT *, {_BARE.format('predicate')}, {_BARE.format('inverse_predicate')} FROM predicate_inverses),

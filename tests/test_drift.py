@@ -90,7 +90,47 @@ def test_unified_keeps_what_no_column_can_hold(spark):
     lines += [(2, i, entry(f"k{i}", version=str(i), n=i, ok=True)) for i in range(20) if i != 9] + [(2, 9, entry("k9", version="9", ver="nine", n=["a"], ok=False))]
     a, b = tables(spark, [(1, "s", 1), (2, "s", 2)], lines)
     t = drift.unified(a, b)
-    assert dict(t.dtypes)["f_n"] == "double" and dict(t.dtypes)["f_ok"] == "boolean"
+    assert dict(t.dtypes)["f_n"] == "bigint" and dict(t.dtypes)["f_ok"] == "boolean"
     extra = {(r["file_id"], r["line_no"]): r["extra"] for r in t.where("size(extra) > 0").collect()}
     assert extra[1, 9] == {"n": "many", "ok": "maybe"}
     assert extra[2, 9]["n"] == '["a"]' and extra[2, 9].keys() - {"n"} in ({"ver"}, {"version"})
+
+
+def test_chains_of_renames_are_one_column(spark):
+    names = ["a", "b", "c", "c", "c"]
+    lines = [(k, i, entry(f"k{i}", **{n: f"v{i}"})) for k, n in enumerate(names) for i in range(5)]
+    files = [(k, "s", k + 1) for k in range(5)]
+    lines += [(9, i, entry(f"q{i}", a=f"w{i}")) for i in range(5)]  # another store knows one of the names
+    a, b = tables(spark, [*files, (9, "t", 1)], lines)
+    t = drift.unified(a, b)
+    assert set(t.columns) == {"file_id", "line_no", "f_key", "f_fetched_at", "f_c", "extra"}
+    assert t.where("f_c is not null").count() == 30
+    log = [tuple(r) for r in drift.change_log(a, b).orderBy("store_id", "file_no", "change_no").select("store_id", "file_no", "change_no", "change_kind", "field_name", "old_name").collect()]
+    assert log == [("s", 2, 1, "renamed", "b", "a"), ("s", 3, 1, "renamed", "c", "b")]
+
+
+def test_one_name_for_two_fields_is_tied_within_stores_only(spark):
+    lines = [(k, i, entry(f"k{i}", **{n: f"v{i}"})) for k, n in enumerate(["a", "b"]) for i in range(5)]
+    lines += [(5, i, entry(f"k{i}", a=f"x{i}", b=f"y{i}")) for i in range(5)]
+    a, b = tables(spark, [(0, "s", 1), (1, "s", 2), (5, "t", 1)], lines)
+    t = drift.unified(a, b)
+    assert {"f_a", "f_b"} <= set(t.columns)
+    both = t.where("file_id = 5 and f_a is not null and f_b is not null")
+    assert both.count() == 5 and t.where("file_id < 5 and f_b is not null and f_a is null").count() == 10
+
+
+def test_types_are_folded_without_loss(spark):
+    import datetime as dt
+    from decimal import Decimal
+
+    raw = '{"key": "k%d", "big": %s, "dec": %s, "sci": %s, "mix": %s, "day": "%s", "arr": [1, 2.50], "obj": {"a": 1.0}}'
+    vals = [("9007199254740993", "1", "1e3", "12345678901234567890", "2031-01-02"), ("1", "9007199254740993.25", "2.5", "1e-3", "2031-01-02T03:04:05Z")]
+    a, b = tables(spark, [(1, "s", 1)], [(1, i, raw % (i, *v)) for i, v in enumerate(vals)])
+    t = drift.unified(a, b).orderBy("line_no")
+    kinds = dict(t.dtypes)
+    assert (kinds["f_big"], kinds["f_dec"], kinds["f_sci"], kinds["f_mix"], kinds["f_day"]) == ("bigint", "decimal(18,2)", "double", "string", "timestamp")
+    r = t.collect()
+    assert r[0]["f_big"] == 9007199254740993 and r[1]["f_dec"] == Decimal("9007199254740993.25") and r[0]["f_sci"] == 1000.0
+    assert [x["f_mix"] for x in r] == ["12345678901234567890", "1e-3"] and r[0]["f_arr"] == "[1,2.50]" and r[0]["f_obj"] == '{"a":1.0}'
+    assert r[1]["f_day"] == dt.datetime(2031, 1, 2, 3, 4, 5)
+    assert drift.unified(a.limit(0), b).columns == ["file_id", "line_no", "extra"]

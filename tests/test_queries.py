@@ -11,13 +11,17 @@ DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
 
 
-@pytest.fixture(scope="module")
-def duck():
+#: The columns of a union schema depend on the data; its SQL names those of this table set.
+ELSEWHERE = {"p1_entries": "/root/testdata/sf0.01"}
+
+
+def duck(folder):
     import duckdb
 
     con = duckdb.connect()
-    for f in os.listdir(DATA):
-        con.sql(f"create view {f.removesuffix('.parquet')} as select * from '{DATA}/{f}'")
+    con.sql("SET TimeZone = 'UTC'")
+    for f in os.listdir(folder):
+        con.sql(f"create view {f.removesuffix('.parquet')} as select * from '{folder}/{f}'")
     return con
 
 
@@ -34,8 +38,9 @@ def plain(df):
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
-def test_equals_sql(spark, duck, name):
-    got, want = QUERIES[name](spark, DATA).toPandas(), duck.sql(SQL[name]).df()
+def test_equals_sql(spark, name):
+    folder = ELSEWHERE.get(name, DATA)
+    got, want = QUERIES[name](spark, folder).toPandas(), duck(folder).sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert plain(got) == plain(want)
 
