@@ -7,14 +7,16 @@ It sees a histogram of sizes (at most one row per token of capacity) and gives
 runs ("the items with ranks a to b of size s go to containers c, c + 1, ... , q
 each"). That is exactly what best-fit decreasing does one item at a time over the
 whole corpus, yet no task ever holds more than a histogram. Items are numbered
-within their size in two steps, counts per partition and a running number inside,
-so that a size with a third of all items is no sort of one task.
+within their size by their key in two steps: the table is split into ranges of keys,
+each range counts its items of each size and numbers them inside, so that a size with
+a third of all items is no sort of one task. The result depends on the rows alone,
+not on how they are spread. The jobs that count run while the DataFrame is built.
 
 An item longer than the capacity is cut into pieces of the full capacity, each
 alone in its container, and a rest that is packed like any other item.
 
 Defined cases: null and empty texts (no tokens) take no part; a capacity that is
-null or below 1 gives no rows; equal sizes are taken in the order of partitions.
+null or below 1 gives no rows; equal sizes are taken in the order of keys, null first.
 """
 
 from __future__ import annotations
@@ -131,43 +133,38 @@ def pack(sizes: DataFrame, budgets: DataFrame, key: str = "doc_id", size: str =
     out_schema = f"budget_name string, `{key}` {sizes.schema[key].dataType.simpleString()}, piece bigint, first_token bigint, piece_tokens bigint, container bigint"
     if not caps:
         return spark.createDataFrame([], out_schema)
-    table = F.explode(F.array(*[F.struct(F.lit(b).alias("budget_name"), F.lit(c).cast("bigint").alias("capacity")) for b, c in sorted(caps.items())]))
     held = sizes.where(F.col(size) > 0).select(key, F.col(size).cast("bigint").alias("n"))
-    held = spill(held.withColumn("part", F.spark_partition_id()))
+    held = spill(held.withColumn("row", F.monotonically_increasing_id()))
     kind = held.schema[key].dataType.simpleString()
 
-    # a running number of the items of each size within each part of the table
+    # the rows of one range of keys, in order: running numbers of the items of each size and of
+    # the full pieces. `row` splits a key with very many rows; such rows are alike.
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ordered = held.repartitionByRange(ranges, key, "n", "row").sortWithinPartitions(key, "n", "row").select(key, "n", F.spark_partition_id().alias("part"))
+
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[int, int], int] = {}
+        seen: dict[tuple[str, int], int] = {}
+        pieces: dict[str, int] = dict.fromkeys(caps, 0)
         for b in batches:
-            n, part = b.column("n").to_numpy(), b.column("part").to_numpy()
-            names, caps_, sizes_, seq = [], [], [], []
-            row = []
+            n = b.column("n").to_numpy()
             for name, c in sorted(caps.items()):
-                rest = n % c
-                hit = np.flatnonzero(rest > 0)
-                k = rest[hit]
-                order = np.argsort(k, kind="stable")
-                ks = k[order]
-                start = np.flatnonzero(np.r_[True, ks[1:] != ks[:-1]]) if len(ks) else np.zeros(0, int)
-                lens = np.diff(np.r_[start, len(ks)]) if len(ks) else np.zeros(0, int)
+                full, rest = n // c, n % c
+                order = np.argsort(rest, kind="stable")
+                sizes_ = rest[order]
+                start = np.flatnonzero(np.r_[True, sizes_[1:] != sizes_[:-1]])
+                lens = np.diff(np.r_[start, len(n)])
                 base = np.zeros(len(start), np.int64)
-                for j, s in enumerate(start.tolist()):
-                    slot = (name, int(ks[s]))
-                    base[j] = seen.get(slot, 0)
-                    seen[slot] = int(base[j] + lens[j])
-                running = np.empty(len(ks), np.int64)
-                running[order] = np.arange(len(ks)) - np.repeat(start, lens) + np.repeat(base, lens)
-                row.append(hit)
-                sizes_.append(k)
-                seq.append(running)
-                names += [name] * len(hit)
-            take = np.concatenate(row)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), b.column(key).take(pa.array(take)), pa.array(n[take]), pa.array(part[take]), pa.array(np.concatenate(sizes_)), pa.array(np.concatenate(seq))], ["budget_name", key, "n", "part", "size", "seq"])
-
-    # `part` must name the task that numbers: it is taken anew where the table is read
-    placed = held.withColumn("part", F.spark_partition_id()).select(key, "n", "part")
-    items = spill(placed.mapInArrow(number, f"budget_name string, `{key}` {kind}, n bigint, part int, size bigint, seq bigint"))
+                for j, size_ in enumerate(sizes_[start].tolist()):
+                    base[j] = seen.get((name, size_), 0)
+                    seen[name, size_] = int(base[j] + lens[j])
+                seq = np.empty(len(n), np.int64)
+                seq[order] = np.arange(len(n)) - np.repeat(start - base, lens)
+                within = pieces[name] + np.cumsum(full) - full
+                pieces[name] += int(full.sum())
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), b.column(key), b.column("n"), b.column("part"), pa.array(rest), pa.array(seq), pa.array(full), pa.array(within)], ["budget_name", key, "n", "part", "size", "seq", "full", "within"])
+
+    numbered = spill(ordered.mapInArrow(number, f"budget_name string, `{key}` {kind}, n bigint, part int, size bigint, seq bigint, full bigint, within bigint"))
+    items = numbered.where("size > 0").select("budget_name", key, "n", "part", "size", "seq")
 
     histogram: dict[str, dict[int, int]] = {b: {} for b in caps}
     for r in items.groupBy("budget_name", "size").count().collect():
@@ -179,16 +176,15 @@ def pack(sizes: DataFrame, budgets: DataFrame, key: str = "doc_id", size: str =
     run_rows = spark.createDataFrame(runs or [("", 0, 0, 0, 0, 0)], "budget_name string, size bigint, run_rank bigint, run_items bigint, run_first bigint, per bigint")
     # the runs of one size lie in an array, by rank: one equi-join and a lookup, no range join
     by_size = run_rows.groupBy("budget_name", "size").agg(F.array_sort(F.collect_list(F.struct("run_rank", "run_items", "run_first", "per"))).alias("runs"))
-    ranked = _ranked(items).join(F.broadcast(by_size), ["budget_name", "size"])
+    ranked = _ranked(items).join(by_size, ["budget_name", "size"])
     run = F.filter("runs", lambda r: (r["run_rank"] <= F.col("rank")) & (F.col("rank") < r["run_rank"] + r["run_items"]))[0]
     ends = ranked.withColumn("r", run).select("budget_name", key, "n", "size", (F.col("r.run_first") + F.floor((F.col("rank") - F.col("r.run_rank")) / F.col("r.per"))).alias("container"))
     rests = ends.select("budget_name", key, F.floor((F.col("n") - F.col("size")) / F.element_at(F.create_map(*[x for b, c in sorted(caps.items()) for x in (F.lit(b), F.lit(c).cast("bigint"))]), F.col("budget_name"))).alias("piece"), (F.col("n") - F.col("size")).alias("first_token"), F.col("size").alias("piece_tokens"), "container")
-    # pieces of the full capacity: containers after all others, numbered per part
-    long = placed.select(key, "n", "part", table.alias("b")).select(key, "n", "part", "b.*").withColumn("full", F.floor(F.col("n") / F.col("capacity"))).where("full > 0")
+    # pieces of the full capacity: containers after all others, in the order of keys
+    long = numbered.where("full > 0").select("budget_name", key, "part", "full", "within").join(budgets, "budget_name")
     w = Window.partitionBy("budget_name").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = long.groupBy("budget_name", "part").agg(F.sum("full").alias("f")).withColumn("before", F.coalesce(F.sum("f").over(w), F.lit(0))).drop("f")
-    inside = Window.partitionBy("budget_name", "part").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = long.withColumn("within", F.coalesce(F.sum("full").over(inside), F.lit(0))).join(offsets, ["budget_name", "part"])
+    before = long.groupBy("budget_name", "part").agg(F.sum("full").alias("f")).withColumn("before", F.coalesce(F.sum("f").over(w), F.lit(0))).drop("f")
+    placed = long.join(before, ["budget_name", "part"])
     base = F.element_at(F.create_map(*[x for b, u in sorted(used.items()) for x in (F.lit(b), F.lit(u).cast("bigint"))]), F.col("budget_name"))
-    full = numbered.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1))).select("budget_name", key, "piece", (F.col("piece") * F.col("capacity")).alias("first_token"), F.col("capacity").alias("piece_tokens"), (base + F.col("before") + F.col("within") + F.col("piece")).alias("container"))
+    full = placed.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("full") - 1))).select("budget_name", key, "piece", (F.col("piece") * F.col("capacity")).alias("first_token"), F.col("capacity").alias("piece_tokens"), (base + F.col("before") + F.col("within") + F.col("piece")).alias("container"))
     return rests.unionByName(full)

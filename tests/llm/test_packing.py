@@ -74,3 +74,14 @@ def test_empty_tables(spark):
     budgets = spark.createDataFrame([("a", 10)], "budget_name string, capacity_tokens int")
     assert packing.pack(docs, budgets).count() == 0
     assert packing.pack(spark.createDataFrame([(1, 3)], docs.schema), budgets.limit(0)).count() == 0
+
+
+def test_result_does_not_depend_on_how_rows_are_spread(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(i if i % 50 else 7, rng.choice((3, 3, 3, 5, 8, 40, 130))) for i in range(900)] + [(None, 4), (None, 4)]
+    df = spark.createDataFrame(rows, "doc_id bigint, n_tokens int")
+    budgets = spark.createDataFrame([("b", 50), ("c", 17)], "budget_name string, capacity_tokens int")
+    one, other = (sorted(map(str, packing.pack(x, budgets).collect())) for x in (df.coalesce(1), df.repartition(7, "n_tokens")))
+    assert one == other and len(one) > 900
