@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import spill, spread
+from .closure import components
 
 #: A field is held by a file if this share of the counting lines give it a value.
 HELD_SHARE = 0.1
@@ -214,21 +215,6 @@ def change_log(lines: DataFrame, files: DataFrame) -> DataFrame:
     return found.select("store_id", "file_no", "dumped_at", F.row_number().over(w).alias("change_no"), "file_id", "change_kind", "field_name", "old_name")
 
 
-def components(ties: DataFrame) -> DataFrame:
-    """(name, comp): the connected names of `ties` (a, b), each with the least name it is tied
-    to: least neighbours, then a jump to that name's own, until nothing changes."""
-    both = spill(ties.select("a", "b").union(ties.select("b", "a")).distinct())
-    label = both.groupBy(F.col("a").alias("name")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
-    label = spill(label)
-    while True:
-        near = both.join(label.withColumnRenamed("name", "b"), "b").groupBy(F.col("a").alias("name")).agg(F.min("comp").alias("near"))
-        hop = label.select(F.col("name").alias("comp"), F.col("comp").alias("far"))
-        nxt = spill(label.join(near, "name").join(hop, "comp").select("name", F.least("comp", "near", "far").alias("comp"), (F.least("near", "far") < F.col("comp")).alias("moved")))
-        label = nxt.select("name", "comp")
-        if nxt.where("moved").isEmpty():
-            return label
-
-
 def field_names(held: DataFrame, present: DataFrame, files: DataFrame, log: DataFrame) -> DataFrame:
     """(file_id, name, field): the field of the union schema to which each name `present` in a
     file belongs: the most widely held of the names that renames tie it to."""

@@ -61,8 +61,18 @@ def read_document(raw: str | bytes | None) -> bytes | None:
         return None
 
 
-def _member_name(raw: bytes) -> str:
-    return json.loads(b'"' + raw + b'"') if b"\\" in raw else raw.decode("utf-8")
+def _string(raw: bytes) -> str:
+    """What a JSON string says, given what stands between its quotes; half surrogates become `?`."""
+    if b"\\" not in raw:
+        return raw.decode("utf-8")
+    return json.loads(b'"' + raw + b'"', strict=False).encode("utf-8", "replace").decode("utf-8")
+
+
+def _said(text: str) -> str | None:
+    """What a JSON scalar says: a string's content, null for JSON null, else its text."""
+    if text[:1] == '"':
+        return _string(text[1:-1].encode("utf-8"))
+    return None if text == "null" else text
 
 
 class StructuralIndex:
@@ -162,18 +172,20 @@ class StructuralIndex:
             else:
                 raw = buf[name_at[i] : name_end[i]]
                 if (name := names.get(raw)) is None:
-                    name = names[raw] = _member_name(raw)
+                    name = names[raw] = _string(raw)
                 out[i] = f"{out[p]}/{name}"
                 members[i] = name
         return out, members
 
-    def scalars(self) -> dict[int, list[tuple[str, str]]]:
-        """Of each object: its members that are neither object nor array, as JSON text."""
-        out: dict[int, list[tuple[str, str]]] = {}
+    def scalars(self) -> dict[int, list[tuple[str, str, str | None]]]:
+        """Of each object: its members that are neither object nor array: name, JSON text and
+        what it says."""
+        out: dict[int, list[tuple[str, str, str | None]]] = {}
         q = np.searchsorted(self.quotes, self.scalar_colon)
         starts, ends = (self.quotes[q - 2] + 1, self.quotes[q - 1]) if len(q) else (q, q)
         for o, a, z, colon, stop in zip(self.scalar_owner.tolist(), starts.tolist(), ends.tolist(), self.scalar_colon.tolist(), self.scalar_stop.tolist()):
-            out.setdefault(o, []).append((_member_name(self.buf[a:z]), self.buf[colon + 1 : stop].decode("utf-8").strip()))
+            text = self.buf[colon + 1 : stop].decode("utf-8").strip()
+            out.setdefault(o, []).append((_string(self.buf[a:z]), text, _said(text)))
         return out
 
     def elements(self) -> Iterator[tuple[int, int | None, str]]:
@@ -229,7 +241,7 @@ def elements(df: DataFrame, key: str = "entry_id", fields: tuple[str, ...] = DOC
 def shredded(df: DataFrame, key: str = "entry_id", fields: tuple[str, ...] = DOC_FIELDS) -> DataFrame:
     """One row for each object of each document: its path, the path of the object or
     document that holds it, the member name of the array or object it stands in, its
-    position and depth, its scalar members as JSON text, and its holder: the name of
+    position and depth, its scalar members as JSON text and as what they say, and its holder: the name of
     the array it stands in, or of the object whose member it is. (key, doc_field,
     node_path) identifies a row, (key, doc_field, parent_path) its parent."""
     kind = df.schema[key].dataType.simpleString()
@@ -254,12 +266,12 @@ def shredded(df: DataFrame, key: str = "entry_id", fields: tuple[str, ...] = DOC
                         holder = members[up] if up >= 0 and place[up] < 0 else None
                     rows.append((*owners[docs[i]], paths[i], None if parent[i] < 0 else paths[up] if up >= 0 else "", members[i], place[i] if place[i] >= 0 else None, level[i], scalars.get(i, []), holder))
                 cols = list(zip(*rows)) if rows else [[]] * 9
-                types = [batch.schema.field(key).type, pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.struct([("name", pa.string()), ("json", pa.string())])), pa.string()]
+                types = [batch.schema.field(key).type, pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.list_(pa.struct([("name", pa.string()), ("json", pa.string()), ("value", pa.string())])), pa.string()]
                 names = [key, "doc_field", "node_path", "parent_path", "member", "place", "depth", "scalars", "holder"]
-                values = [list(c) for c in cols[:7]] + [[[{"name": a, "json": b} for a, b in x] for x in cols[7]], list(cols[8])]
+                values = [list(c) for c in cols[:7]] + [[[{"name": a, "json": b, "value": v} for a, b, v in x] for x in cols[7]], list(cols[8])]
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names)
 
-    out = spread(df.select(key, *fields)).mapInArrow(shred, f"`{key}` {kind}, doc_field string, node_path string, parent_path string, member string, place int, depth int, scalars array<struct<name:string,json:string>>, holder string")
+    out = spread(df.select(key, *fields)).mapInArrow(shred, f"`{key}` {kind}, doc_field string, node_path string, parent_path string, member string, place int, depth int, scalars array<struct<name:string,json:string,value:string>>, holder string")
     return out.dropDuplicates([key, "doc_field", "node_path"])
 
 
@@ -292,23 +304,27 @@ def array_values(df: DataFrame, key: str = "entry_id", fields: tuple[str, ...] =
     return spread(df.select(key, *fields)).mapInArrow(shred, f"`{key}` {kind}, doc_field string, elem_path string, parent_path string, member string, place int, json string").distinct()
 
 
+def _said_by(name: str) -> Column:
+    return F.try_element_at(F.filter("scalars", lambda s: s["name"] == F.lit(name)), F.lit(-1))["value"].alias(f"m_{name}")
+
+
 def flat_table(objects: DataFrame, members: tuple[str, ...], columns: tuple[str, ...], key: str = "entry_id") -> DataFrame:
     """The objects that stand under one of the member names `members`, with `columns`
     pulled out of their scalars as text (null where absent or JSON null). A member that is
     an array or object is null here: `array_values` and `shredded` have its rows, tied by parent_path."""
-    pick = [F.expr(f"""nullif(regexp_replace(try_element_at(filter(scalars, s -> s.name = '{c}'), -1).json, '^"|"$', ''), 'null')""").alias(f"m_{c}") for c in columns]
-    return objects.where(F.col("member").isin(*members)).select(key, "doc_field", "node_path", "parent_path", "member", "place", *pick)
-
-
-def _plain(json_text: Column) -> Column:
-    """What a scalar's JSON text says: a string's content, null for JSON null."""
-    return F.when(F.startswith(json_text, F.lit('"')), F.get_json_object(F.concat(F.lit("["), json_text, F.lit("]")), "$[0]")).when(json_text != "null", json_text)
+    return objects.where(F.col("member").isin(*members)).select(key, "doc_field", "node_path", "parent_path", "member", "place", *map(_said_by, columns))
 
 
 def held_table(objects: DataFrame, holder: str, single: str, columns: tuple[str, ...], key: str = "entry_id") -> DataFrame:
     """The objects that stand in an array or map named `holder` (in a map, `member` is their
     id), or as one member named `single`, with `columns` pulled out of their scalars as
     text (null where absent or JSON null) and all their scalars."""
-    pick = [_plain(F.try_element_at(F.filter("scalars", lambda s: s["name"] == F.lit(c)), F.lit(-1))["json"]).alias(f"m_{c}") for c in columns]  # noqa: B023
     alone = (F.col("member") == single) & F.col("place").isNull()
-    return objects.where((F.col("holder") == holder) | alone).select(key, "doc_field", "node_path", "parent_path", "member", "place", *pick, "scalars")
+    return objects.where((F.col("holder") == holder) | alone).select(key, "doc_field", "node_path", "parent_path", "member", "place", *map(_said_by, columns), "scalars")
+
+
+def members(objects: DataFrame, key: str = "entry_id") -> DataFrame:
+    """(key, doc_field, node_path, name, value): every scalar member of every object, as what
+    it says; a member written twice keeps its last value."""
+    each = objects.select(key, "doc_field", "node_path", F.posexplode("scalars").alias("at", "s"))
+    return each.groupBy(key, "doc_field", "node_path", F.col("s.name").alias("name")).agg(F.max_by("s.value", "at").alias("value"))

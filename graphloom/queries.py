@@ -90,6 +90,19 @@ def p5_values(spark: SparkSession, d: str) -> DataFrame:
     return nested.array_values(table(spark, d, "cache_entries"))
 
 
+_PLAIN_DOCS = ("request_json", "meta_json")
+
+
+def p5_text_objects(spark: SparkSession, d: str) -> DataFrame:
+    """All objects of the two documents that are stored as plain text, without their scalars."""
+    return nested.shredded(table(spark, d, "cache_entries"), fields=_PLAIN_DOCS).drop("scalars", "holder")
+
+
+def p5_text_members(spark: SparkSession, d: str) -> DataFrame:
+    """Every scalar member of the objects of the two documents that are stored as plain text."""
+    return nested.members(nested.shredded(table(spark, d, "cache_entries"), fields=_PLAIN_DOCS))
+
+
 def p5_bindings(spark: SparkSession, d: str) -> DataFrame:
     """Node and edge bindings of results, tied to their analysis or result and entry."""
     objects = nested.shredded(table(spark, d, "cache_entries"))
@@ -129,7 +142,7 @@ def fil27_scope(spark: SparkSession, d: str) -> DataFrame:
     return tree.join(allowed, ["snapshot_id", "root"], "left_semi").select("snapshot_id", F.col("node").alias("predicate"), "root")
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_entries": p1_entries, "p1_log": p1_log, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p5_found": p5_found, "p5_objects": p5_objects, "p5_values": p5_values, "p5_edges": p5_edges, "p5_nodes": p5_nodes, "p5_bindings": p5_bindings}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_entries": p1_entries, "p1_log": p1_log, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p5_found": p5_found, "p5_objects": p5_objects, "p5_values": p5_values, "p5_edges": p5_edges, "p5_nodes": p5_nodes, "p5_text_objects": p5_text_objects, "p5_text_members": p5_text_members, "p5_bindings": p5_bindings}
 QUERIES |= {"gr7_ancestors": gr7_ancestors, "gr8_nearest_active": gr8_nearest_active, "gr10_leaves": gr10_leaves, "gr11_inverses": gr11_inverses, "fil27_scope": fil27_scope, **queries_graph.QUERIES, **queries_more.QUERIES}
 
 _FORM = """CASE WHEN {0} IS NULL THEN NULL WHEN b_{0} IN ('', '~') THEN NULL ELSE concat('biolink:', b_{0}) END"""
@@ -180,7 +193,15 @@ put AS (SELECT *, fits AND pos = min(pos) FILTER (WHERE fits) OVER (PARTITION BY
 SELECT file_id, line_no, {", ".join(f"max(txt) FILTER (WHERE in_column AND field = '{c}') AS f_{c}" for c in _P1_TEXT)}, {", ".join(f"CAST(max(txt) FILTER (WHERE in_column AND field = '{c}') AS {t}) AS f_{c}" for c, t in _P1_TYPED.items())},
  coalesce(string_agg(concat(name, '=', txt), chr(10) ORDER BY concat(name, '=', txt)) FILTER (WHERE NOT coalesce(in_column, false)), '') AS extra
 FROM (SELECT file_id, line_no FROM obj) LEFT JOIN put USING (file_id, line_no) GROUP BY file_id, line_no"""
+_DOCS = """WITH RECURSIVE raw AS (SELECT DISTINCT entry_id, doc_field, doc FROM (SELECT entry_id, 'request_json' AS doc_field, request_json AS doc FROM cache_entries UNION ALL SELECT entry_id, 'meta_json', meta_json FROM cache_entries)),
+top AS (SELECT entry_id, doc_field, try_cast(ltrim(doc, chr(65279)) AS JSON) AS j FROM raw UNION ALL SELECT entry_id, doc_field, try_cast(j ->> '$' AS JSON) FROM top WHERE json_type(j) = 'VARCHAR'),
+node AS (SELECT DISTINCT entry_id, doc_field, '' AS path, CAST(NULL AS VARCHAR) AS holder, CAST(NULL AS VARCHAR) AS member, CAST(NULL AS INT) AS place, 0 AS depth, CAST(j AS VARCHAR) AS j FROM top WHERE json_type(j) IN ('OBJECT', 'ARRAY')
+ UNION ALL SELECT n.entry_id, n.doc_field, concat(n.path, '/', e.key), CASE WHEN json_type(n.j) = 'OBJECT' THEN n.path ELSE coalesce(n.holder, '') END, CASE WHEN json_type(n.j) = 'OBJECT' THEN e.key ELSE n.member END, CASE WHEN json_type(n.j) = 'ARRAY' THEN CAST(e.key AS INT) END, depth + 1, CAST(e.value AS VARCHAR)
+ FROM node n, json_each(n.j) e WHERE json_type(n.j) IN ('OBJECT', 'ARRAY'))
+"""
 SQL: dict[str, str] = {
+    "p5_text_objects": _DOCS + "SELECT DISTINCT entry_id, doc_field, path AS node_path, holder AS parent_path, coalesce(member, '') AS member, place, CAST(depth AS INT) AS depth FROM node WHERE json_type(j) = 'OBJECT'",
+    "p5_text_members": _DOCS + "SELECT DISTINCT entry_id, doc_field, holder AS node_path, member AS name, json(j) ->> '$' AS value FROM node WHERE json_type(j) NOT IN ('OBJECT', 'ARRAY') AND place IS NULL AND depth > 0",
     "p1_found": _DRIFT_CTE + _CHANGES,
     "p1_log": _DRIFT_CTE + f""", c AS ({_CHANGES}), o AS (SELECT file_id, store_id, dumped_at, CAST(row_number() OVER (PARTITION BY store_id ORDER BY dumped_at, file_id) AS INT) AS file_no FROM (SELECT DISTINCT file_id, store_id, dumped_at FROM dump_files))
 SELECT store_id, file_no, dumped_at, CAST(row_number() OVER (PARTITION BY file_id ORDER BY change_kind, field_name, old_name) AS INT) AS change_no, file_id, change_kind, field_name, old_name FROM c JOIN o USING (file_id)""",

@@ -40,8 +40,10 @@ def test_index_equals_a_recursive_walk(doc, indent, ascii_only):
 def test_scalars_are_the_members_that_hold_no_others(doc):
     text = json.dumps(doc)
     ix = nested.StructuralIndex(text.encode())
-    got = {k: json.loads(v) for k, v in ix.scalars().get(0, [])}
-    assert got == {k: v for k, v in doc.items() if not isinstance(v, (dict, list))}
+    scalars = ix.scalars().get(0, [])
+    want = {k: v for k, v in doc.items() if not isinstance(v, (dict, list))}
+    assert {k: json.loads(v) for k, v, _ in scalars} == want
+    assert {k: x for k, _, x in scalars} == {k: v if isinstance(v, str) else None if v is None else json.dumps(v) for k, v in want.items()}
 
 
 @pytest.mark.parametrize("raw", [None, "", "   ", "{", '{"a": [', "nul", '{"a": 1} x', zlib.compress(b'{"a": [{}]}')[:-5], b"\xff\xfe", '"just text"', "3", "null"])
@@ -143,4 +145,48 @@ def test_objects_query_keeps_scalars(spark, tmp_path):
     df = spark.createDataFrame([(1, '{"a": {"subject": "x", "n": 1}}', None, None)], "entry_id bigint, request_json string, response_blob binary, meta_json string")
     df.write.parquet(str(tmp_path / "cache_entries.parquet"))
     rows = {r["node_path"]: r for r in QUERIES["p5_objects"](spark, str(tmp_path)).collect()}
-    assert [tuple(s) for s in rows["/a"]["scalars"]] == [("subject", '"x"'), ("n", "1")] and rows["/a"]["n_scalars"] == 2
+    assert [tuple(s) for s in rows["/a"]["scalars"]] == [("subject", '"x"', "x"), ("n", "1", "1")] and rows["/a"]["n_scalars"] == 2
+
+
+def test_flat_tables_say_what_the_scalars_say(spark):
+    doc = '{"attributes": [{"value": "a\\n\\"b\\u00e9\\/"}, {"value": "null"}, {"value": null}, {"value": 1.50}, {"value": "\\ud800x"}, {"value": "\\"q\\""}, {"value": "", "other": true}]}'
+    df = spark.createDataFrame([(1, doc, None, None)], "entry_id bigint, request_json string, response_blob binary, meta_json string")
+    objects = nested.shredded(df)
+    rows = nested.flat_table(objects, ("attributes",), ("value", "other")).orderBy("place").collect()
+    assert [r["m_value"] for r in rows] == ['a\n"bé/', "null", None, "1.50", "?x", '"q"', ""]
+    assert [r["m_other"] for r in rows] == [None] * 6 + ["true"]
+    assert nested.members(objects).count() == 8
+
+
+def flat(doc, path="", parent=None, member=""):
+    """(path, parent, member, scalars) of all objects, by a plain walk."""
+    if isinstance(doc, dict):
+        yield path, parent, member, {k: v for k, v in doc.items() if not isinstance(v, (dict, list))}
+        for k, v in doc.items():
+            yield from flat(v, f"{path}/{k}", path, k)
+    elif isinstance(doc, list):
+        for i, v in enumerate(doc):
+            yield from flat(v, f"{path}/{i}", parent if parent is not None else "", member)
+
+
+def test_whole_table_equals_a_plain_walk(spark):
+    import os
+
+    data = "/root/testdata/sf0.01/cache_entries.parquet"
+    if not os.path.exists(data):
+        pytest.skip("no test tables here")
+    df = spark.read.parquet(data)
+    got = {(r["entry_id"], r["doc_field"], r["node_path"]): (r["parent_path"], r["member"], {s["name"]: s["value"] for s in r["scalars"]}) for r in nested.shredded(df).collect()}
+    want = {}
+    for r in df.select("entry_id", *nested.DOC_FIELDS).collect():
+        for field in nested.DOC_FIELDS:
+            text = nested.read_document(r[field])
+            if text is None:
+                continue
+            for path, parent, member, scalars in flat(json.loads(text, parse_float=lambda t: Raw(t), parse_int=lambda t: Raw(t))):
+                want[r["entry_id"], field, path] = (parent, member, {k: None if v is None else str(v).lower() if isinstance(v, bool) else str(v) for k, v in scalars.items()})
+    assert got == want and len(got) > 10_000
+
+
+class Raw(str):
+    """A number as written."""
