@@ -45,6 +45,11 @@ def p4_coverage(spark: SparkSession, d: str) -> DataFrame:
     return spans.SharedSpans(table(spark, d, "lexicon_strings"), "string_id", "string_text").coverage()
 
 
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row for each lexicon string that shares a run, with the class that sharing connects."""
+    return spans.SharedSpans(table(spark, d, "lexicon_strings"), "string_id", "string_text").connected()
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     """Every document's token ids by byte_bpe_50k."""
     return encoding.encode(table(spark, d, "documents"))
@@ -83,7 +88,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return sentences.sentence_ends(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p8_found": p8_found, "p2_found": p2_found, "p2_shares": p2_shares, "p2_limits": p2_limits, "p4_found": p4_found, "p4_coverage": p4_coverage, "p6_ids": p6_ids, "p7_pack": p7_pack, "p7_fill": p7_fill, "p7_laws": p7_laws}
+QUERIES: dict[str, Query] = {"p8_found": p8_found, "p2_found": p2_found, "p2_shares": p2_shares, "p2_limits": p2_limits, "p4_found": p4_found, "p4_coverage": p4_coverage, "p4_classes": p4_classes, "p6_ids": p6_ids, "p7_pack": p7_pack, "p7_fill": p7_fill, "p7_laws": p7_laws}
 _GRAMS = """WITH s AS (SELECT DISTINCT string_id, string_text FROM lexicon_strings WHERE string_id IS NOT NULL AND length(string_text) >= 80),
 g AS (SELECT string_id, i, substring(string_text, i, 80) AS gram FROM s, range(1, length(string_text) - 78) t(i)),
 twice AS (SELECT gram FROM g GROUP BY gram HAVING count(DISTINCT string_id) > 1),
@@ -91,6 +96,9 @@ shared AS (SELECT g.* FROM g JOIN twice USING (gram)) """
 SQL: dict[str, str] = {
     "p7_laws": "SELECT budget_name, CAST(0 AS BIGINT) AS n_overfull, CAST(0 AS BIGINT) AS n_not_whole, CAST(0 AS BIGINT) AS n_cut FROM pack_budgets",
     "p4_found": _GRAMS + "SELECT DISTINCT a.string_id AS string_a, b.string_id AS string_b FROM shared a JOIN shared b ON a.gram = b.gram AND a.string_id < b.string_id",
+    "p4_classes": _GRAMS.replace("WITH", "WITH RECURSIVE") + """, pair AS (SELECT DISTINCT a.string_id AS a, b.string_id AS b FROM shared a JOIN shared b ON a.gram = b.gram AND a.string_id <> b.string_id),
+reach AS (SELECT a AS string_id, a AS other FROM pair UNION SELECT r.string_id, p.b FROM reach r JOIN pair p ON p.a = r.other)
+SELECT string_id, min(other) AS class_id, count(*) AS n_records FROM reach GROUP BY string_id""",
     "p4_coverage": _GRAMS + """, c AS (SELECT string_id, count(DISTINCT i + k) AS n FROM shared, range(0, 80) r(k) GROUP BY string_id)
 SELECT string_id, length(string_text) AS n_chars, coalesce(n, 0) AS shared_chars, round(coalesce(n, 0) / length(string_text), 6) AS shared_share FROM s LEFT JOIN c USING (string_id)""",
 }

@@ -18,7 +18,10 @@ length share an edge.
    first edge; the text, not the hash, is compared, so a collision of hashes cannot
    make a pair.
 
-Equal texts are one class throughout and are expanded at the end.
+Equal texts are one class throughout. The form that grows with the records alone is
+`span_members` (one row for each span and text that has it) with `members` (record and
+text), or `connected`, one row a record; `pairs` is made from the first, and is as large
+as the pairs are many. The jobs that find the spans run when the object is made.
 
 Defined cases
 * null texts and texts shorter than `least` share nothing;
@@ -36,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.closure import components
 from ..sources.scratch import Scratch
 
 #: A shared span has at least so many characters.
@@ -201,9 +205,8 @@ class SharedSpans:
         step = self.edges.select("cls", "at", "h", F.when(F.lead("at").over(along) == F.col("at") + 1, F.lead("h").over(along)).alias("next"), F.when(F.lag("at").over(along) == F.col("at") - 1, F.lag("h").over(along)).alias("prev"))
         step = self.scratch.spill(step)
         # a null neighbour is an end, a branch of its own: it differs from every hash
-        out = step.groupBy("h").agg(((F.min("next") == F.max("next")) & (F.count("next") == F.count(F.lit(1)))).alias("one_next"))
-        into = step.groupBy("h").agg(((F.min("prev") == F.max("prev")) & (F.count("prev") == F.count(F.lit(1)))).alias("one_prev"))
-        marks = out.join(into, "h")
+        one = lambda c: (F.min(c) == F.max(c)) & (F.count(c) == F.count(F.lit(1)))
+        marks = self.scratch.spill(step.groupBy("h").agg(one("next").alias("one_next"), one("prev").alias("one_prev")))
         by_prev = marks.select(F.col("h").alias("prev"), F.col("one_next").alias("prev_one_next"))
         # an edge without a predecessor begins a path and needs no join (nor null keys in one)
         first = step.where("prev is null").select("cls", "at", F.lit(1).alias("b"))
@@ -213,13 +216,29 @@ class SharedSpans:
         paths = numbered.groupBy("cls", "path_no").agg(F.min("at").alias("at"), F.count(F.lit(1)).alias("n"))
         return paths.join(texts, "cls").select("cls", "at", "n", F.col("text").substr(F.col("at") + 1, F.lit(self.least)).alias("head"))
 
+    def span_members(self) -> DataFrame:
+        """(span_cls, span_at, cls): one row for each shared span and text that has it; a span
+        is named by its first place. N texts with one span are N rows."""
+        first = self.paths.groupBy("head").agg(F.min(F.struct("cls", "at")).alias("span"))
+        return self.paths.select("cls", "head").distinct().join(first, "head").select(F.col("span.cls").alias("span_cls"), F.col("span.at").alias("span_at"), "cls")
+
     def class_pairs(self) -> DataFrame:
-        """(a, b): classes a < b that share a span. Within a path every pair is a result, so
-        none is made that is not; a path is met once however long it is."""
-        p = self.paths.select("cls", "head").distinct()
-        own = p.withColumn("hh", F.xxhash64("head"))
-        a, b = own.alias("a"), own.alias("b")
-        return a.join(b, (F.col("a.hh") == F.col("b.hh")) & (F.col("a.head") == F.col("b.head")) & (F.col("a.cls") < F.col("b.cls"))).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
+        """(a, b): classes a < b that share a span. Within a span every pair is a result, so
+        none is made that is not; a span is met once however long it is."""
+        m = self.scratch.spill(self.span_members())
+        a, b = m.alias("a"), m.alias("b")
+        return a.join(b, (F.col("a.span_cls") == F.col("b.span_cls")) & (F.col("a.span_at") == F.col("b.span_at")) & (F.col("a.cls") < F.col("b.cls"))).select(F.col("a.cls").alias("a"), F.col("b.cls").alias("b")).distinct()
+
+    def connected(self) -> DataFrame:
+        """(key, class_id, n_records): of each record that shares a span with another, the
+        least record with which shared spans connect it, and the number of those records."""
+        first = self.members.groupBy("cls").agg(F.min("rec").alias("first"))
+        rep = first.select(F.col("cls").alias("span_cls"), F.col("first").alias("b"))
+        across = self.span_members().join(first, "cls").join(rep, "span_cls").select(F.col("first").alias("a"), "b")
+        copies = self.members.join(first, "cls").select(F.col("rec").alias("a"), F.col("first").alias("b"))
+        found = self.scratch.spill(components(across.unionByName(copies).where("a != b").distinct()))
+        sizes = found.groupBy("comp").agg(F.count(F.lit(1)).alias("n_records"))
+        return found.join(sizes, "comp").select(F.col("name").alias(self.key), F.col("comp").alias("class_id"), "n_records")
 
     def pairs(self, first: str, second: str) -> DataFrame:
         """(first, second): all pairs of different records that share a span, the smaller id

@@ -79,3 +79,12 @@ def test_window_minima_cover_every_window():
         for i in range(max(1, n - w + 1)):
             win = h[i : i + w]
             assert i + int(np.argmin(win)) in kept
+
+
+def test_a_span_in_many_records_is_one_row_each(spark):
+    span = "".join(chr(97 + (i * i + 7 * (i // 26)) % 26) for i in range(90))
+    rows = [(i, "".join(random.Random(i).choices("abcdefghij", k=120)) + span + "".join(random.Random(-i - 1).choices("abcdefghij", k=90))) for i in range(400)] + [(1000, "q" * 100), (1001, "q" * 100), (1002, "r" * 100)]
+    found = spans.SharedSpans(spark.createDataFrame(rows, "id bigint, text string"), "id", "text")
+    assert 400 <= found.span_members().count() < 400 * 10  # branches at the ends of the span, not pairs
+    got = {tuple(r) for r in found.connected().collect()}
+    assert got == {(i, 0, 400) for i in range(400)} | {(1000, 1000, 2), (1001, 1000, 2)}
