@@ -5,10 +5,12 @@ to a core; repeated squaring of the link function on the core leaves exactly the
 nodes on rings. With the rings cut, every tree becomes an Euler tour, a linked
 list of entries (+1) and exits (-1), ranked in parallel by pointer jumping: the
 prefix sum gives the depth, the list's head the root, and the ranks of entry and
-exit an interval that holds all descendants. Paths come from blocks of the tour:
+exit an interval that holds all descendants. Every round follows three pointers and
+writes only the elements whose rank was open. Paths come from blocks of the tour:
 a block needs its own entries and the intervals that reach into it, no more, so
-that no tree is ever gathered in one task. Siblings are linked in hash buckets,
-so that a parent of a third of all rows is no sort of one task.
+that no tree is ever gathered in one task; the first blocks of many trees are walked
+together. Siblings are linked in hash buckets, so that a parent of a third of all
+rows is no sort of one task. The rounds run while the DataFrame is built.
 
 All steps are joins on one key over tables in the shared folder; rounds grow with
 the logarithm of the height.
@@ -53,7 +55,9 @@ def ring_nodes(links: DataFrame, scratch: Scratch, shrink: float = 0.25) -> Data
         if found == image:  # the image of the squared function no longer shrinks: only rings are left
             break
         image = found
-        nxt = scratch.spill(jump.alias("a").join(jump.alias("b"), F.col("a.up") == F.col("b.id")).select(F.col("a.id").alias("id"), F.col("b.up").alias("up")))
+        second = jump.select(F.col("id").alias("up"), F.col("up").alias("up2"))
+        third = jump.select(F.col("id").alias("up2"), F.col("up").alias("up3"))
+        nxt = scratch.spill(jump.join(second, "up").join(third, "up2").select("id", F.col("up3").alias("up")))
         scratch.drop(jump)
         jump = nxt
         if not found:
@@ -79,12 +83,16 @@ def _tour_list(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def ranked_tours(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, root, depth, entry, exit) of a forest: `links` (id, up) without rings."""
     whole = scratch.spill(_tour_list(nodes, links))
-    while not whole.where("head is null").isEmpty():
-        a, b = whole.where("head is null").alias("a"), whole.alias("b")
-        step = a.join(b, F.col("a.ptr") == F.col("b.e")).select(F.col("a.e").alias("e"), F.col("b.ptr").alias("ptr"), (F.col("a.sum") + F.col("b.sum")).alias("sum"), (F.col("a.n") + F.col("b.n")).alias("n"), F.col("b.head").alias("head"))
-        nxt = scratch.spill(whole.where("head is not null").unionByName(step))
-        scratch.drop(whole)
-        whole = nxt
+    done, left = whole.where("head is not null"), whole.where("head is null")
+    while not left.isEmpty():
+        b = done.unionByName(left)
+        c = b.select(F.col("e").alias("c_e"), F.col("ptr").alias("c_ptr"), F.col("sum").alias("c_sum"), F.col("n").alias("c_n"), F.col("head").alias("c_head"))
+        one = left.alias("a").join(b.alias("b"), F.col("a.ptr") == F.col("b.e")).select("a.e", "b.ptr", (F.col("a.sum") + F.col("b.sum")).alias("sum"), (F.col("a.n") + F.col("b.n")).alias("n"), "b.head")
+        there = one.where("head is not null")
+        two = one.where("head is null").join(c, F.col("ptr") == F.col("c_e")).select("e", F.col("c_ptr").alias("ptr"), (F.col("sum") + F.col("c_sum")).alias("sum"), (F.col("n") + F.col("c_n")).alias("n"), F.col("c_head").alias("head"))
+        step = scratch.spill(there.unionByName(two))
+        done, left = done.unionByName(step.where("head is not null")), step.where("head is null")
+    whole = done
     entry = whole.where("e % 2 = 0").select((F.col("e") / 2).cast("bigint").alias("id"), (F.col("head") / 2).cast("bigint").alias("root"), (F.col("sum") - 1).alias("depth"), F.col("n").alias("entry"))
     leave = whole.where("e % 2 = 1").select(((F.col("e") - 1) / 2).cast("bigint").alias("id"), F.col("n").alias("exit"))
     return entry.join(leave, "id")
@@ -134,11 +142,16 @@ def with_paths(tree: DataFrame, group: str, sep: str = "/") -> DataFrame:
     block: Column = F.floor(F.col("entry") / TOUR_BLOCK)
     own = held.withColumn("block", block)
     into = own.where(F.floor(F.col("exit") / TOUR_BLOCK) > F.col("block")).withColumn("block", F.explode(F.sequence(F.col("block") + 1, F.floor(F.col("exit") / TOUR_BLOCK).cast("bigint"))))
-    cols = [group, "root", "node", "depth", "entry", "exit", "block"]
+    cols = [group, "root", "node", "depth", "entry", "block"]
     both = own.select(*cols, F.lit(True).alias("own")).unionByName(into.select(*cols, F.lit(False).alias("own")))
+    # the first blocks of all trees share as many groups as there are partitions; further blocks are groups of their own
+    buckets = int(tree.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    first = F.col("block") == 0
+    bucket = F.when(first, F.pmod(F.xxhash64(F.col(group), F.col("root")), F.lit(buckets)))
+    keys = [bucket.alias("bucket"), F.when(~first, F.col(group)).alias("of_group"), F.when(~first, F.col("root")).alias("of_root"), F.when(~first, F.col("block")).alias("of_block")]
 
     def walk(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("entry")
+        part = part.sort_values([group, "root", "entry"])
         stack: list[str] = []
         out = []
         for node, depth, is_own in zip(part["node"], part["depth"], part["own"]):
@@ -149,7 +162,7 @@ def with_paths(tree: DataFrame, group: str, sep: str = "/") -> DataFrame:
         mine = part[part["own"]]
         return pd.DataFrame({group: mine[group], "node": mine["node"], "ancestors": pd.Series(out, mine.index, dtype=object)})
 
-    paths = both.groupBy(group, "root", "block").applyInPandas(walk, f"`{group}` {tree.schema[group].dataType.simpleString()}, node string, ancestors array<string>")
+    paths = both.groupBy(*keys).applyInPandas(walk, f"`{group}` {tree.schema[group].dataType.simpleString()}, node string, ancestors array<string>")
     found = paths.select(F.col(group).alias("p_group"), F.col("node").alias("p_node"), "ancestors")
     out = tree.join(found, tree[group].eqNullSafe(found["p_group"]) & (tree["node"] == found["p_node"]), "left").drop("p_group", "p_node")
     return out.withColumn("path", F.concat_ws(sep, "ancestors", "node")).withColumn("path", F.when(F.col("depth") >= 0, F.col("path"))).withColumn("n_descendants", F.when(F.col("depth") >= 0, ((F.col("exit") - F.col("entry") - 1) / 2).cast("bigint")))
