@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -114,7 +116,7 @@ def prefixed(name: Column, prefix: str = "biolink:") -> Column:
 
 def camel_case(name: Column) -> Column:
     """`gene or protein` and `gene_or_protein` to `GeneOrProtein`."""
-    return F.array_join(F.transform(F.split(F.lower(name), "[_ ]+"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), "")
+    return F.array_join(F.transform(F.split(F.lower(name), "[_ ]+"), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2)))), "")
 
 
 def iri_to_curie(iri: Column) -> Column:
@@ -124,7 +126,7 @@ def iri_to_curie(iri: Column) -> Column:
 
 def path_description(labels: Column, predicates: Column) -> Column:
     """`A --[p]--> B --[q]--> C`."""
-    return F.concat(F.element_at(labels, 1), F.array_join(F.zip_with(predicates, F.slice(labels, 2, 1000), lambda p, b: F.concat(F.lit(" --["), p, F.lit("]--> "), b)), ""))
+    return F.concat(F.element_at(labels, 1), F.array_join(F.zip_with(predicates, F.slice(labels, 2, F.greatest(F.lit(0), F.size(labels) - 1)), lambda p, b: F.concat(F.lit(" --["), p, F.lit("]--> "), b)), ""))
 
 
 def digest(text: Column, salt: str, length: int = 16) -> Column:
@@ -132,5 +134,6 @@ def digest(text: Column, salt: str, length: int = 16) -> Column:
 
 
 def normal_text(text: Column) -> Column:
-    """Lower case, runs of white space as one blank, none at the ends."""
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    """ASCII letters in lower case, runs of white space as one blank, none at the ends. Other
+    letters stay: their case depends on the letters around them, which a quote may lack."""
+    return F.trim(F.regexp_replace(F.translate(text, ascii_uppercase, ascii_lowercase), r"\s+", " "))

@@ -24,3 +24,13 @@ CONTRARY_PREDICATES = ("biolink:contraindicated_in", "biolink:contraindicated_fo
 
 # Predicates that link without a mechanism.
 NON_MECHANISTIC_PREDICATES = ("biolink:subclass_of", "biolink:superclass_of", "biolink:related_to", "biolink:related_to_at_concept_level", "biolink:correlated_with", "biolink:positively_correlated_with", "biolink:negatively_correlated_with", "biolink:associated_with", "biolink:coexists_with", "biolink:close_match", "biolink:same_as", "biolink:broad_match", "biolink:narrow_match", "biolink:has_member", "biolink:member_of")
+
+# Reasons for which a path is dropped, in the order in which they are tried.
+PATH_REASONS = ("repeated_node", "middle_category_not_allowed", "middle_category_excluded", "predicate_not_whitelisted", "predicate_blacklisted", "required_predicate_absent", "negated_edge", "insufficient_publications", "weak_edge")
+
+# Strengths of evidence, the best first.
+STRENGTHS = ("asserted_only", "strong", "moderate", "weak", "any")
+
+# Kinds of statements that describe the query, and that offer candidates.
+QUERY_KINDS = ("query_description", "anchors", "policy_description", "explanation_absence")
+CANDIDATE_KINDS = ("resolution_options",)

@@ -36,15 +36,34 @@ def completed_inverses(inverses: DataFrame, group: str, a: str, b: str) -> DataF
 
 def satisfies(pathed: DataFrame, pairs: DataFrame, group: str, mixins: DataFrame | None = None) -> DataFrame:
     """`pairs` (group, have, want) with `is_satisfied`: `want` is `have` or stands above it. A
-    mixin (rows group, mixin, implementer) satisfies what all of its implementers satisfy."""
+    mixin (rows group, mixin, implementer) also satisfies what all of its implementers do."""
     own = pathed.select(group, F.col("node").alias("have"), F.col("node").alias("want"))
     above = ancestors(pathed, group).select(group, F.col("node").alias("have"), F.col("ancestor").alias("want")).unionByName(own).withColumn("yes", F.lit(True))
+    direct = pairs.join(above, [group, "have", "want"], "left")
     if mixins is None:
-        return pairs.join(above, [group, "have", "want"], "left").select(group, "have", "want", F.col("yes").isNotNull().alias("is_satisfied"))
+        return direct.select(group, "have", "want", F.col("yes").isNotNull().alias("is_satisfied"))
     as_is = mixins.select(group, F.col("mixin").alias("have"), F.col("implementer"))
-    spread = pairs.join(as_is, [group, "have"], "left").withColumn("from_", F.coalesce("implementer", "have"))
-    hit = spread.join(above.withColumnRenamed("have", "from_"), [group, "from_", "want"], "left")
-    return hit.groupBy(group, "have", "want").agg(F.bool_and(F.col("yes").isNotNull()).alias("is_satisfied"))
+    each = direct.where("yes is null").drop("yes").join(as_is, [group, "have"], "left").join(above.withColumnRenamed("have", "implementer"), [group, "implementer", "want"], "left")
+    by_all = each.groupBy(group, "have", "want").agg(F.bool_and(F.col("yes").isNotNull()).alias("is_satisfied"))
+    return direct.where("yes is not null").select(group, "have", "want", F.lit(True).alias("is_satisfied")).unionByName(by_all)
+
+
+def concrete(pathed: DataFrame, facts: DataFrame, group: str) -> DataFrame:
+    """(group, node, implementer): the classes at or below each class that can stand for
+    themselves: neither mixin nor abstract nor deprecated by `facts` (group, node, is_mixin,
+    is_abstract, is_deprecated); a class without facts is none of them."""
+    flags = [F.coalesce(c, F.lit(False)) for c in ("is_mixin", "is_abstract", "is_deprecated")]
+    real = pathed.join(facts, [group, "node"], "left").where(~(flags[0] | flags[1] | flags[2]))
+    own = real.select(group, "node", F.col("node").alias("implementer"))
+    return own.unionByName(ancestors(real, group).select(group, F.col("ancestor").alias("node"), F.col("node").alias("implementer")))
+
+
+def family(pathed: DataFrame, roots: DataFrame, group: str) -> DataFrame:
+    """(group, node, family): the first of the `roots` (group, root, place) that each node is or
+    stands below; nodes of no family are left out."""
+    own = pathed.select(group, "node", F.col("node").alias("root"))
+    up = ancestors(pathed, group).select(group, "node", F.col("ancestor").alias("root")).unionByName(own)
+    return up.join(roots, [group, "root"]).groupBy(group, "node").agg(F.min_by("root", F.struct("place", "root")).alias("family"))
 
 
 def components(ties: DataFrame) -> DataFrame:

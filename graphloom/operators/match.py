@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.attributes import normal_text
 from ..functions.compare import apply_op
 from ..plans import Hop, Plan, PlanError
 
@@ -122,3 +123,12 @@ def supported(hops: DataFrame, triples: DataFrame) -> DataFrame:
     out = hops.join(t, key, "left").join(back, key, "left").join(other, ["subject_category", "object_category"], "left")
     yes = F.col("yes").isNotNull()
     return out.select(*key, yes.alias("is_supported"), F.col("back").isNotNull().alias("is_reverse_supported"), (F.coalesce("k", F.lit(0)) - yes.cast("int")).cast("bigint").alias("n_alternatives"))
+
+
+def quoted(quotes: DataFrame, texts: DataFrame, key: str, least: int = 15) -> DataFrame:
+    """(quote_id, doc_id): the `quotes` (quote_id, key, quote) that stand in a text (doc_id, key,
+    text) of their key, without regard to ASCII case and runs of white space; shorter ones than
+    `least` characters prove nothing."""
+    q = quotes.select("quote_id", key, normal_text(F.col("quote")).alias("quote")).where(F.length("quote") >= least).distinct()
+    t = texts.select("doc_id", key, normal_text(F.col("text")).alias("body"))
+    return q.join(t, key).where(F.contains("body", F.col("quote"))).select("quote_id", "doc_id").distinct()

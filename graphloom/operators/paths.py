@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.fixed import CONTRARY_PREDICATES, NON_MECHANISTIC_PREDICATES
+from ..functions.fixed import CONTRARY_PREDICATES, NON_MECHANISTIC_PREDICATES, PATH_REASONS, STRENGTHS
 from ..sources import spill
+from .ranking import top
 from .rules import first_reason
 
 MAX_HOPS = 5
@@ -67,26 +68,57 @@ def verdict(predicates: Column, negated: Column) -> Column:
     return first_reason(reasons, "ok")
 
 
-def drop_reason(nodes: Column, middles: Column, predicates: Column, negated: Column, publications: Column, *, allowed_middles: tuple[str, ...] = (), banned_middles: tuple[str, ...] = (), allowed: tuple[str, ...] = (), banned: tuple[str, ...] = (), required: tuple[str, ...] = (), least_publications: int = 0) -> Column:
-    """The first rule of a request that a path breaks, else `kept`: every middle category must
-    be allowed and none banned, all predicates allowed and none banned, one required one
-    present, no edge negated, every edge with enough publications."""
+def drop_reason(nodes: Column, middles: Column, predicates: Column, negated: Column, publications: Column, strengths: Column | None = None, *, allowed_middles: tuple[str, ...] = (), banned_middles: tuple[str, ...] = (), allowed: tuple[str, ...] = (), banned: tuple[str, ...] = (), required: tuple[str, ...] = (), least_publications: int = 0, least_strength: str | None = None) -> Column:
+    """The first rule of a request that a path breaks, else `kept`: no node twice, every middle
+    category allowed and none banned, all predicates allowed and none banned, one required
+    one present, no edge negated, every edge with enough publications and strong enough."""
 
     def of(names: tuple[str, ...]) -> Column:
         return F.array(*[F.lit(n) for n in names]).cast("array<string>")
 
-    reasons = [("repeated_node", F.size(F.array_distinct(nodes)) < F.size(nodes))]
+    known = F.filter(middles, lambda m: m.isNotNull() & (m != ""))
+    twice, not_allowed, excluded, not_listed, listed, absent, negative, few, weak = PATH_REASONS
+    reasons = [(twice, F.size(F.array_distinct(nodes)) < F.size(nodes))]
     if allowed_middles:
-        reasons.append(("middle_category_not_allowed", F.size(F.array_except(middles, of(allowed_middles))) > 0))
+        reasons.append((not_allowed, F.size(F.array_except(known, of(allowed_middles))) > 0))
     if banned_middles:
-        reasons.append(("middle_category_excluded", F.arrays_overlap(middles, of(banned_middles))))
+        reasons.append((excluded, F.arrays_overlap(known, of(banned_middles))))
     if allowed:
-        reasons.append(("predicate_not_whitelisted", F.size(F.array_except(predicates, of(allowed))) > 0))
+        reasons.append((not_listed, F.size(F.array_except(predicates, of(allowed))) > 0))
     if banned:
-        reasons.append(("predicate_blacklisted", F.arrays_overlap(predicates, of(banned))))
+        reasons.append((listed, F.arrays_overlap(predicates, of(banned))))
     if required:
-        reasons.append(("required_predicate_absent", ~F.arrays_overlap(predicates, of(required))))
-    reasons.append(("negated_edge", F.exists(negated, lambda x: x)))
+        reasons.append((absent, ~F.arrays_overlap(predicates, of(required))))
+    reasons.append((negative, F.exists(negated, lambda x: x)))
     if least_publications:
-        reasons.append(("insufficient_publications", F.exists(publications, lambda n: n < least_publications)))
+        reasons.append((few, F.exists(publications, lambda n: n < least_publications)))
+    if least_strength:
+        enough = of(STRENGTHS[: STRENGTHS.index(least_strength) + 1])
+        reasons.append((weak, F.size(F.array_except(strengths, enough)) > 0))
     return first_reason(reasons)
+
+
+def path_order(how: str, scores: Column, length: Column, digits: int = 4) -> list[Column]:
+    """The keys by which paths are ordered: `shortest` first, the best `evidence` of the weakest
+    edge first, or `composite`, the mean evidence less a twentieth for each hop."""
+    weakest = F.coalesce(F.array_min(scores), F.lit(0.0))
+    mean = F.when(F.size(scores) > 0, F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores)).otherwise(0.0)
+    if how == "shortest":
+        return [length.asc(), weakest.desc()]
+    if how == "evidence":
+        return [weakest.desc(), length.asc()]
+    if how == "composite":
+        return [F.round(mean - 0.05 * length, digits).desc(), length.asc()]
+    raise ValueError(how)
+
+
+def endpoints(ranked: DataFrame, path_ids: tuple[str, ...], k: int, order: list[Column]) -> DataFrame:
+    """The first k candidates (with `path_ids`, an array) that one of the given paths supports:
+    from these an explanation fans out. k is small, so the ids may come to the driver."""
+    return top(ranked.where(F.arrays_overlap("path_ids", F.array(*[F.lit(p) for p in path_ids]))), order, k)
+
+
+def attached(candidates: DataFrame, paths: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(candidates with n_paths, the paths that reach no candidate)."""
+    per = paths.groupBy(key).agg(F.count(F.lit(1)).alias("n_paths"))
+    return candidates.join(per, key, "left").withColumn("n_paths", F.coalesce("n_paths", F.lit(0))), paths.join(candidates.select(key), key, "left_anti")

@@ -58,3 +58,23 @@ def reading_prefix(df: DataFrame, group: list[str], order: list[Column], support
     first = df.withColumn("position", n).where(F.col("position") <= most)
     seen = F.coalesce(F.sum(supports.cast("int")).over(before), F.lit(0))
     return first.withColumn("s_before", seen).where((F.col("position") <= least) | (F.col("s_before") == 0)).drop("s_before")
+
+
+def tie_keys(rule: str, key: str, priority: str = "path_priority", name: str = "name", when: str = "recency", seed: int = 0) -> list[Column]:
+    """The columns that decide between equal scores: by path priority (a missing one last),
+    alphabetically, the newest first, or by a seeded hash; the key makes the order total."""
+    if rule == "path_priority":
+        return [F.coalesce(F.col(priority), F.lit(1_000_000)).asc(), F.col(key)]
+    if rule == "alphabetical":
+        return [F.lower(F.col(name)).asc_nulls_last(), F.col(key)]
+    if rule == "recency":
+        return [F.col(when).desc_nulls_last(), F.col(key)]
+    if rule == "random":
+        return [F.md5(F.concat(F.lit(f"{seed}:"), F.col(key))).asc(), F.col(key)]
+    raise ValueError(rule)
+
+
+def budgeted(edges: DataFrame, key: str, position: list[str], k: int) -> DataFrame:
+    """The first k different keys in the order of their first places."""
+    first = edges.groupBy(key).agg(F.min(F.struct(*position)).alias("first_place"))
+    return top(first, [F.col("first_place"), F.col(key)], k).drop("first_place")

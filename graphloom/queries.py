@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import queries_graph, queries_more
+from . import queries_graph, queries_more, queries_paths
 from .operators import closure, drift, hierarchy, nested
-from .sources import table
+from .sources import spill, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -129,6 +129,37 @@ def gr10_leaves(spark: SparkSession, d: str) -> DataFrame:
     return closure.leaves_below(hierarchy.with_paths(tree, "snapshot_id"), "snapshot_id")
 
 
+def _pathed_facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The predicates' hierarchy, and marks of each by the length of its name and its row."""
+    tree = hierarchy.with_paths(hierarchy.hierarchy(_parents(spark, d), "snapshot_id", "predicate", "parent"), "snapshot_id").where("depth >= 0")
+    rows = table(spark, d, "predicate_parents").select("snapshot_id", _predicate("predicate").alias("node"), F.coalesce("is_deprecated", F.lit(False)).alias("old"), "loaded_at")
+    old = rows.groupBy("snapshot_id", "node").agg(F.max_by("old", F.struct("loaded_at", "old")).alias("is_deprecated"))
+    n = F.length("node")
+    return spill(tree), old.withColumn("is_mixin", n % 3 == 0).withColumn("is_abstract", n % 7 == 0)
+
+
+def gr10_concrete(spark: SparkSession, d: str) -> DataFrame:
+    """How many predicates at or below each one can stand for themselves."""
+    tree, facts = _pathed_facts(spark, d)
+    return closure.concrete(tree, facts, "snapshot_id").groupBy("snapshot_id", "node").agg(F.count(F.lit(1)).alias("n_concrete"))
+
+
+def gr5_satisfies(spark: SparkSession, d: str) -> DataFrame:
+    """GR5-6: whether predicates satisfy their roots, and roots the predicates just below them
+    (a mixin does so through its implementers)."""
+    tree, facts = _pathed_facts(spark, d)
+    pairs = tree.where("depth > 0").select("snapshot_id", F.col("node").alias("have"), F.col("root").alias("want")).union(tree.where("depth = 1").select("snapshot_id", "root", "node")).distinct()
+    mixins = closure.concrete(tree, facts, "snapshot_id").join(facts.where("is_mixin").select("snapshot_id", "node"), ["snapshot_id", "node"]).withColumnRenamed("node", "mixin")
+    return closure.satisfies(tree, pairs, "snapshot_id", mixins)
+
+
+def gr6_family(spark: SparkSession, d: str) -> DataFrame:
+    """The first of some given predicates that each predicate is or stands below."""
+    tree, _ = _pathed_facts(spark, d)
+    roots = tree.where("depth in (1, 2) and n_descendants >= 3").select("snapshot_id", F.col("node").alias("root"), (-F.col("depth")).alias("place"))
+    return closure.family(tree, roots, "snapshot_id")
+
+
 def gr11_inverses(spark: SparkSession, d: str) -> DataFrame:
     """Inverses given one way, both ways."""
     rows = table(spark, d, "predicate_inverses").select("snapshot_id", _predicate("predicate").alias("predicate"), _predicate("inverse_predicate").alias("inverse"), "loaded_at")
@@ -143,7 +174,7 @@ def fil27_scope(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_entries": p1_entries, "p1_log": p1_log, "p3_found": p3_found, "p3_paths": p3_paths, "p3_descendants": p3_descendants, "p5_found": p5_found, "p5_objects": p5_objects, "p5_values": p5_values, "p5_edges": p5_edges, "p5_nodes": p5_nodes, "p5_text_objects": p5_text_objects, "p5_text_members": p5_text_members, "p5_bindings": p5_bindings}
-QUERIES |= {"gr7_ancestors": gr7_ancestors, "gr8_nearest_active": gr8_nearest_active, "gr10_leaves": gr10_leaves, "gr11_inverses": gr11_inverses, "fil27_scope": fil27_scope, **queries_graph.QUERIES, **queries_more.QUERIES}
+QUERIES |= {"gr7_ancestors": gr7_ancestors, "gr8_nearest_active": gr8_nearest_active, "gr10_leaves": gr10_leaves, "gr11_inverses": gr11_inverses, "gr10_concrete": gr10_concrete, "gr5_satisfies": gr5_satisfies, "gr6_family": gr6_family, "fil27_scope": fil27_scope, **queries_graph.QUERIES, **queries_more.QUERIES, **queries_paths.QUERIES}
 
 _FORM = """CASE WHEN {0} IS NULL THEN NULL WHEN b_{0} IN ('', '~') THEN NULL ELSE concat('biolink:', b_{0}) END"""
 _BARE = """regexp_replace(regexp_replace(lower({0}), '^\\s*(biolink:)?\\s*|\\s+$', '', 'g'), '[\\s_-]+', '_', 'g') AS b_{0}"""
@@ -152,6 +183,17 @@ par AS (SELECT snapshot_id, node, max_by(coalesce(parent, ''), (loaded_at, coale
 names AS (SELECT snapshot_id, node FROM par UNION SELECT snapshot_id, parent FROM par WHERE parent <> ''),
 up AS (SELECT snapshot_id, node, node AS anc, 0 AS distance FROM names UNION ALL SELECT up.snapshot_id, up.node, par.parent, distance + 1 FROM up JOIN par ON par.snapshot_id = up.snapshot_id AND par.node = up.anc WHERE par.parent <> '' AND distance < 2000),
 tops AS (SELECT u.snapshot_id, u.node, u.anc AS root, u.distance AS depth FROM up u LEFT JOIN par p ON p.snapshot_id = u.snapshot_id AND p.node = u.anc WHERE coalesce(p.parent, '') = '') """
+_FACTS = """, fact AS (SELECT snapshot_id, node, max_by(coalesce(is_deprecated, false), (loaded_at, coalesce(is_deprecated, false))) AS old FROM (SELECT snapshot_id, {0} AS node, is_deprecated, loaded_at FROM raw_p) GROUP BY ALL),
+ok AS (SELECT u.snapshot_id, u.node, u.anc, u.distance FROM up u SEMI JOIN tops t ON t.snapshot_id = u.snapshot_id AND t.node = u.node),
+real AS (SELECT ok.* FROM ok LEFT JOIN fact f ON f.snapshot_id = ok.snapshot_id AND f.node = ok.node WHERE f.node IS NULL OR NOT (f.old OR length(f.node) % 3 = 0 OR length(f.node) % 7 = 0)) """.replace("{0}", _FORM.format("predicate"))
+_VOCABULARY = {
+    "gr10_concrete": "SELECT snapshot_id, anc AS node, count(*) AS n_concrete FROM real GROUP BY ALL",
+    "gr6_family": ", root AS (SELECT t.snapshot_id, t.node, t.depth FROM tops t WHERE t.depth IN (1, 2) AND (t.snapshot_id, t.node) IN (SELECT (snapshot_id, anc) FROM ok WHERE distance > 0 GROUP BY snapshot_id, anc HAVING count(*) >= 3)) SELECT ok.snapshot_id, ok.node, arg_min(r.node, (-r.depth, r.node)) AS family FROM ok JOIN root r ON r.snapshot_id = ok.snapshot_id AND r.node = ok.anc GROUP BY ALL",
+    "gr5_satisfies": """, pair AS (SELECT snapshot_id, node AS have, root AS want FROM tops WHERE depth > 0 UNION SELECT snapshot_id, root, node FROM tops WHERE depth = 1),
+direct AS (SELECT p.*, o.node IS NOT NULL AS yes FROM pair p LEFT JOIN ok o ON o.snapshot_id = p.snapshot_id AND o.node = p.have AND o.anc = p.want),
+each_one AS (SELECT d.snapshot_id, d.have, d.want, o.node IS NOT NULL AS hit FROM direct d LEFT JOIN fact f ON f.snapshot_id = d.snapshot_id AND f.node = d.have AND length(f.node) % 3 = 0 LEFT JOIN real r ON r.snapshot_id = f.snapshot_id AND r.anc = f.node LEFT JOIN ok o ON o.snapshot_id = r.snapshot_id AND o.node = r.node AND o.anc = d.want WHERE NOT d.yes)
+SELECT snapshot_id, have, want, true AS is_satisfied FROM direct WHERE yes UNION ALL SELECT snapshot_id, have, want, bool_and(hit) FROM each_one GROUP BY ALL""",
+}
 _DRIFT_CTE = """WITH RECURSIVE lines AS (SELECT file_id, line_no, try_cast(regexp_replace(raw_line, '^\ufeff+', '') AS JSON) AS j FROM dump_lines),
 obj AS (SELECT * FROM lines WHERE json_type(j) = 'OBJECT'),
 keyed AS (SELECT file_id, line_no, j, unnest(json_keys(j)) AS name FROM obj),
@@ -208,7 +250,8 @@ SELECT store_id, file_no, dumped_at, CAST(row_number() OVER (PARTITION BY file_i
     "p1_entries": _DRIFT_CTE + _UNION,
     **queries_graph.SQL,
     **queries_more.SQL,
-    "p3_found": _TREE.replace("AND distance < 2000", "AND distance < 2000") + f""", raw_i AS (SELECT *, {_BARE.format('predicate')}, {_BARE.format('inverse_predicate')} FROM predicate_inverses),
+    **queries_paths.SQL,
+    "p3_found": _TREE + f""", raw_i AS (SELECT *, {_BARE.format('predicate')}, {_BARE.format('inverse_predicate')} FROM predicate_inverses),
 inv AS (SELECT snapshot_id, node, max_by(coalesce(other, ''), (loaded_at, coalesce(other, ''))) AS other FROM (SELECT snapshot_id, {_FORM.format('predicate')} AS node, {_FORM.format('inverse_predicate')} AS other, loaded_at FROM raw_i) GROUP BY ALL),
 walk AS (SELECT snapshot_id, node, other AS cur, 1 AS n FROM inv WHERE other <> '' UNION ALL SELECT w.snapshot_id, w.node, i.other, n + 1 FROM walk w JOIN inv i ON i.snapshot_id = w.snapshot_id AND i.node = w.cur WHERE i.other <> '' AND w.cur <> w.node AND n < 200)
 SELECT n.snapshot_id, 'parent' AS link_kind, n.node AS predicate, coalesce(t.root, '') AS root_predicate, CAST(coalesce(t.depth, -1) AS INT) AS node_depth FROM names n LEFT JOIN tops t USING (snapshot_id, node)
@@ -226,5 +269,6 @@ SELECT up.snapshot_id, up.node, min_by(up.anc, up.distance) AS active FROM up JO
     "gr11_inverses": f"""WITH raw_i AS (SELECT *, {_BARE.format('predicate')}, {_BARE.format('inverse_predicate')} FROM predicate_inverses),
 inv AS (SELECT snapshot_id, node, max_by(coalesce(other, ''), (loaded_at, coalesce(other, ''))) AS other FROM (SELECT snapshot_id, {_FORM.format('predicate')} AS node, {_FORM.format('inverse_predicate')} AS other, loaded_at FROM raw_i) GROUP BY ALL)
 SELECT snapshot_id, node AS predicate, other AS inverse FROM inv WHERE other <> '' UNION SELECT snapshot_id, other, node FROM inv WHERE other <> ''""",
+    **{n: _TREE + _FACTS + q for n, q in _VOCABULARY.items()},
     "fil27_scope": _TREE + "SELECT t.snapshot_id, t.node AS predicate, t.root FROM tops t WHERE (t.snapshot_id, t.root) IN (SELECT (snapshot_id, root) FROM tops GROUP BY snapshot_id, root HAVING count(*) >= 11)",
 }

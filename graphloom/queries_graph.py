@@ -173,22 +173,10 @@ def prj25_redacted(spark: SparkSession, d: str) -> DataFrame:
     return q.select("doc_id", A.digest(F.col("text"), "pepper").alias("digest"))
 
 
-@query("""SELECT id, min_by(label, precedence) AS label FROM (
-  SELECT id, name AS label, 1 AS precedence FROM nodes WHERE category = 'Part' UNION ALL SELECT object, concat('object of ', min(edge_id)), 2 FROM edges WHERE predicate IN ('x:supplies', 'x:located_in') GROUP BY object
-  UNION ALL SELECT subject, concat('subject of ', min(edge_id)), 3 FROM edges WHERE predicate IN ('x:supplies', 'x:located_in') GROUP BY subject) GROUP BY id""")
-def prj26_label_index(spark: SparkSession, d: str) -> DataFrame:
-    """One label for each id, from the best of several sources."""
-    e = edges(spark, d, "x:supplies", "x:located_in")
-    own = nodes(spark, d).where("category = 'Part'").select("id", F.col("name").alias("label"), F.lit(1).alias("precedence"))
-    o = e.groupBy(F.col("object").alias("id")).agg(F.concat(F.lit("object of "), F.min("edge_id")).alias("label")).withColumn("precedence", F.lit(2))
-    s = e.groupBy(F.col("subject").alias("id")).agg(F.concat(F.lit("subject of "), F.min("edge_id")).alias("label")).withColumn("precedence", F.lit(3))
-    return own.unionByName(o).unionByName(s).groupBy("id").agg(F.min_by("label", "precedence").alias("label"))
-
-
 @query("""SELECT id, min_by(label, precedence) AS label FROM (
   SELECT id, name AS label, 1 AS precedence FROM nodes WHERE name IS NOT NULL UNION ALL SELECT object, concat('object of ', min(edge_id)), 2 FROM edges GROUP BY object
   UNION ALL SELECT subject, concat('subject of ', min(edge_id)), 3 FROM edges GROUP BY subject) GROUP BY id""")
-def prj26_label_index_all(spark: SparkSession, d: str) -> DataFrame:
+def prj26_label_index(spark: SparkSession, d: str) -> DataFrame:
     """One label for each id of all nodes and all edges, from the best of several sources."""
     e = edges(spark, d)
     own = nodes(spark, d).where("name is not null").select("id", F.col("name").alias("label"), F.lit(1).alias("precedence"))
@@ -263,32 +251,9 @@ def fil15_strength(spark: SparkSession, d: str) -> DataFrame:
     return e.groupBy("predicate", S.strength(F.col("knowledge_level"), F.col("agent_type"), F.col("num_publications"), F.col("primary_source")).alias("strength")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT doc_id, lang FROM documents WHERE journal_id IS NULL OR journal_id IN (SELECT journal_id FROM journals WHERE home_lang IS NULL OR home_lang = 'en')""", views=False)
-def fil16_taxon_filter(spark: SparkSession, d: str) -> DataFrame:
-    """A filter by group that keeps records that name no group."""
-    ok = table(spark, d, "journals").where("home_lang is null or home_lang = 'en'").select("journal_id")
-    docs = table(spark, d, "documents").select("doc_id", "lang", "journal_id")
-    return docs.where("journal_id is null").select("doc_id", "lang").unionByName(docs.join(ok, "journal_id", "left_semi").select("doc_id", "lang"))
-
-
-@query("""SELECT name, id, category FROM (SELECT name, id, category, bool_or(category IN ('Order', 'Nation')) OVER (PARTITION BY name) AS any_fits, category IN ('Order', 'Nation') AS fits FROM nodes) WHERE fits OR NOT any_fits""")
-def fil17_category_fallback(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of an accepted category; where a name has none, all its candidates."""
-    n = nodes(spark, d).withColumn("fits", F.col("category").isin("Order", "Nation"))
-    fitting = n.where("fits").select("name").distinct()
-    return n.where("fits").select("name", "id", "category").unionByName(n.where("not fits").join(fitting, "name", "left_anti").select("name", "id", "category"))
-
-
-@query("""SELECT event_type, CASE WHEN event_type IN ('click', 'view') THEN 'up' WHEN event_type IN ('error') THEN 'down' ELSE 'none' END AS direction, count(*) AS n FROM events GROUP BY ALL""", views=False)
-def fil18_direction(spark: SparkSession, d: str) -> DataFrame:
-    """Records split by direction, by sets of synonyms."""
-    t = F.col("event_type")
-    return table(spark, d, "events").groupBy("event_type", F.when(t.isin("click", "view"), "up").when(t.isin("error"), "down").otherwise("none").alias("direction")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""SELECT doc_id, CASE WHEN text IS NULL OR length(trim(text)) < 3 THEN 'too_short' WHEN length(trim(text)) > 600 THEN 'too_long' WHEN regexp_matches(lower(text), '(ignore|disregard) (all|previous)|<\\|endoftext\\|>|<s>') THEN 'control' ELSE 'ok' END AS verdict FROM documents WHERE doc_kind = 'question'""", views=False)
 def fil23_text_screen(spark: SparkSession, d: str) -> DataFrame:
-    """FIL23-26: ordered screens of submitted text by length and patterns."""
+    """Ordered screens of submitted text by length and patterns."""
     q = table(spark, d, "documents").where("doc_kind = 'question'")
     n = F.length(F.trim("text"))
     bad = F.lower("text").rlike(r"(ignore|disregard) (all|previous)|<\|endoftext\|>|<s>")
@@ -312,15 +277,17 @@ def join1_one_hop(spark: SparkSession, d: str) -> DataFrame:
     return match.match(edges(spark, d, "x:placed"), plan, nodes(spark, d))
 
 
-@query(f"""SELECT a.subject AS customer, a.object AS purchase, b.object AS part, c.subject AS supplier, a.edge_id AS edge_1, b.edge_id AS edge_2, c.edge_id AS edge_3
-FROM edges a JOIN edges b ON b.subject = a.object JOIN edges c ON c.object = b.object WHERE a.predicate = 'x:placed' AND b.predicate = 'x:contains' AND c.predicate = 'x:supplies' AND a.subject = '{CUSTOMER}'""")
+@query(f""", a AS MATERIALIZED (SELECT edge_id, subject, object FROM edges WHERE predicate = 'x:placed' AND subject = '{CUSTOMER}'), b AS MATERIALIZED (SELECT edge_id, subject, object FROM edges WHERE predicate = 'x:contains'), c AS MATERIALIZED (SELECT edge_id, subject, object FROM edges WHERE predicate = 'x:supplies'),
+ab AS MATERIALIZED (SELECT a.subject AS customer, a.object AS purchase, b.object AS part, a.edge_id AS edge_1, b.edge_id AS edge_2 FROM a JOIN b ON b.subject = a.object)
+SELECT ab.customer, ab.purchase, ab.part, c.subject AS supplier, edge_1, edge_2, c.edge_id AS edge_3 FROM ab JOIN c ON c.object = ab.part""")
 def join2_chain(spark: SparkSession, d: str) -> DataFrame:
     """JOIN2-3: three hops from a pinned node."""
     return match.match(edges(spark, d, "x:placed", "x:contains", "x:supplies"), CHAIN, nodes(spark, d))
 
 
-@query("""SELECT a.subject AS supplier, a.object AS purchase, b.object AS part, a.edge_id AS edge_1, b.edge_id AS edge_2, c.edge_id AS edge_3
-FROM edges a JOIN edges b ON b.subject = a.object JOIN edges c ON c.object = b.object AND c.subject = a.subject WHERE a.predicate = 'x:fulfils' AND b.predicate = 'x:contains' AND c.predicate = 'x:supplies' AND a.subject = 'SUPP:3'""")
+@query(""", a AS MATERIALIZED (SELECT edge_id, subject, object FROM edges WHERE predicate = 'x:fulfils' AND subject = 'SUPP:3'), b AS MATERIALIZED (SELECT edge_id, subject, object FROM edges WHERE predicate = 'x:contains'), c AS MATERIALIZED (SELECT edge_id, subject, object FROM edges WHERE predicate = 'x:supplies' AND subject = 'SUPP:3'),
+ab AS MATERIALIZED (SELECT a.subject AS supplier, a.object AS purchase, b.object AS part, a.edge_id AS edge_1, b.edge_id AS edge_2 FROM a JOIN b ON b.subject = a.object)
+SELECT ab.supplier, ab.purchase, ab.part, edge_1, edge_2, c.edge_id AS edge_3 FROM ab JOIN c ON c.object = ab.part AND c.subject = ab.supplier""")
 def join4_closing_hop(spark: SparkSession, d: str) -> DataFrame:
     """A triangle: the last hop joins on both of its ends."""
     return match.match(edges(spark, d, "x:fulfils", "x:contains", "x:supplies"), TRIANGLE)
@@ -372,13 +339,18 @@ def join12_orphans(spark: SparkSession, d: str) -> DataFrame:
     return nodes(spark, d).join(used, "id", "left_anti").select("id", "category")
 
 
-@query("""SELECT s.string_id, d.doc_id FROM (SELECT DISTINCT string_id, pubid, string_text FROM lexicon_strings WHERE lexicon_field = 'verified_quotes' AND pubid IS NOT NULL) s JOIN documents d USING (pubid)
-WHERE length(trim(regexp_replace(lower(s.string_text), '\\s+', ' ', 'g'))) >= 15 AND contains(trim(regexp_replace(lower(d.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(s.string_text), '\\s+', ' ', 'g')))""", views=False)
+_LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_QUOTES = f"concat(replace(translate(substring(text, cast(length(text) / 3 as int) + 1, 40), '{_LOWER}', '{_UPPER}'), ' ', '  '), case when doc_id % 3 = 0 then ' zq' else '' end)"
+
+
+@query(f"""WITH q AS (SELECT doc_id AS quote_id, pubid, trim(regexp_replace(translate({_QUOTES.replace('length(text) / 3', 'length(text) // 3')}, '{_UPPER}', '{_LOWER}'), '\\s+', ' ', 'g'), ' ') AS quote FROM documents WHERE pubid IS NOT NULL AND text IS NOT NULL)
+SELECT DISTINCT quote_id, doc_id FROM q JOIN documents d USING (pubid) WHERE length(quote) >= 15 AND contains(trim(regexp_replace(translate(text, '{_UPPER}', '{_LOWER}'), '\\s+', ' ', 'g'), ' '), quote)""", views=False)
 def join17_quotes(spark: SparkSession, d: str) -> DataFrame:
-    """Quotes that stand in the publication they name, in either spelling of case and blanks."""
-    quotes = table(spark, d, "lexicon_strings").where("lexicon_field = 'verified_quotes' and pubid is not null").select("string_id", "pubid", A.normal_text(F.col("string_text")).alias("quote")).distinct().where(F.length("quote") >= 15)
-    docs = table(spark, d, "documents").where("pubid is not null").select("doc_id", "pubid", A.normal_text(F.col("text")).alias("body"))
-    return quotes.join(docs, "pubid").where(F.contains("body", F.col("quote"))).select("string_id", "doc_id").distinct()
+    """Quotes that stand in the publication they name, whatever their case and blanks: stretches
+    of all documents in other case and with wider blanks, a third of them with a word put in."""
+    docs = table(spark, d, "documents").where("pubid is not null and text is not null").select("doc_id", "pubid", "text")
+    quotes = docs.selectExpr("doc_id as quote_id", "pubid", f"{_QUOTES} as quote")
+    return match.quoted(quotes, docs, "pubid")
 
 
 # ---- paths -------------------------------------------------------------------------------
@@ -402,18 +374,6 @@ def gr2_route_variants(spark: SparkSession, d: str) -> DataFrame:
     return paths.distinct_routes(p).select(A.path_description(F.col("nodes"), F.col("predicates")).alias("route"), "variant_count")
 
 
-@query("""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN a.negated OR b.negated THEN 'negated_edge' WHEN least(a.num_publications, b.num_publications) < 1 THEN 'insufficient_publications' WHEN coalesce(a.knowledge_level, '') = 'prediction' AND coalesce(b.knowledge_level, '') = 'prediction' THEN 'weak_edge' ELSE 'kept' END AS reason
-FROM edges a JOIN edges b ON a.object = b.object WHERE a.predicate = 'x:supplies' AND b.predicate = 'x:supplies' AND a.subject = 'SUPP:1' AND b.subject = 'SUPP:2') GROUP BY reason""")
-def fil19_path_reasons(spark: SparkSession, d: str) -> DataFrame:
-    """FIL19-20, GR15: the first reason for which each path is withheld."""
-    e = edges(spark, d, "x:supplies")
-    a = e.where("subject = 'SUPP:1'").select("object", *[F.col(c).alias(f"a_{c}") for c in ("negated", "num_publications", "knowledge_level")])
-    b = e.where("subject = 'SUPP:2'").select("object", *[F.col(c).alias(f"b_{c}") for c in ("negated", "num_publications", "knowledge_level")])
-    weak = lambda c: F.coalesce(F.col(c), F.lit("")) == "prediction"
-    reason = rules.first_reason([("negated_edge", F.col("a_negated") | F.col("b_negated")), ("insufficient_publications", F.least("a_num_publications", "b_num_publications") < 1), ("weak_edge", weak("a_knowledge_level") & weak("b_knowledge_level"))])
-    return a.join(b, "object").groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-
-
 # ---- aggregates --------------------------------------------------------------------------
 
 
@@ -436,7 +396,7 @@ BUCKET_SQL = "CASE WHEN num_publications = 0 THEN '0' WHEN num_publications = 1
 
 @query(f"""SELECT facet, value, count(*) AS n FROM (SELECT unnest([{{'facet': 'level', 'value': coalesce(knowledge_level, 'not_provided')}}, {{'facet': 'agent', 'value': coalesce(agent_type, 'not_provided')}}, {{'facet': 'primary', 'value': coalesce(primary_source, 'none')}}, {{'facet': 'publications', 'value': {BUCKET_SQL}}}, {{'facet': 'decile', 'value': CAST(CAST(floor({SCORE_SQL} * 10) AS INT) AS VARCHAR)}}, {{'facet': 'negated', 'value': CASE WHEN negated THEN 'true' ELSE 'false' END}}], recursive := true) FROM edges) GROUP BY facet, value""")
 def agg4_distribution(spark: SparkSession, d: str) -> DataFrame:
-    """AGG4, AGG10-11: the evidence of all edges by several facets, in one pass."""
+    """The evidence of all edges by several facets, in one pass."""
     e = scored(edges(spark, d))
     n = F.col("num_publications")
     bucket = F.when(n == 0, "0").when(n == 1, "1").when(n <= 4, "2-4").when(n <= 9, "5-9").otherwise("10+")
@@ -483,7 +443,7 @@ def agg13_literature(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT kind, status, count(*) AS n, round(avg(elapsed_s), 4) AS mean_elapsed, round(median(elapsed_s), 4) AS median_elapsed, max(elapsed_s) AS max_elapsed FROM cache_entries GROUP BY kind, status""", views=False)
 def agg16_run_stats(spark: SparkSession, d: str) -> DataFrame:
-    """AGG16-18: runs by kind and status with their times."""
+    """AGG16-17: runs by kind and status with their times."""
     return table(spark, d, "cache_entries").groupBy("kind", "status").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("elapsed_s"), 4).alias("mean_elapsed"), F.round(F.median("elapsed_s"), 4).alias("median_elapsed"), F.max("elapsed_s").alias("max_elapsed"))
 
 
@@ -495,20 +455,9 @@ def agg8_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return g.select("run_id", "n_attempts", rules.first_reason([("accepted", F.col("a")), ("unreadable", F.col("p")), ("inconclusive", F.col("u"))], "rejected").alias("verdict"))
 
 
-@query("""SELECT token, count(DISTINCT kind) AS n_kinds FROM (SELECT 'id' AS kind, id AS token FROM nodes WHERE category <> 'Order' UNION ALL SELECT 'label', name FROM nodes WHERE category <> 'Order' UNION ALL SELECT 'predicate', predicate FROM edges UNION ALL SELECT 'source', primary_source FROM edges WHERE primary_source IS NOT NULL) GROUP BY token""")
-def agg20_lexicon(spark: SparkSession, d: str) -> DataFrame:
-    """AGG20, CTL22: every token an answer may use, from all places that give one."""
-    n, e = nodes(spark, d).where("category != 'Order'"), edges(spark, d)
-    parts = [n.select(F.lit("id").alias("kind"), F.col("id").alias("token")), n.select(F.lit("label"), "name"), e.select(F.lit("predicate"), "predicate").distinct(), e.where("primary_source is not null").select(F.lit("source"), "primary_source").distinct()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.groupBy("token").agg(F.count_distinct("kind").alias("n_kinds"))
-
-
 @query("""SELECT token, count(DISTINCT kind) AS n_kinds FROM (SELECT 'id' AS kind, id AS token FROM nodes UNION ALL SELECT 'label', name FROM nodes WHERE name IS NOT NULL UNION ALL SELECT 'predicate', predicate FROM edges UNION ALL SELECT 'source', primary_source FROM edges WHERE primary_source IS NOT NULL) GROUP BY token""")
-def agg20_lexicon_all(spark: SparkSession, d: str) -> DataFrame:
-    """AGG20, CTL22: ids and names of all nodes, predicates and sources of all edges."""
+def agg20_lexicon(spark: SparkSession, d: str) -> DataFrame:
+    """The tokens of ids and names of all nodes, and of predicates and sources of all edges."""
     n, e = nodes(spark, d), edges(spark, d)
     parts = [n.select(F.lit("id").alias("kind"), F.col("id").alias("token")), n.where("name is not null").select(F.lit("label"), "name"), e.select(F.lit("predicate"), "predicate").distinct(), e.where("primary_source is not null").select(F.lit("source"), "primary_source").distinct()]
     out = parts[0]
@@ -553,7 +502,7 @@ def win5_preference(spark: SparkSession, d: str) -> DataFrame:
 @query(f""", s AS (SELECT subject, object, edge_id, {SCORE_SQL} AS score FROM edges WHERE predicate = 'x:supplies')
 SELECT subject, edge_id, score, CAST(rank AS INT) AS rank FROM (SELECT subject, edge_id, score, row_number() OVER (PARTITION BY subject ORDER BY score DESC, edge_id) AS rank FROM s) WHERE rank <= 3""")
 def win9_best_edges(spark: SparkSession, d: str) -> DataFrame:
-    """WIN9, WIN13: the three best edges of every supplier."""
+    """The three best edges of every supplier."""
     return ranking.top_in_groups(scored(edges(spark, d, "x:supplies")).select("subject", "edge_id", "score"), ["subject"], [F.col("score").desc(), F.col("edge_id")], 3)
 
 
@@ -590,7 +539,10 @@ def win14_window_counts(spark: SparkSession, d: str) -> DataFrame:
     return t.select("event_id", "user_id", F.count(F.lit(1)).over(w).alias("n_in_window"))
 
 
-@query()
+@query("""WITH RECURSIVE n AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE ts IS NOT NULL),
+r AS (SELECT event_id, user_id, i, true AS ok, 0.0::DOUBLE AS retry, CAST(NULL AS BIGINT) AS h1, t AS h2 FROM n WHERE i = 1
+ UNION ALL SELECT n.event_id, n.user_id, n.i, r.h1 IS NULL OR r.h1 < n.t - 3600000000, CASE WHEN r.h1 IS NULL OR r.h1 < n.t - 3600000000 THEN 0.0 ELSE (r.h1 + 3600000000 - n.t) / 1000000.0 END, CASE WHEN r.h1 IS NULL OR r.h1 < n.t - 3600000000 THEN r.h2 ELSE r.h1 END, CASE WHEN r.h1 IS NULL OR r.h1 < n.t - 3600000000 THEN n.t ELSE r.h2 END FROM r JOIN n ON n.user_id IS NOT DISTINCT FROM r.user_id AND n.i = r.i + 1)
+SELECT event_id, user_id, ok AS is_admitted, CAST(retry AS DOUBLE) AS retry_after_s FROM r UNION ALL SELECT event_id, user_id, false, NULL FROM events WHERE ts IS NULL""", views=False)
 def str1_admitted(spark: SparkSession, d: str) -> DataFrame:
     """Requests that a sliding limit admits: refused ones take no place in the window."""
     from .streaming.ratelimit import admitted

@@ -30,14 +30,6 @@ def query(sql: str | None = None, views: bool = True):
     return add
 
 
-@query("""SELECT entry_id, json_valid(request_json) AND list_sort(json_keys(request_json)) = ['endpoint', 'query_graph'] AS is_accepted FROM (SELECT DISTINCT entry_id, request_json FROM cache_entries WHERE starts_with(request_json, '{'))""", views=False)
-def src16_strict_requests(spark: SparkSession, d: str) -> DataFrame:
-    """Request bodies with exactly the allowed members; an unknown one refuses the body."""
-    body = table(spark, d, "cache_entries").where(F.startswith("request_json", F.lit("{"))).select("entry_id", "request_json").distinct()
-    keys = F.array_sort(F.json_object_keys("request_json"))
-    return body.select("entry_id", F.coalesce(keys == F.array(F.lit("endpoint"), F.lit("query_graph")), F.lit(False)).alias("is_accepted"))
-
-
 def _is_request(raw: str) -> bool:
     """Whether a body, or the JSON text that it holds as a string, is an object with exactly the allowed members."""
     pairs = type("Pairs", (list,), {})
@@ -54,8 +46,10 @@ def _refuse(_: str):
     raise ValueError("no JSON")
 
 
-@query(views=False)
-def src16_all_requests(spark: SparkSession, d: str) -> DataFrame:
+@query("""WITH RECURSIVE body AS (SELECT DISTINCT entry_id, request_json FROM cache_entries WHERE request_json IS NOT NULL),
+un AS (SELECT entry_id, request_json, try_cast(ltrim(request_json, chr(65279)) AS JSON) AS j FROM body UNION ALL SELECT entry_id, request_json, try_cast(j ->> '$' AS JSON) FROM un WHERE json_type(j) = 'VARCHAR')
+SELECT entry_id, coalesce(CASE WHEN json_type(j) = 'OBJECT' THEN list_sort(json_keys(j)) = ['endpoint', 'query_graph'] END, false) AS is_accepted FROM un WHERE json_type(j) IS DISTINCT FROM 'VARCHAR'""", views=False)
+def src16_strict_requests(spark: SparkSession, d: str) -> DataFrame:
     """Every request body that is not null, accepted or refused; a string that holds JSON is what it holds."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,14 +61,6 @@ def src16_all_requests(spark: SparkSession, d: str) -> DataFrame:
     return body.mapInArrow(judge, "entry_id bigint, request_json string, is_accepted boolean").drop("request_json")
 
 
-@query("""SELECT doc_id, CASE WHEN home_lang IS NULL THEN 'absent' WHEN lang IS NULL THEN 'unknown' WHEN lower(trim(lang)) = home_lang THEN CASE WHEN lang = home_lang THEN 'match' ELSE 'label_drift' END ELSE 'drift' END AS verdict FROM documents LEFT JOIN journals USING (journal_id)""", views=False)
-def fil22_concept_check(spark: SparkSession, d: str) -> DataFrame:
-    """Whether a record's label agrees with the label of what it is anchored to."""
-    docs = table(spark, d, "documents").select("doc_id", "lang", "journal_id").join(table(spark, d, "journals").select("journal_id", "home_lang"), "journal_id", "left")
-    same = F.lower(F.trim("lang")) == F.col("home_lang")
-    return docs.select("doc_id", rules.first_reason([("absent", F.col("home_lang").isNull()), ("unknown", F.col("lang").isNull()), ("match", F.col("lang") == F.col("home_lang")), ("label_drift", same)], "drift").alias("verdict"))
-
-
 @query("""SELECT entry_id, CASE WHEN regexp_matches(coalesce(error_message, ''), '(?i)time ?out') THEN 'timeout' WHEN coalesce(error_message, '') <> '' THEN 'error' WHEN response_blob IS NULL THEN 'lost' WHEN coalesce(num_results, 0) = 0 THEN 'empty' WHEN contains(coalesce(meta_json, ''), '"truncated": true') THEN 'partial' ELSE 'success' END AS outcome, status FROM cache_entries""", views=False)
 def fil29_outcomes(spark: SparkSession, d: str) -> DataFrame:
     """What each run came to by its content, beside the status it was given."""
@@ -84,15 +70,8 @@ def fil29_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return c.select("entry_id", outcome.alias("outcome"), "status")
 
 
-@query("""SELECT DISTINCT fetched_at, coalesce(try_cast(fetched_at AS TIMESTAMPTZ) < TIMESTAMPTZ '2031-06-01 00:00:00+00', true) AS is_stale FROM cache_entries WHERE regexp_matches(fetched_at, '^\\d{4}-\\d\\d-\\d\\dT[0-9:.]+([+]00:00)?$') OR fetched_at IS NULL""", views=False)
-def fil31_stale(spark: SparkSession, d: str) -> DataFrame:
-    """Times before a date; one that is missing counts as stale."""
-    t = table(spark, d, "cache_entries").where(F.col("fetched_at").rlike(r"^\d{4}-\d\d-\d\dT[0-9:.]+([+]00:00)?$") | F.col("fetched_at").isNull()).select("fetched_at").distinct()
-    return t.select("fetched_at", F.coalesce(F.try_to_timestamp("fetched_at") < F.lit("2031-06-01 00:00:00").cast("timestamp"), F.lit(True)).alias("is_stale"))
-
-
 @query("""SELECT DISTINCT fetched_at, coalesce(CASE WHEN regexp_matches(fetched_at, '^\\s*\\d{4}-') THEN try_cast(fetched_at AS TIMESTAMPTZ) END < TIMESTAMPTZ '2031-06-01 00:00:00+00', true) AS is_stale FROM cache_entries""", views=False)
-def fil31_stale_all(spark: SparkSession, d: str) -> DataFrame:
+def fil31_stale(spark: SparkSession, d: str) -> DataFrame:
     """Times before a date in all spellings; one that is missing or cannot be read counts as stale."""
     t = table(spark, d, "cache_entries").select("fetched_at").distinct()
     at = F.when(F.col("fetched_at").rlike(r"^\s*\d{4}-"), F.try_to_timestamp("fetched_at"))
@@ -116,17 +95,9 @@ def join13_manifest(spark: SparkSession, d: str) -> DataFrame:
     return f.select("file_id", rules.first_reason([("empty", F.col("n").isNull()), ("unknown_store", F.col("store_id").isNull())], "ok").alias("verdict"), F.coalesce("n", F.lit(0)).alias("n_lines"))
 
 
-@query("""SELECT CASE WHEN c.run_id IS NULL THEN 'unattached' ELSE 'attached' END AS state, count(*) AS n FROM plan_attempt p LEFT JOIN (SELECT DISTINCT run_id FROM decision_attempt WHERE accepted) c USING (run_id) GROUP BY 1""", views=False)
-def join14_attached(spark: SparkSession, d: str) -> DataFrame:
-    """Records attached to ranked ones by their key; the rest is kept as unattached."""
-    c = table(spark, d, "decision_attempt").where("accepted").select("run_id").distinct().withColumn("hit", F.lit(True))
-    p = table(spark, d, "plan_attempt").select("run_id").join(c, "run_id", "left")
-    return p.groupBy(F.when(F.col("hit").isNull(), "unattached").otherwise("attached").alias("state")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""SELECT result_id, count(*) AS n_strings, count(DISTINCT pubid) AS n_publications, max(pubid) AS last_publication FROM lexicon_strings GROUP BY result_id""", views=False)
 def join15_literature(spark: SparkSession, d: str) -> DataFrame:
-    """JOIN15, AGG10-11: what has been read for each result."""
+    """What has been read for each result."""
     return table(spark, d, "lexicon_strings").groupBy("result_id").agg(F.count(F.lit(1)).alias("n_strings"), F.count_distinct("pubid").alias("n_publications"), F.max("pubid").alias("last_publication"))
 
 
