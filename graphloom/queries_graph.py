@@ -532,11 +532,9 @@ def win12_reading(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 3600 SECOND PRECEDING AND CURRENT ROW) AS n_in_window FROM events""", views=False)
 def win14_window_counts(spark: SparkSession, d: str) -> DataFrame:
     """Requests of each caller in the hour up to each request."""
-    from pyspark.sql import Window
+    from .streaming.ratelimit import window_counts
 
-    t = table(spark, d, "events")
-    w = Window.partitionBy("user_id").orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-3600 * 1000000, 0)
-    return t.select("event_id", "user_id", F.count(F.lit(1)).over(w).alias("n_in_window"))
+    return window_counts(table(spark, d, "events"), "user_id", "ts", "event_id", 3600)
 
 
 @query("""WITH RECURSIVE n AS (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events WHERE ts IS NOT NULL),

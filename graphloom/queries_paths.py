@@ -53,13 +53,15 @@ RULE_SETS = {
     "listed": {"allowed": ("x:supplies", "x:fulfils")},
     "required": {"banned": ("x:fulfils",), "required": ("x:contains",)},
     "evidence": {"least_publications": 1, "least_strength": "moderate"},
+    "strength": {"least_strength": "strong"},
 }
-_STRONG = list(STRENGTHS[: STRENGTHS.index("moderate") + 1])
+_STRONG = {n: list(STRENGTHS[: STRENGTHS.index(n) + 1]) for n in ("strong", "moderate")}
 _DROP = {
     "middles": f"WHEN NOT list_has_all({list(_BRANDS)}, mids) THEN 'middle_category_not_allowed' WHEN list_has_any(mids, ['Brand#3']) THEN 'middle_category_excluded' WHEN list_bool_or(neg) THEN 'negated_edge'",
     "listed": "WHEN NOT list_has_all(['x:supplies', 'x:fulfils'], preds) THEN 'predicate_not_whitelisted' WHEN list_bool_or(neg) THEN 'negated_edge'",
     "required": "WHEN list_has_any(preds, ['x:fulfils']) THEN 'predicate_blacklisted' WHEN NOT list_has_any(preds, ['x:contains']) THEN 'required_predicate_absent' WHEN list_bool_or(neg) THEN 'negated_edge'",
-    "evidence": f"WHEN list_bool_or(neg) THEN 'negated_edge' WHEN list_min(pubs) < 1 THEN 'insufficient_publications' WHEN NOT list_has_all({_STRONG}, strengths) THEN 'weak_edge'",
+    "evidence": f"WHEN list_bool_or(neg) THEN 'negated_edge' WHEN list_min(pubs) < 1 THEN 'insufficient_publications' WHEN NOT list_has_all({_STRONG['moderate']}, strengths) THEN 'weak_edge'",
+    "strength": f"WHEN list_bool_or(neg) THEN 'negated_edge' WHEN NOT list_has_all({_STRONG['strong']}, strengths) THEN 'weak_edge'",
 }
 
 

@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,19 +57,44 @@ _written: list[tuple[SparkSession, str]] = []
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+_held: list[int] = []
+_lock = threading.Lock()
+_before: list[str] = []
+
+
+@contextmanager
+def _small_batches(spark: SparkSession, rows: int | None):
+    """The session's batch size is the least that the writes now running ask for; the last one
+    to end puts back what was set before. It changes no result, only memory."""
+    if not rows:
+        yield
+        return
+
+    def settle() -> None:
+        own = int(_before[0])
+        spark.conf.set(_BATCH, str(min([*_held, *([own] if own > 0 else [])])) if _held else _before[0])
+
+    with _lock:
+        if not _held:
+            _before[:] = [spark.conf.get(_BATCH)]
+        _held.append(rows)
+        settle()
+    try:
+        yield
+    finally:
+        with _lock:
+            _held.remove(rows)
+            settle()
+
+
 def spill(df: DataFrame, with_path: bool = False, batch_rows: int | None = None):
     """Write `df` to the shared folder and read it back. Empty tables keep their schema.
     batch_rows: rows that go to a Python worker at once while it is written; fewer for long
     texts, of which a worker and its executor hold several copies."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}"
-    before = spark.conf.get(_BATCH)
-    try:
-        if batch_rows:
-            spark.conf.set(_BATCH, min(batch_rows, int(before)) if int(before) > 0 else batch_rows)
+    with _small_batches(spark, batch_rows):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(_BATCH, before)
     _written.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     return (out, path) if with_path else out

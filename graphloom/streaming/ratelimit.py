@@ -12,10 +12,25 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def window_counts(requests: DataFrame, caller: str, at: str, key: str, window_s: int) -> DataFrame:
+    """(key, caller, n_in_window): requests of the caller in the window_s seconds up to each
+    request, both ends included. Time is cut into stretches of a window; each is counted with
+    the one before it, so that a hot caller is as many groups as there are stretches. A null
+    caller is a caller; a request without a time has a null count."""
+    us, width = F.unix_micros(F.col(at).cast("timestamp")), window_s * 1_000_000
+    rows = requests.select(F.col(key).alias("k"), F.col(caller).alias("c"), us.alias("t"))
+    timed = rows.where("t is not null").withColumn("stretch", F.floor(F.col("t") / width))
+    both = timed.withColumn("own", F.lit(True)).unionByName(timed.withColumn("stretch", F.col("stretch") + 1).withColumn("own", F.lit(False)))
+    w = Window.partitionBy("c", "stretch").orderBy("t").rangeBetween(-width, 0)
+    counted = both.withColumn("n_in_window", F.count(F.lit(1)).over(w)).where("own")
+    out = counted.select("k", "c", "n_in_window").unionByName(rows.where("t is null").select("k", "c", F.lit(None).cast("bigint").alias("n_in_window")))
+    return out.select(F.col("k").alias(key), F.col("c").alias(caller), "n_in_window")
+
+
 def admitted(requests: DataFrame, caller: str, at: str, key: str, limit: int, window_s: int) -> DataFrame:
     """(key, caller, is_admitted, retry_after_s): an admission counts for window_s seconds,
     both ends included; retry_after_s is the time until the oldest one leaves. A null
