@@ -285,10 +285,10 @@ class Truncation:
     def __init__(self, texts: DataFrame):
         seen = spill(features(texts), batch_rows=1000)
         found = seen.where("record_table is not null").drop("n_mid", "n_end")
-        # few words need more and fewer texts end with one; the others stay out of the join
-        ended = found.where("last_word is not null").join(F.broadcast(spill(needing_more(seen))).withColumn("more", F.lit(True)), "last_word", "left")
-        ended = ended.withColumn("state", F.when(F.col("more").isNotNull(), "open").otherwise(F.col("state"))).select(*found.columns)
-        found = ended.unionByName(found.where("last_word is null"))
+        # few words need more: their table is broadcast, so that texts without such a word are not shuffled
+        more = spill(needing_more(seen)).withColumn("more", F.lit(True))
+        cols = found.columns
+        found = found.join(F.broadcast(more), "last_word", "left").withColumn("state", F.when(F.col("more").isNotNull(), "open").otherwise(F.col("state"))).select(*cols)
         totals = found.groupBy("record_table").agg(F.count(F.lit(1)).alias("n_all"))
         # a writer's longest texts may have met its limit; copies of a text by one writer are one case
         most_sizes = F.array(*[F.max(F.col("sizes")[i]) for i in range(len(MEASURES))])
